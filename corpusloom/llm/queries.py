@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import neardup
+from corpusloom.llm import neardup, packing, topn
 from corpusloom.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,9 +21,42 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(read(spark, d, "passages", "id", "text"), threshold=0.8)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    best = topn.top_by_theme(read(spark, d, "passages", "id", "source_id", "themes"), read(spark, d, "swi_scores", "passage_id", "overall_score", "created_at"), read(spark, d, "themes", "theme_id"))
+    return best.select("source_id", "theme", "id")
+
+
+P6_SQL = """
+WITH latest AS (
+  SELECT passage_id AS id, created_at, max(overall_score) AS score,
+         row_number() OVER (PARTITION BY passage_id ORDER BY created_at DESC NULLS LAST) AS r
+  FROM swi_scores WHERE overall_score IS NOT NULL AND passage_id IS NOT NULL GROUP BY passage_id, created_at),
+carried AS (SELECT DISTINCT id, source_id, unnest(themes) AS theme FROM passages),
+ranked AS (
+  SELECT source_id, theme, c.id, row_number() OVER (PARTITION BY source_id, theme ORDER BY score DESC, c.id) AS r
+  FROM carried c JOIN latest l ON l.id = c.id AND l.r = 1
+  WHERE source_id IS NOT NULL AND theme IN (SELECT theme_id FROM themes))
+SELECT source_id, theme, id FROM ranked WHERE r <= 3
+"""
+
+
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(read(spark, d, "documents", "doc_id", "text"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_pack(spark, d))
+
+
 def queries() -> dict[str, Query]:
-    return {"p4_found": p4_found, "p4_groups": p4_groups}
+    return {
+        "p4_found": p4_found,
+        "p4_groups": p4_groups,
+        "p6_found": p6_found,
+        "p7_pack": p7_pack,
+        "p7_fill": p7_fill,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p6_found": P6_SQL}
