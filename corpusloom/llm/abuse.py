@@ -210,22 +210,32 @@ class Trie:
     def nearest(self, word: str, most: int) -> tuple[str, int] | None:
         """The term within ``most`` edits (a masking * is any letter), nearest first, then in order; None if there is none.
 
-        A state of the automaton is the row of edit distances of the trie's path to every
-        prefix of the word, cut off beyond ``most``.
+        The automaton's state is a bit set per number of edits: bit i is set if the trie's
+        path so far can be read as the word's first i letters with that many edits.
         """
+        any_letter = sum(2 << i for i, c in enumerate(word) if c == "*")
+        at = {c: any_letter | sum(2 << i for i, w in enumerate(word) if w == c) for c in set(word)}
+        full, end = (2 << len(word)) - 1, 1 << len(word)
         best: tuple[int, str] | None = None
-        stack = [(self.root, tuple(range(len(word) + 1)))]
+        stack = [(self.root, tuple((2 << k) - 1 for k in range(most + 1)))]
         while stack:
-            node, row = stack.pop()
+            node, state = stack.pop()
             for c, child in node.items():
                 if c == "":
-                    if row[-1] <= most and (best is None or (row[-1], child) < best):
-                        best = (row[-1], child)
+                    for k, bits in enumerate(state):
+                        if bits & end:
+                            if best is None or (k, child) < best:
+                                best = (k, child)
+                            break
                     continue
-                after = [row[0] + 1]
-                for i, w in enumerate(word):
-                    after.append(min(row[i] + (w != c and w != "*"), row[i + 1] + 1, after[i] + 1))
-                if min(after) <= most:
+                mask = at.get(c, any_letter)
+                before = bits = (state[0] << 1) & mask
+                after = [bits]
+                for k in range(1, most + 1):
+                    less = state[k - 1]
+                    before = ((state[k] << 1) & mask | less | less << 1 | before << 1) & full
+                    after.append(before)
+                if before:
                     stack.append((child, tuple(after)))
         return best and (best[1], best[0])
 

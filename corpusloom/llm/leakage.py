@@ -38,7 +38,7 @@ WIDTH = BAND + 2 * SLACK
 BLOCK_WORDS = 1_000_000
 ALIGNED_AT_ONCE = 64
 #: Of an aligned stretch: least words of the item, least matching words, least share of them.
-LEAST_SPAN, LEAST_MATCHES, LEAST_SHARE = 19, 15, 0.72
+LEAST_SPAN, LEAST_MATCHES, LEAST_SHARE = 20, 15, 0.72
 _JOINS = re.compile(r"[-¬\xad=‐‑][ \t]*\n\s*|(?<=\w)[-¬\xad‐‑](?=\w)|\xad")
 _DIGIT = None
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import neardup, packing, topn
+from corpusloom.llm import abuse, leakage, neardup, packing, topn
 from corpusloom.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,26 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_pack(spark, d))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(read(spark, d, "documents", "doc_id", "text"), read(spark, d, "golden_set", "id", "text"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.found(read(spark, d, "documents", "doc_id", "text"))
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scores(read(spark, d, "documents", "doc_id", "text"))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(read(spark, d, "documents", "doc_id", "source", "text"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p4_found": p4_found,
@@ -55,6 +75,11 @@ def queries() -> dict[str, Query]:
         "p6_found": p6_found,
         "p7_pack": p7_pack,
         "p7_fill": p7_fill,
+        "p8_found": p8_found,
+        "p8_leaks": p8_leaks,
+        "p9_found": p9_found,
+        "p9_scores": p9_scores,
+        "p9_rates": p9_rates,
     }
 
 
