@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import abuse, leakage, neardup, packing, topn
+from corpusloom.llm import abuse, leakage, neardup, packing, quality, topn
 from corpusloom.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,14 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(read(spark, d, "passages", "id", "text"), threshold=0.8)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.found(read(spark, d, "passages", "id", "text"))
+
+
+def p5_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.statistics(read(spark, d, "passages", "id", "text", "word_count"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     best = topn.top_by_theme(read(spark, d, "passages", "id", "source_id", "themes"), read(spark, d, "swi_scores", "passage_id", "overall_score", "created_at"), read(spark, d, "themes", "theme_id"))
     return best.select("source_id", "theme", "id")
@@ -72,6 +80,8 @@ def queries() -> dict[str, Query]:
     return {
         "p4_found": p4_found,
         "p4_groups": p4_groups,
+        "p5_found": p5_found,
+        "p5_statistics": p5_statistics,
         "p6_found": p6_found,
         "p7_pack": p7_pack,
         "p7_fill": p7_fill,
