@@ -5,13 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import abuse, leakage, neardup, packing, quality, topn
+from corpusloom.llm import abuse, leakage, neardup, packing, quality, scan, topn
 from corpusloom.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _audited(spark: SparkSession, d: str, task: str) -> DataFrame:
+    return read(spark, d, "audit_sample", "id", "task").where(F.col("task") == task).select("id")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan.found(read(spark, d, "passages", "id", "text", "source_title"), _audited(spark, d, "scan_noise"))
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scan.repaired(read(spark, d, "passages", "id", "text", "source_title"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.pairs(read(spark, d, "passages", "id", "text"))
 
@@ -78,6 +91,8 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p2_found": p2_found,
+        "p2_repaired": p2_repaired,
         "p4_found": p4_found,
         "p4_groups": p4_groups,
         "p5_found": p5_found,

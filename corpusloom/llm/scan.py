@@ -52,6 +52,7 @@ _ROMAN = re.compile(r"[ivxlcdm]+")
 _UNITS = re.compile(r"\d+(?:s|d|l|st|nd|rd|th|mo|vo|to)?")
 _LATIN = re.compile(r"[a-zß-öø-ɏſ0-9|!$§]+")
 _BREAK = re.compile(r"(?<=[^\W_])([" + re.escape(MARKS) + r"])[ \t]*$")
+_CUT_OR_LOWER = re.compile(r"[-¬\xad=‐][ \t]*\n|\n(?=[^\W\d_A-ZÀ-Þ])")
 _WRAPPED = re.compile(r"[^\n]\n[^\n]")
 
 
@@ -271,8 +272,8 @@ class Editor:
 
     def misread(self, word: str) -> str | None:
         """The corrected word in lower case, if the word is misread."""
-        w = word.lower()
-        if len(w) < 2 or self.lex.known(w) or _UNITS.fullmatch(w) or not _LATIN.fullmatch(w.replace("'", "").replace("’", "")) or w.isdigit():
+        w = word.lower().replace("’", "'")
+        if len(w) < 2 or self.lex.known(w) or _UNITS.fullmatch(w) or not _LATIN.fullmatch(w.replace("'", "")) or w.isdigit():
             return None
         if _ROMAN.fullmatch(w) and len(w) < 8 and not w.endswith("li"):
             return None
@@ -289,7 +290,7 @@ class Editor:
 
     def cut(self, left: str, mark: str, right: str) -> bool:
         """Whether the mark at a line end between the two parts is not the word's own."""
-        a, b = left.lower(), right.lower()
+        a, b = left.lower().replace("’", "'"), right.lower().replace("’", "'")
         if mark not in "-‐":
             return True
         joined, compound = self.lex.known(a + b), self.lex.known(f"{a}-{b}")
@@ -355,7 +356,7 @@ class Editor:
                     if rest:
                         changes[-2] = (changes[-2][0], changes[-2][1], whole + rest)
                     continue
-                low = word.lower()
+                low = word.lower().replace("’", "'")
                 if not last and line[b : b + 1] == " " and words[j + 1][0] == b + 1 and not (last and joined_to):
                     other = words[j + 1][2]
                     if j + 2 < len(words) or not joined_to:
@@ -418,6 +419,23 @@ def sound(text: str | None) -> bool:
     return bool(text) and not _WRAPPED.search(text)
 
 
+def verse(text: str | None) -> bool:
+    """Lines are broken, but each begins with a capital or a number, and none is cut by a mark."""
+    return bool(text) and bool(_WRAPPED.search(text)) and not _CUT_OR_LOWER.search(text)
+
+
+def with_parts(counts: dict[str, int]) -> dict[str, int]:
+    """Counts by word in lower case, compounds counted with their parts as well."""
+    out: Counter[str] = Counter()
+    for w, n in counts.items():
+        low = w.lower().replace("’", "'").replace("‑", "-")
+        out[low] += n
+        if "-" in low:
+            for part in low.split("-"):
+                out[part] += n
+    return dict(out)
+
+
 @functools.cache
 def _roman(n: int) -> str:
     out = ""
@@ -466,7 +484,11 @@ def train_lines(rows: list[tuple[str, str]], seed: int = 7) -> dict[str, float]:
     """Weights of the line model from sound (text, title) rows."""
     rng, model = random.Random(seed), Perceptron()
     pages = [page_of(t, title or "Untitled", rng) + (title or "Untitled",) for t, title in rows]
-    # stanza numbers and headings are no furniture
+    # stanza numbers, headings, indexes and contents are no furniture
+    for t, title in rows[::5]:
+        words = sorted({w.capitalize() for w in _COUNTED.findall(t) if len(w) > 3})
+        entry = rng.choice([lambda w: f"{w}, {', '.join(str(rng.randint(1, 480)) for _ in range(rng.randint(1, 6)))}", lambda w: f"{w} {'.' * rng.randint(3, 20)} {rng.randint(1, 480)}", lambda w: f"{w}   {rng.randint(1, 99)}   {rng.randint(1, 99)}"])
+        pages.append(([entry(w) for w in words[:30]], [False] * len(words[:30]), title or ""))
     for t, title in rows[::3]:
         stanzas = [x for x in re.split(r"\n\s*\n", t) if x.strip()]
         if len(stanzas) > 1 and "\n" in stanzas[0]:
@@ -524,13 +546,16 @@ def train_editor(words: Counter, lex: Lexicon, seed: int = 11, n: int = 12_000)
 
 
 def word_counts(df: DataFrame) -> DataFrame:
-    """(word, n) over all sound texts, in lower case and as written with a capital, of at least LEAST_SHARE of all words."""
+    """(word, n) over all sound texts, as written, of at least LEAST_SHARE of all words; a word of verse counts a tenth."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
                 if sound(t):
+                    for w, n in Counter(_COUNTED.findall(t)).items():
+                        total[w] += 10 * n
+                elif verse(t):
                     total.update(_COUNTED.findall(t))
             if len(total) > 300_000:
                 yield pa.RecordBatch.from_pydict({"word": list(total), "n": list(total.values())})
@@ -540,7 +565,7 @@ def word_counts(df: DataFrame) -> DataFrame:
     session.ship(df.sparkSession)
     counted = session.materialise(df.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "scan-words")
     total = counted.agg(F.sum("n")).first()[0] or 0
-    return counted.where(F.col("n") >= max(2, int(total * LEAST_SHARE)))
+    return counted.where(F.col("n") >= max(20, int(total * LEAST_SHARE))).select("word", (F.col("n") / 10).cast("bigint").alias("n"))
 
 
 def training_rows(passages: DataFrame, n: int = TRAIN_ROWS) -> list[tuple[str, str]]:
@@ -558,15 +583,11 @@ def train(passages: DataFrame, edit: bool = True) -> Editor:
     if not edit:
         return Editor({}, lines, {})
     written = {r.word: r.n for r in word_counts(passages).toLocalIterator()}
-    counts: Counter[str] = Counter()
-    for w, n in written.items():
-        counts[w.lower().replace("’", "'")] += n
-        if "’" in w:
-            counts[w.lower()] += n
+    counts = with_parts(written)
     sample: Counter[str] = Counter()
     for t, _ in rows:
         sample.update(_COUNTED.findall(t))
-    return Editor(dict(counts), lines, train_editor(sample, Lexicon(dict(counts))))
+    return Editor(counts, lines, train_editor(sample, Lexicon(dict(counts))))
 
 
 def prepared(df: DataFrame) -> DataFrame:
