@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import abuse, leakage, neardup, packing, quality, scan, topn
+from corpusloom.llm import abuse, leakage, neardup, packing, quality, scan, sentences, splitting, topn
 from corpusloom.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,14 @@ def _audited(spark: SparkSession, d: str, task: str) -> DataFrame:
     return read(spark, d, "audit_sample", "id", "task").where(F.col("task") == task).select("id")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.found(read(spark, d, "passages", "id", "text", "source_title"), _audited(spark, d, "sentences"))
+
+
+def p1_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(read(spark, d, "passages", "id", "text", "source_title"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return scan.found(read(spark, d, "passages", "id", "text", "source_title"), _audited(spark, d, "scan_noise"))
 
@@ -25,6 +33,14 @@ def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scan.repaired(read(spark, d, "passages", "id", "text", "source_title"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.found(read(spark, d, "passages", "id", "text", "source_title"))
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_all(read(spark, d, "passages", "id", "text", "source_title"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.pairs(read(spark, d, "passages", "id", "text"))
 
@@ -91,8 +107,12 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found,
+        "p1_sentences": p1_sentences,
         "p2_found": p2_found,
         "p2_repaired": p2_repaired,
+        "p3_found": p3_found,
+        "p3_pieces": p3_pieces,
         "p4_found": p4_found,
         "p4_groups": p4_groups,
         "p5_found": p5_found,
