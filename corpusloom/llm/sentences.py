@@ -159,8 +159,8 @@ _SCANNER = re.compile(
     r"|(?P<number_stop>£?\d+(?:[.,:]\d+)*[a-z]{0,2}\.(?!\d)(?!\.))"
     r"|(?P<number>£?\d+(?:[.,:–-]\d+)*(?:[a-z]{1,2}\b)?)"
     r"|(?P<ellipsis>\.(?:\s?\.){2,}|…+)"
-    r"|(?P<question>[?!؟፧⸮]+|(?<=[Ͱ-Ͽἀ-῿»”\"])\s?[;;](?=[\s»”\"]|$))"
-    r"|(?P<stop>\.|[。｡．！？।॥።።܀۔]+)"
+    r"|(?P<question>[?!？！؟፧⸮]+|(?<=[Ͱ-Ͽἀ-῿»”\"])\s?[;;](?=[\s»”\"]|$))"
+    r"|(?P<stop>\.|[。｡．।॥።܀۔]+)"
     r"|(?P<closing>[”’»›)\]}」』】》〉）]|(?<=[^\s(\[„“«])[“‟](?![^\W_])|(?<=[^\s(])\"(?=[\s.,;:!?)\]—”’]|$)|(?<=[.!?,;:…])'(?=\s|$))"
     r"|(?P<mark>[,;:؛،፤፥፣፡·；：，、—–]|(?<=[」』])(?:と|って|など|という))"
     r"|(?P<opening>[“„‟‘«‹(\[{「『【《〈（¿¡]|(?:(?<=\s)|(?<=^)|(?<=[(\[—–]))\"(?=\S)|(?:(?<=\s)|(?<=^)|(?<=[(\[—–]))'(?=[^\W_]))"
@@ -250,7 +250,7 @@ def split(texts: list[str | None], titles: list[str | None] | None = None, line_
     flags = run(np.array(symbols, np.uint8))
     silent = (_S["paragraph"], _S["gap"], _S["text_end"])
     out, at = [], 0
-    for begins, ends in spans:
+    for (begins, ends), text in zip(spans, texts):
         n, found, begin = len(begins), [], None
         for k in range(n):
             s = symbols[at + k]
@@ -258,7 +258,10 @@ def split(texts: list[str | None], titles: list[str | None] | None = None, line_
                 last = k - 1
                 while last > 0 and symbols[at + last] in silent:
                     last -= 1
-                found.append((begin, ends[last]))
+                end, limit = ends[last], begins[last + 1]
+                while end < limit and not text[end].isspace():
+                    end += 1  # combining marks and other signs that are no symbols
+                found.append((begin, end))
                 begin = None
             if begin is None and s not in silent:
                 begin = begins[k]
