@@ -11,14 +11,14 @@ from corpusloom.functions import text as T
 
 def corpus_totals(passages: DataFrame) -> DataFrame:
     """One row: passages, words, distinct authors and types (missing ones are one value), distinct themes."""
-    themes = passages.select(F.explode("themes").alias("t")).agg(F.countDistinct("t").alias("themes"))
+    themes = passages.select(F.explode("themes").alias("t")).agg(F.countDistinct("t")).scalar()
     totals = passages.agg(
         F.count("*").alias("passages"),
         F.coalesce(F.sum("word_count"), F.lit(0)).alias("words"),
         F.countDistinct(F.coalesce("author", F.lit(""))).alias("authors"),
         F.countDistinct(F.coalesce("source_type", F.lit(""))).alias("types"),
     )
-    return totals.crossJoin(themes)  # one row each
+    return totals.withColumn("themes", themes)
 
 
 def grouped_counts(passages: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,8 +64,8 @@ def author_type_sources(rollup: DataFrame) -> DataFrame:
 def share_of(df: DataFrame, key: str, weight: str) -> DataFrame:
     """Per key: rows, weight, and the share of all weight."""
     out = df.groupBy(key).agg(F.count("*").alias("n"), F.sum(weight).alias("weight"))
-    total = df.agg(F.sum(weight).alias("total"))
-    return out.crossJoin(F.broadcast(total)).select(key, "n", "weight", F.round(F.try_divide(F.col("weight"), F.col("total")), 6).alias("share"))
+    total = df.agg(F.sum(weight)).scalar()
+    return out.select(key, "n", "weight", F.round(F.try_divide(F.col("weight"), total), 6).alias("share"))
 
 
 def fixed_bins(df: DataFrame, value: str, width: int, last: int) -> DataFrame:
@@ -98,7 +98,7 @@ def token_noise(passages: DataFrame, dictionary: DataFrame, top: int = 20, least
 
 def proper_nouns(passages: DataFrame, least: int = 5) -> DataFrame:
     """Capitalised tokens seen at least ``least`` times."""
-    tokens = passages.select(F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]+)\b"), F.lit(1))).alias("token"))
+    tokens = passages.select(F.explode(T.cased_tokens(F.col("text"), "[A-Za-z]+")).alias("token")).where(F.col("token").rlike("^[A-Z][a-z]+$"))
     return tokens.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
@@ -108,20 +108,21 @@ def unknown_contexts(passages: DataFrame, dictionary: DataFrame, around: int = 3
     known = dictionary.select(F.lower("word").alias("w")).distinct()
     bad = tokens.join(known, "w", "left_anti")
     out = bad.groupBy("w").agg(F.count("*").alias("n"), F.min(F.struct("id", "text")).alias("s"))
-    return out.select("w", "n", F.col("s.id").alias("sample_id"), F.substring(F.col("s.text"), F.greatest(F.locate(F.col("w"), F.lower(F.col("s.text"))) - around, F.lit(1)), F.lit(2 * around)).alias("sample"))
+    return out.select("w", "n", F.col("s.id").alias("sample_id"), F.substring(F.col("s.text"), F.greatest(F.position(F.col("w"), F.lower(F.col("s.text"))) - around, F.lit(1)), F.lit(2 * around)).alias("sample"))
 
 
 def ngram_counts(passages: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), least: int = 1) -> DataFrame:
     """(n, term, count) of runs of lower-case tokens within a text, seen at least ``least`` times."""
     tokens = passages.where("text is not null").select(T.ascii_tokens(F.col("text")).alias("tok"))
-    runs = F.flatten(F.array(*(F.transform(T.ngrams(F.col("tok"), n), lambda t, n=n: F.struct(F.lit(n).alias("n"), t.alias("term"))) for n in sizes)))
+    labelled = lambda n: F.transform(T.ngrams(F.col("tok"), n), lambda t: F.struct(F.lit(n).alias("n"), t.alias("term")))
+    runs = F.flatten(F.array(*map(labelled, sizes)))
     return tokens.select(F.explode(runs).alias("r")).groupBy("r.n", "r.term").agg(F.count("*").alias("count")).where(F.col("count") >= least)
 
 
 def distinctive_terms(own: DataFrame, reference: DataFrame, least: int = 5, top: int = 200) -> DataFrame:
     """Terms by log2 of their share in ``own`` over their share in ``reference`` (each term, count), half a count added to the reference."""
-    total = own.agg(F.sum("count").alias("own_total")).crossJoin(reference.agg(F.sum("count").alias("ref_total")))  # one row
-    joined = own.join(reference.select("term", F.col("count").alias("ref")), "term", "left").crossJoin(F.broadcast(total))
+    joined = own.join(reference.select("term", F.col("count").alias("ref")), "term", "left")
+    joined = joined.withColumns({"own_total": own.agg(F.sum("count")).scalar(), "ref_total": reference.agg(F.sum("count")).scalar()})
     ratio = F.log2((F.col("count") / F.col("own_total")) / ((F.coalesce("ref", F.lit(0)) + 0.5) / F.coalesce("ref_total", F.lit(1))))
     scored = joined.where(F.col("count") >= least).select("term", "count", F.coalesce("ref", F.lit(0)).alias("ref"), F.round(ratio, 4).alias("ratio")).where("ratio > 0")
     return scored.orderBy(F.col("ratio").desc(), "term").limit(top)

@@ -1,17 +1,17 @@
-"""The named queries over the standard tables, and the SQL each is compared with."""
+"""The named queries over the standard tables, and the SQL each is compared with.
 
-from __future__ import annotations
-
-from collections.abc import Callable
+Each module of this package registers its queries with :func:`corpusloom.plans.book.query`.
+"""
 
-from pyspark.sql import DataFrame, SparkSession
+from __future__ import annotations
 
-Query = Callable[[SparkSession, str], DataFrame]
+from corpusloom.plans import feeds, ordered, registry, relations, scoring, search, stats, texts, vectors  # noqa: F401
+from corpusloom.plans.book import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
