@@ -52,6 +52,7 @@ _VOWEL = re.compile("[aeiouyàâäáãåæèéêëìíîïòóôöõøùúûüœ
 _COLUMNS = re.compile(r"\S(?:\t|[ ]{3,}|[ ]?\|[ ]?)\S")
 _BULLET = re.compile(r"\s*(?:[•·*\-–—▪◦»>]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s+\S")
 _ENTRY = re.compile(r"[^,.;:!?]{1,40}(?:,\s*\d[\d, .–-]*|\s*\.{2,}\s*\d+|\s+--\s+[^.]{1,60}\.?)$|\s+see\s")
+_COMPOUND = re.compile(r"[^\W\d_]+(?:[.'’\-–—,]+[^\W\d_]+)*[.'’\-–—,]*")
 _LETTERS = re.compile(r"[\W\d_]+")
 _EDGE = "\"'“”‘’«»„()[]{}.,;:!?…¿¡*_"
 
@@ -81,7 +82,7 @@ def word_kind(token: str) -> int:
         return 10
     if len(w) == 1:
         return 12
-    if not _VOWEL.search(low) or (not low.replace("'", "").replace("’", "").replace("-", "").isalpha() and not re.fullmatch(r"(?:[^\W\d_]+[.'’\-–—,]*)+", low)):
+    if not _VOWEL.search(low) or (not low.replace("'", "").replace("’", "").replace("-", "").isalpha() and not _COMPOUND.fullmatch(low)):
         return 6
     if w.isupper() and len(w) > 1:
         return 3
