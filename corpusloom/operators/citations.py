@@ -49,7 +49,7 @@ def _pattern() -> str:
     """(book) (chapter):(verse)[-(verse)], the book's alternation from the alias table, longest first."""
     names = sorted({a for a in aliases()}, key=lambda a: (-len(a), a))
     spaced = [(a[0] + r"\s?" + a[1:] if a[0].isdigit() else a) for a in names]
-    return r"(?i)\b(" + "|".join(spaced) + r")\.?\s+(\d{1,3}):(\d{1,3})(?:\s?[-–,]\s?(\d{1,3}))?"
+    return r"(?i)\b(" + "|".join(spaced) + r")\.?\s+(\d{1,3}):(\d{1,3})(?:\s?[-–,]\s?(\d{1,3})(?![\d:]|\s?[A-Za-z]))?"
 
 
 def extract(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
