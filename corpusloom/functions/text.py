@@ -109,18 +109,23 @@ def strip_html(html: Column, limit: int = 50_000) -> Column:
     return F.substring(F.trim(F.regexp_replace(out, r"\s+", " ")), 1, limit)
 
 
+def strip(text: Column) -> Column:
+    """White space of any ASCII kind taken off both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def sentences_naive(text: Column) -> Column:
     """Split after a stop and white space; empty pieces dropped."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), strip), lambda s: s != "")
 
 
 def sentences_before_capital(text: Column) -> Column:
     """Split after a stop and white space where a capital or quotation mark follows."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z\"'“‘])"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z\"'“‘])"), strip), lambda s: s != "")
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, r"\n\s*\n"), strip), lambda p: p != "")
 
 
 def stanzas(text: Column) -> Column:

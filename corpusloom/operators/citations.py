@@ -49,7 +49,9 @@ def _pattern() -> str:
     """(book) (chapter):(verse)[-(verse)], the book's alternation from the alias table, longest first."""
     names = sorted({a for a in aliases()}, key=lambda a: (-len(a), a))
     spaced = [(a[0] + r"\s?" + a[1:] if a[0].isdigit() else a) for a in names]
-    return r"(?i)\b(" + "|".join(spaced) + r")\.?\s+(\d{1,3}):(\d{1,3})(?:\s?[-–,]\s?(\d{1,3})(?![\d:]|\s?[A-Za-z]))?"
+    tails = sorted({a[1:] for a in names if a[0].isdigit()}, key=lambda a: (-len(a), a))
+    last = r"(?:\s?[-–]\s?(\d{1,3})|\s?,\s?(\d{1,3})(?![\d:]|\s?(?:" + "|".join(tails) + r")\b))?"
+    return r"(?i)\b(" + "|".join(spaced) + r")\.?\s+(\d{1,3}):(\d{1,3})" + last
 
 
 def extract(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -60,9 +62,9 @@ def extract(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFr
     whole = F.regexp_extract_all(text_col, F.lit(f"({_pattern()})".replace("(?i)", "", 1).join(["(?i)", ""])), F.lit(1))
     hits = df.select(F.col(id_col).alias("id"), F.posexplode(whole).alias("pos", "reference"))
     part = lambda k: F.regexp_extract("reference", _pattern(), k)
-    chapter, first, last = (F.expr(f"try_cast(nullif(g{k}, '') as int)") for k in (2, 3, 4))
-    out = hits.withColumns({f"g{k}": part(k) for k in (1, 2, 3, 4)})
-    return out.select("id", "pos", "reference", book_name(F.col("g1")).alias("book"), chapter.alias("chapter"), first.alias("verse_start"), F.coalesce(last, first).alias("verse_end"))
+    chapter, first, last, other = (F.expr(f"try_cast(nullif(g{k}, '') as int)") for k in (2, 3, 4, 5))
+    out = hits.withColumns({f"g{k}": part(k) for k in (1, 2, 3, 4, 5)})
+    return out.select("id", "pos", "reference", book_name(F.col("g1")).alias("book"), chapter.alias("chapter"), first.alias("verse_start"), F.coalesce(last, other, first).alias("verse_end"))
 
 
 def books(refs: DataFrame) -> DataFrame:

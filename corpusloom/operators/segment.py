@@ -84,7 +84,7 @@ def heading_split(df: DataFrame, heading: str, id_col: str = "id", text_col: str
     """(id, n, heading, body): the text cut before every line that matches ``heading``; n = 0 is what stands before the first."""
     parts = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, rf"(?m)(?=^{heading}$)")).alias("n", "part"))
     head = F.regexp_extract("part", rf"(?m)\A({heading})$", 1)
-    body = F.trim(F.when(head != "", F.substring(F.col("part"), F.length(head) + 1, F.length("part"))).otherwise(F.col("part")))
+    body = T.strip(F.when(head != "", F.substring(F.col("part"), F.length(head) + 1, F.length("part"))).otherwise(F.col("part")))
     return parts.select("id", F.when(F.col("n") >= 0, F.col("n")).alias("n"), head.alias("heading"), body.alias("body")).where("heading <> '' or body <> ''")
 
 

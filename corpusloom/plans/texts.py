@@ -51,21 +51,21 @@ def phrase_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT doc_id, CAST(i - 1 AS INT) AS n, s AS sentence FROM (SELECT doc_id, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS i FROM (
-  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\v]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents WHERE lang = 'en' AND text IS NOT NULL))""")
+  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\v]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents WHERE lang = 'en' AND text IS NOT NULL))""")
 def sentence_split_naive(spark: SparkSession, d: str) -> DataFrame:
     return _english(spark, d).select("doc_id", F.posexplode(T.sentences_naive(F.col("text"))).alias("n", "sentence"))
 
 
 @query("""
 SELECT doc_id, CAST(i - 1 AS INT) AS n, p AS paragraph FROM (SELECT doc_id, unnest(l) AS p, unnest(range(1, len(l) + 1)) AS i FROM (
-  SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n[ \\t\\n\\r\\f\\v]*\\n'), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents WHERE lang = 'en' AND text IS NOT NULL))""")
+  SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n[ \\t\\n\\r\\f\\v]*\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents WHERE lang = 'en' AND text IS NOT NULL))""")
 def paragraph_split(spark: SparkSession, d: str) -> DataFrame:
     return _english(spark, d).select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("n", "paragraph"))
 
 
 @query("""
 WITH h AS (SELECT id, min(text) AS text FROM passages WHERE source_type = 'hymn' AND text IS NOT NULL GROUP BY id),
-s AS (SELECT id, list_filter(list_transform(string_split_regex(text, '\\n[ \\t\\n\\r\\f\\v]*\\n'), lambda x: trim(x)), lambda x: x <> '') AS l FROM h)
+s AS (SELECT id, list_filter(list_transform(string_split_regex(text, '\\n[ \\t\\n\\r\\f\\v]*\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM h)
 SELECT id || '-full' AS id, CAST(NULL AS INT) AS stanza_number, text FROM h UNION ALL
 SELECT id || '-stanza-' || lpad(CAST(i AS VARCHAR), 2, '0'), CAST(i AS INT), regexp_replace(x, '^\\d+\\.?[ \\t\\n\\r\\f\\v]+', '') FROM (SELECT id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM s)""")
 def hymn_chunks(spark: SparkSession, d: str) -> DataFrame:
