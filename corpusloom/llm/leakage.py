@@ -2,9 +2,10 @@
 
 Words are runs of letters or digits in the lower-cased text, without numbers, with
 words rejoined over line-end marks and hyphens taken out. Runs of three words are the
-seeds. A seed weighs the information its share of all documents carries, counted over
-all documents; seeds of more than ``COMMON`` of the documents join nothing. A document
-and an item become a candidate where seeds of at least ``LEAST_BITS`` lie near one
+seeds. A seed weighs the information that its share of all documents carries, counted
+over all documents, beyond the share of the rarest seed near it in the item: so a turn
+of phrase weighs little, and an item that leaked into a third of the documents as much
+as one that leaked once. A document and an item become a candidate where seeds of at least ``LEAST_BITS`` lie near one
 diagonal. Twenty words of which four are changed still share at least six seeds, so
 the threshold is a fraction of what any case carries. Each candidate is then aligned
 word by word (Smith-Waterman), and the aligned stretch decides.
@@ -30,7 +31,8 @@ from corpusloom import session
 from corpusloom.llm import vec
 
 SEED = 3
-COMMON = 0.2
+#: Words to both sides of a seed among which the rarest one is taken.
+NEAR = 10
 LEAST_BITS = 36.0
 #: Diagonals of a candidate, those the alignment may stray beyond them, and both together.
 BAND, SLACK = 16, 16
@@ -39,6 +41,8 @@ BLOCK_WORDS = 1_000_000
 ALIGNED_AT_ONCE = 64
 #: Of an aligned stretch: least words of the item, least matching words, least share of them.
 LEAST_SPAN, LEAST_MATCHES, LEAST_SHARE = 20, 15, 0.72
+#: A shorter stretch than this must carry so many bits or be nearly exact: turns of phrase alone can reach 20 words.
+SURE_SPAN, SURE_BITS = 24, 110
 _JOINS = re.compile(r"[-¬\xad=‐‑][ \t]*\n\s*|(?<=\w)[-¬\xad‐‑](?=\w)|\xad")
 _DIGIT = None
 
@@ -82,7 +86,19 @@ class Index:
         order = np.argsort(s, kind="stable")
         self.hash, self.item, self.pos = s[order], item[order], pos[order]
         self.uniq, self.begin, self.count = np.unique(self.hash, return_index=True, return_counts=True)
-        self.bits = np.zeros(len(self.uniq))
+        self.bits = np.zeros(len(self.hash))
+
+    def weigh(self, share: np.ndarray, least: float) -> None:
+        """Set the bits of every seed from the share of documents that hold each of ``uniq``; ``least`` is the share of one."""
+        own = np.repeat(share, self.count)
+        order = np.lexsort((self.pos, self.item))
+        ordered, item = own[order], self.item[order]
+        rarest = ordered.copy()
+        for k in range(1, NEAR + 1):
+            same = item[k:] == item[:-k]
+            rarest[k:] = np.where(same, np.minimum(rarest[k:], ordered[:-k]), rarest[k:])
+            rarest[:-k] = np.where(same, np.minimum(rarest[:-k], ordered[k:]), rarest[:-k])
+        self.bits[order] = -np.log2(np.clip(ordered - rarest, least, 1))
 
     def lookup(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the seeds ``s`` are in the index, and the number of each in ``uniq``."""
@@ -130,25 +146,24 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> list[tuple[int,
     return out
 
 
-def candidates(index: Index, s: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, item number, diagonal) where seeds of LEAST_BITS lie within a band of diagonals."""
+def candidates(index: Index, s: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, item number, diagonal, bits) where seeds of LEAST_BITS lie within a band of diagonals."""
     hit, k = index.lookup(s)
-    known = index.bits[k] > 0
-    hit, k = hit[known], k[known]
     times = index.count[k]
     row = np.repeat(np.arange(len(hit)), times)
     entry = np.repeat(index.begin[k], times) + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
     d, item = doc[hit][row], index.item[entry]
     diagonal = pos[hit][row] - index.pos[entry] + (1 << 20)
-    bits = index.bits[k][row]
+    bits = index.bits[entry]
     found = []
     for shift in (0, BAND // 2):
         key = (d * (len(index.ids) + 1) + item) * (1 << 22) + (diagonal + shift) // BAND
         band, inverse = np.unique(key, return_inverse=True)
-        good = np.flatnonzero(np.bincount(inverse, bits, len(band)) >= LEAST_BITS)
-        found.append(np.stack([band[good] >> 22, (band[good] & ((1 << 22) - 1)) * BAND - shift - (1 << 20)]))
-    pair, diag = np.concatenate(found, axis=1)
-    return pair // (len(index.ids) + 1), pair % (len(index.ids) + 1), diag
+        total = np.bincount(inverse, bits, len(band))
+        good = np.flatnonzero(total >= LEAST_BITS)
+        found.append(np.stack([band[good] >> 22, (band[good] & ((1 << 22) - 1)) * BAND - shift - (1 << 20), total[good].astype(np.int64)]))
+    pair, diag, total = np.concatenate(found, axis=1)
+    return pair // (len(index.ids) + 1), pair % (len(index.ids) + 1), diag, total
 
 
 def _window(words: np.ndarray, begin: int, length: int) -> np.ndarray:
@@ -169,10 +184,11 @@ def stretches(index: Index, texts: list[str | None]) -> list[tuple[int, int, int
     found = found[np.argsort(np.diff(index.at)[found[:, 1]], kind="stable")]
     for k in range(0, len(found), ALIGNED_AT_ONCE):
         part = found[k : k + ALIGNED_AT_ONCE]
-        items = [index.words[index.at[i] : index.at[i + 1]] for _, i, _ in part]
-        windows = [_window(h[at[d] : at[d + 1]], diag - SLACK, len(x) + WIDTH - 1) for (d, _, diag), x in zip(part, items)]
-        for (d, i, _), (matches, span, width) in zip(part, align(items, windows)):
-            if span >= LEAST_SPAN and matches >= LEAST_MATCHES and matches >= LEAST_SHARE * max(span, width):
+        items = [index.words[index.at[i] : index.at[i + 1]] for _, i, _, _ in part]
+        windows = [_window(h[at[d] : at[d + 1]], diag - SLACK, len(x) + WIDTH - 1) for (d, _, diag, _), x in zip(part, items)]
+        for (d, i, _, bits), (matches, span, width) in zip(part, align(items, windows)):
+            sure = span >= SURE_SPAN or bits >= SURE_BITS or matches >= 0.9 * max(span, width)
+            if sure and span >= LEAST_SPAN and matches >= LEAST_MATCHES and matches >= LEAST_SHARE * max(span, width):
                 best[d, i] = max(best.get((d, i), (0, 0)), (span, matches))
     return [(int(d), int(i), span, matches) for (d, i), (span, matches) in sorted(best.items())]
 
@@ -217,10 +233,10 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: s
         counted = rows.mapInArrow(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
         index = shared.value
         n_docs = int(counted.n[counted.k == -1].sum())
-        share = np.full(len(index.uniq), 1 / max(2, n_docs))
+        share = np.zeros(len(index.uniq))
         seen = counted[counted.k >= 0]
-        share[seen.k.to_numpy()] = seen.n.to_numpy() / max(2, n_docs)
-        index.bits = np.where(share <= COMMON, -np.log2(np.minimum(share, 1)), 0)
+        share[seen.k.to_numpy()] = seen.n.to_numpy() / max(1, n_docs)
+        index.weigh(share, 1 / max(64, n_docs))
         weighed = spark.sparkContext.broadcast(index)
 
         def find(batches: Iterator[pa.RecordBatch], weighed=weighed) -> Iterator[pa.RecordBatch]:
