@@ -51,6 +51,7 @@ _COUNTED = re.compile(r"[^\W_]+(?:['’‑-][^\W_]+)*")
 _ROMAN = re.compile(r"[ivxlcdm]+")
 _UNITS = re.compile(r"\d+(?:s|d|l|st|nd|rd|th|mo|vo|to)?")
 _LATIN = re.compile(r"[a-zß-öø-ɏſ0-9|!$§]+")
+_SIGNS = re.compile(r"[0-9|!$§ſ]")
 _BREAK = re.compile(r"(?<=[^\W_])([" + re.escape(MARKS) + r"])[ \t]*$")
 _CUT_OR_LOWER = re.compile(r"[-¬\xad=‐][ \t]*\n|\n(?=[^\W\d_A-ZÀ-Þ])")
 _WRAPPED = re.compile(r"[^\n]\n[^\n]")
@@ -250,7 +251,8 @@ def best_edit(w: str, lex: Lexicon, weights: dict[str, float], name: bool, steps
         for u, base in frontier.items():
             for v, op, at in edits(u):
                 s = base + sum(get(f, 0.0) for f in _edit_features(u, v, op, at, lex, name))
-                if (best is None or (s, v) > best) and s > 0 and (lex.known(v) or step == 0):
+                # letters for letters must give a known word; only signs inside a word may give an unknown one
+                if (best is None or (s, v) > best) and s > 0 and (lex.known(v) or (_SIGNS.search(u) and not _SIGNS.search(v))):
                     best = (s, v)
                 if step + 1 < steps and not lex.known(v) and (v not in nxt or nxt[v] < s):
                     nxt[v] = s
@@ -269,6 +271,7 @@ class Editor:
     def __init__(self, counts: dict[str, int], line_weights: dict[str, float], edit_weights: dict[str, float]):
         self.lex, self.line_weights, self.edit_weights = Lexicon(counts), line_weights, edit_weights
         self.memo: dict[tuple[str, bool], tuple[str, float] | None] = {}
+        self.sound_words: set[str] = set()  # as written; nothing to examine
 
     def misread(self, word: str) -> str | None:
         """The corrected word in lower case, if the word is misread."""
@@ -321,8 +324,18 @@ class Editor:
             if flags[k] or not line.strip():
                 continue
             begin, carried = carried, 0
+            tail = _BREAK.search(line) if line.rstrip()[-1] in MARKS else None
+            if not tail and not begin:
+                seen = _WORD.findall(line)
+                if self.sound_words.issuperset(seen):
+                    continue
+                fresh = [w for w in seen if w not in self.sound_words]
+                if len(self.sound_words) > 400_000:
+                    self.sound_words.clear()
+                self.sound_words.update(w for w in fresh if self.lex.known(w.lower().replace("’", "'")))
+                if self.sound_words.issuperset(seen):
+                    continue
             spans = [(m.start(), m.end()) for m in _WORD.finditer(line, begin)]
-            tail = _BREAK.search(line)
             joined_to = None
             if tail and spans and spans[-1][1] == tail.start(1):
                 n = next((j for j in range(k + 1, len(lines)) if lines[j].strip() and not flags[j]), None)
@@ -484,6 +497,15 @@ def train_lines(rows: list[tuple[str, str]], seed: int = 7) -> dict[str, float]:
     """Weights of the line model from sound (text, title) rows."""
     rng, model = random.Random(seed), Perceptron()
     pages = [page_of(t, title or "Untitled", rng) + (title or "Untitled",) for t, title in rows]
+    # verse with numbered stanzas, whether the table has any or not
+    for t, title in rows[1::6]:
+        words = [w for w in _COUNTED.findall(t) if len(w) > 1][:48]
+        lines = []
+        for k in range(0, len(words), 6):
+            if k % 24 == 0:
+                lines += ([""] if lines else []) + [str(k // 24 + 1)]
+            lines.append(" ".join(words[k : k + 6]).capitalize() + rng.choice([",", ";", ".", ","]))
+        pages.append((lines, [False] * len(lines), title or ""))
     # stanza numbers, headings, indexes and contents are no furniture
     for t, title in rows[::5]:
         words = sorted({w.capitalize() for w in _COUNTED.findall(t) if len(w) > 3})

@@ -152,6 +152,7 @@ _SCANNER = re.compile(
     rf"|(?P<abbreviation>(?<![^\W_])(?:{_any(_TITLES)})\.(?!\s*\n\s*\n)|(?<![^\W_])(?:{_any(_REFERENCES)})\.(?=\s*(?:\d|[ivxlc]+\b))"
     rf"|(?<![^\W_])(?:[AaVv]m|vom|den|zum|dem|der)\s+\d+\.(?=\s+[^\W\d_])|\d+\.(?=\s+(?:{_MONTHS}))"
     r"|(?<![^\W\d_.’'])(?:[A-ZÀ-ÞΑ-Ω]\.\s?)+(?=[^\W\d_])|(?<![^\W\d_.’'])(?:[A-Z]\.)+(?=\s*\d)"
+    r"|£\d+\.(?=\s*\d)|(?<![^\W_])\d+[sdl]\.(?=\s*\d)"
     r"|(?<![^\W_])[ivxlc]+\.(?=\s*(?:\d|[a-zß-ÿ]))|(?<![^\W_])[A-Za-z]{1,5}\.(?=\s+[ivxlc]+[.,;:)])"
     rf"|(?<![\w\u064b-\u0652])[ء-ي]\.|(?<![^\s“«(])(?:डॉ|श्री|प्रो|पं|सु)\.|(?<![{_THAI}])[{_THAI}]{{1,2}}\.)"
     rf"|(?P<soft>(?<![^\W_])(?:{_any(_SOFT)})\.|&c\.)"
@@ -229,6 +230,8 @@ def scanned(text: str) -> tuple[list[int], list[int], list[int]]:
             elif name == "abbreviation":
                 while text[b - 1].isspace():
                     b -= 1
+                if text[a].islower():
+                    s = lower
         add_s(s)
         add_b(a)
         add_e(b)
