@@ -97,6 +97,7 @@ _SHEET = re.compile(r"(?:vol\. ?[ivxlc\d]+\.?\s+)?[A-Z]{1,2} ?\d", re.I)
 _DATED = re.compile(r"\[?\s*(?:jan|feb|mar|apr|may|june?|july?|aug|sept?|oct|nov|dec)[a-z]*\.? ?\d{4}\.?\]?(?:\s+\d{1,4})?", re.I)
 _NUMBERED = re.compile(r"\d{1,4}\s+\D.*|.*\D\s+\d{1,4}\.?")
 _INDEX = re.compile(r"[^,]{2,40}(?:, \d+)+|.*\.{3,}\s*\d+|.*,.*;.*")
+_PAGE_NUMBER = re.compile(r"^\d{1,4}\s+(?=\D)|(?<=\D)\s+\d{1,4}\.?$")
 _UNREAD = str.maketrans("015|8!$", "olslbis")
 
 
@@ -117,7 +118,7 @@ def line_features(lines: list[str], k: int, title: str, author: str, n_numbers:
     caps = len(letters) >= 3 and upper >= 0.9 * len(letters)
     same = False
     if title and len(letters) >= 4:
-        a, b = _letters(s), _letters(title)
+        a, b = _letters(_PAGE_NUMBER.sub("", s)), _letters(title)
         a = a[2:] if a.startswith("os") and not b.startswith("os") else a
         same = len(b) >= 4 and (a == b or (b in a and len(a) <= len(b) + 3) or (len(a) >= 6 and a in b and len(a) >= 0.8 * len(b)))
     open_before = bool(before) and before[-1] not in ".!?”\"’»:;"
@@ -126,8 +127,10 @@ def line_features(lines: list[str], k: int, title: str, author: str, n_numbers:
     if number:
         f.append("number")
         if _PLAIN_NUMBER.fullmatch(s):
-            f.append("number:short")
-            if not open_before and after[:1].isupper() and not gap_after and (gap_before or not before):
+            f.append("number:short" + (":inside" if lower_after or (open_before and not after[:1].isupper()) else ":open" if open_before else ""))
+            if int(s) > 20:
+                f.append("number:big")
+            elif not open_before and after[:1].isupper() and not gap_after and (gap_before or not before):
                 f.append("number:stanza")
                 if n_numbers >= 2 or int(s) == 1:
                     f.append("number:stanzas")
@@ -208,6 +211,10 @@ class Lexicon:
             return w[:-1] in self.n
         return False
 
+    def torn(self, a: str, b: str) -> bool:
+        """Whether two words that follow each other are one word torn apart: the whole is known and a part isn't."""
+        return len(a) + len(b) > 3 and a + b in self.n and not (self.known(a) and self.known(b))
+
     def rarest(self, w: str) -> int:
         """How often the rarest three-letter sequence of the word occurs among known words, as a power of 4."""
         p = f"^{w}$"
@@ -370,18 +377,15 @@ class Editor:
                         changes[-2] = (changes[-2][0], changes[-2][1], whole + rest)
                     continue
                 low = word.lower().replace("’", "'")
-                if not last and line[b : b + 1] == " " and words[j + 1][0] == b + 1 and not (last and joined_to):
+                if not last and line[b : b + 1] == " " and words[j + 1][0] == b + 1 and (j + 2 < len(words) or not joined_to):
                     other = words[j + 1][2]
-                    if j + 2 < len(words) or not joined_to:
-                        both = low + other.lower()
-                        if other[0].islower() and (not self.lex.known(low) or not self.lex.known(other.lower())) and self.lex.known(both) and len(both) > 3 and not low.isdigit():
-                            if not (self.lex.known(low) and self.misread(other) is not None and self.lex.n.get(low, 0) > 50 * self.lex.n.get(both, 0)):
-                                cases.append(("char", starts[k] + a))
-                                changes.append((starts[k] + b, starts[k] + b + 1, ""))
-                                skip = j + 1
-                                continue
-                    elif joined_to:
-                        pass
+                    if other[0].islower() and not low.isdigit() and self.lex.torn(low, other.lower().replace("’", "'")):
+                        # a frequent word before a misread one stays by itself
+                        if not (self.lex.known(low) and self.misread(other) is not None and self.lex.n.get(low, 0) > 50 * self.lex.n.get(low + other.lower(), 0)):
+                            cases.append(("char", starts[k] + a))
+                            changes.append((starts[k] + b, starts[k] + b + 1, ""))
+                            skip = j + 1
+                            continue
                 fixed = self.misread(word)
                 if fixed is None and word[-1] in "|!" :
                     word = word.rstrip("|!")
