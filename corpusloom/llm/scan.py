@@ -172,6 +172,11 @@ def line_features(lines: list[str], k: int, title: str, author: str, n_numbers:
     return f
 
 
+def _running_text(s: str) -> bool:
+    """A line that can't be furniture: long, or four small words or more and no number at either end."""
+    return len(s) > 70 or (len(s) > 20 and not s[0].isdigit() and not s[-1].isdigit() and sum(w[0].islower() for w in s.split()) >= 4)
+
+
 def furniture(text: str, title: str | None, author: str | None, weights: dict[str, float]) -> list[bool]:
     """Whether each line of the text (split at line feeds) is page furniture."""
     lines = text.split("\n")
@@ -181,7 +186,7 @@ def furniture(text: str, title: str | None, author: str | None, weights: dict[st
     out = []
     for k, line in enumerate(lines):
         s = line.strip()
-        if not s or len(s) > 70:
+        if not s or _running_text(s):
             out.append(False)
             continue
         out.append(sum(weights.get(f, 0.0) for f in line_features(lines, k, title or "", author or "", n_numbers)) > 0)
@@ -527,7 +532,7 @@ def train_lines(rows: list[tuple[str, str]], seed: int = 7) -> dict[str, float]:
         for lines, flags, title in pages:
             n_numbers = sum(bool(_PLAIN_NUMBER.fullmatch(x.strip())) and int(x) <= 20 for x in lines)
             for k, flag in enumerate(flags):
-                if not lines[k].strip() or len(lines[k]) > 70:
+                if not lines[k].strip() or _running_text(lines[k].strip()):
                     continue
                 f = line_features(lines, k, title, "", n_numbers)
                 model.tick()

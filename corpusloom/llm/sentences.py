@@ -148,9 +148,10 @@ def _any(words: str) -> str:
 
 _THAI = "฀-๿"
 _SCANNER = re.compile(
-    r"(?P<gap> )|(?P<paragraph>\n[^\S\n]*\n\s*| )"
+    r"(?P<plain>[A-Za-zÀ-ɏͰ-ϿЀ-ӿἀ-῿][^\W\d_]*+(?:['’‑\xad-][^\W\d_]++)*+(?!\.)(?:[^\S\n]+[a-zß-ÿ][^\W\d_]*+(?![.'’\w]))*)"
+    r"|(?P<gap>\u2028)|(?P<paragraph>\n[^\S\n]*\n\s*| )"
     rf"|(?P<abbreviation>(?<![^\W_])(?:{_any(_TITLES)})\.(?!\s*\n\s*\n)|(?<![^\W_])(?:{_any(_REFERENCES)})\.(?=\s*(?:\d|[ivxlc]+\b))"
-    rf"|(?<![^\W_])(?:[AaVv]m|vom|den|zum|dem|der)\s+\d+\.(?=\s+[^\W\d_])|\d+\.(?=\s+(?:{_MONTHS}))"
+    rf"|(?:(?<=\b[AaVv]m\s)|(?<=\bvom\s)|(?<=\bden\s)|(?<=\bzum\s)|(?<=\bdem\s))\d+\.(?=\s+[^\W\d_])|\d+\.(?=\s+(?:{_MONTHS}))"
     r"|(?<![^\W\d_.’'])(?:[A-ZÀ-ÞΑ-Ω]\.\s?)+(?=[^\W\d_])|(?<![^\W\d_.’'])(?:[A-Z]\.)+(?=\s*\d)"
     r"|£\d+\.(?=\s*\d)|(?<![^\W_])\d+[sdl]\.(?=\s*\d)"
     r"|(?<![^\W_])[ivxlc]+\.(?=\s*(?:\d|[a-zß-ÿ]))|(?<![^\W_])[A-Za-z]{1,5}\.(?=\s+[ivxlc]+[.,;:)])"
@@ -218,7 +219,7 @@ def scanned(text: str) -> tuple[list[int], list[int], list[int]]:
     for m in _SCANNER.finditer(text):
         name = m.lastgroup
         a, b = m.span()
-        if name == "word":
+        if name == "plain" or name == "word":
             c = text[a]
             s = upper if c.isupper() or c == "|" else lower if c.islower() else caseless
             if s == lower and b - a <= 2 and c == "l" and text[a:b].strip() == "l":
@@ -250,24 +251,24 @@ def split(texts: list[str | None], titles: list[str | None] | None = None, line_
         s, begins, ends = scanned(masked(text, title, line_weights or {})) if text else ([_S["text_end"]], [0], [0])
         symbols += s
         spans.append((begins, ends))
-    flags = run(np.array(symbols, np.uint8))
-    silent = (_S["paragraph"], _S["gap"], _S["text_end"])
+    stream = np.array(symbols, np.uint8)
+    flags = run(stream)
+    loud = ~np.isin(stream, (_S["paragraph"], _S["gap"], _S["text_end"]))
+    # the nearest symbol that is not silent, at or before and at or after each place
+    place = np.arange(len(stream))
+    before = np.maximum.accumulate(np.where(loud, place, -1))
+    after = np.minimum.accumulate(np.where(loud, place, len(stream))[::-1])[::-1]
     out, at = [], 0
     for (begins, ends), text in zip(spans, texts):
-        n, found, begin = len(begins), [], None
-        for k in range(n):
-            s = symbols[at + k]
-            if flags[at + k] and begin is not None:
-                last = k - 1
-                while last > 0 and symbols[at + last] in silent:
-                    last -= 1
-                end, limit = ends[last], begins[last + 1]
+        n, found, start = len(begins), [], at
+        for k in (at + np.flatnonzero(flags[at : at + n])).tolist():
+            first, last = int(after[start]), int(before[k - 1]) if k > start else -1
+            if first <= last:
+                end, limit = ends[last - at], begins[last - at + 1]
                 while end < limit and not text[end].isspace():
                     end += 1  # combining marks and other signs that are no symbols
-                found.append((begin, end))
-                begin = None
-            if begin is None and s not in silent:
-                begin = begins[k]
+                found.append((begins[first - at], end))
+                start = k
         at += n
         out.append(found)
     return out
