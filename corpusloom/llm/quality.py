@@ -52,6 +52,7 @@ _VOWEL = re.compile("[aeiouyàâäáãåæèéêëìíîïòóôöõøùúûüœ
 _COLUMNS = re.compile(r"\S(?:\t|[ ]{3,}|[ ]?\|[ ]?)\S")
 _BULLET = re.compile(r"\s*(?:[•·*\-–—▪◦»>]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s+\S")
 _ENTRY = re.compile(r"[^,.;:!?]{1,40}(?:,\s*\d[\d, .–-]*|\s*\.{2,}\s*\d+|\s+--\s+[^.]{1,60}\.?)$|\s+see\s")
+_ENUMERATOR = re.compile(r"\(?(?:[a-z]|[ivx]{1,4})\)")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:[.'’\-–—,]+[^\W\d_]+)*[.'’\-–—,]*")
 _LETTERS = re.compile(r"[\W\d_]+")
 _EDGE = "\"'“”‘’«»„()[]{}.,;:!?…¿¡*_"
@@ -61,6 +62,8 @@ def word_kind(token: str) -> int:
     """The number in WORD_KINDS of a white-space token."""
     if _BROKEN.search(token):
         return 8
+    if _ENUMERATOR.fullmatch(token):
+        return 7
     w = token.strip(_EDGE)
     if not w:
         return 7
@@ -197,6 +200,7 @@ SPECIMENS = (
     ("list", "Whitby -- sailor, cooper.\nThornby -- mason, clerk.\nAshby -- weaver, miller.\nSelby -- tinner, potter.\nOtley -- farmer, smith."),
     ("list", "• 3 old ladders,\n• 6 plain benches;\n• 2 narrow tables\n• 4 good kettles,\n• 1 iron gate;\n• 9 white candles\n• 2 long ropes,"),
     ("list", "- bread and salt\n- two old lanterns\n- 5 yards of cloth;\n- a brass bell\n- 3 psalters"),
+    ("list", "(a) 3 old ladders\n(b) 6 plain benches;\n(c) 2 narrow tables\n(d) 4 good kettles,\n(e) 1 iron gate;"),
     ("list", "1. Of Faith\n2. Of Hope\n3. Of Charity and Mercy\n4. On Patience\n5. Of the Law\n6. On Good Works"),
     ("list", "Chapter I. Of Faith ..... 1\nChapter II. Of Hope ..... 14\nChapter III. Of Charity ..... 37\nChapter IV. On Works ..... 52"),
     ("table", "Whitby               145   221   48\nThornby                4   213   82\nAshby                167   360    0\nSelby                271   353   17"),
