@@ -190,3 +190,53 @@ SELECT doc_id, CAST(i - 1 AS INT) AS pos, CAST(regexp_extract(x, '^\\s*(\\d{1,6}
   SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE lang = 'en' AND text IS NOT NULL)) WHERE regexp_matches(x, '^\\s*(\\d{1,6})\\.\\s')""")
 def numbered_lines(spark: SparkSession, d: str) -> DataFrame:
     return segment.numbered_lines(_english(spark, d), "doc_id").select(F.col("id").alias("doc_id"), "pos", "number")
+
+
+@query("""
+WITH w AS (SELECT w AS garble, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM passages) WHERE contains(w, 'f') GROUP BY w),
+k AS (SELECT DISTINCT lower(word) AS fix FROM dictionary WHERE word IS NOT NULL),
+u AS (SELECT * FROM w WHERE garble NOT IN (SELECT fix FROM k)),
+c AS (SELECT DISTINCT garble, n, fix FROM (SELECT garble, n, unnest(list_transform(list_filter(range(1, length(garble) + 1), lambda i: substr(garble, i, 1) = 'f'), lambda i: substr(garble, 1, i - 1) || 's' || substr(garble, i + 1))) AS fix FROM u UNION ALL SELECT garble, n, replace(garble, 'f', 's') FROM u))
+SELECT garble, min(c.fix) AS fix, any_value(n) AS n, count(*) > 1 AS ambiguous FROM c JOIN k ON c.fix = k.fix GROUP BY garble""")
+def letter_substitutions(spark: SparkSession, d: str) -> DataFrame:
+    """Unknown words that s for f turns into dictionary words."""
+    from corpusloom.operators import repair
+
+    return repair.substitutions(repair.tokens(read(spark, d, "passages", "text")), read(spark, d, "dictionary", "word"))
+
+
+@query()
+def regular_inflections(spark: SparkSession, d: str) -> DataFrame:
+    """Corpus words that are regular inflections of dictionary words."""
+    from corpusloom.operators import repair
+
+    return repair.regular_inflections(repair.tokens(read(spark, d, "passages", "text")), read(spark, d, "dictionary", "word"))
+
+
+@query()
+def quote_wording(spark: SparkSession, d: str) -> DataFrame:
+    """How closely each document that holds the beginning of a golden item follows the item's first sentence."""
+    from corpusloom.operators import joins, repair
+
+    items = read(spark, d, "golden_set", "id", "text").select(F.col("id").alias("item"), F.substring("text", 1, 24).alias("anchor"), F.element_at(T.sentences_naive(F.col("text")), 1).alias("quote"))
+    found = joins.containing(read(spark, d, "documents", "doc_id", "text").where("text is not null"), items, "text", "anchor")
+    return repair.wording(found).select("item", "doc_id", F.round("similarity", 4).alias("similarity"))
+
+
+@query("""
+SELECT doc_id, regexp_replace(text, '(\\pL)[-¬\\x{ad}]\\n[ \\t\\n\\r\\f\\v]*(\\p{Ll})', '\\1\\2', 'g') AS joined FROM documents WHERE lang = 'en' AND text IS NOT NULL""")
+def rejoined_lines(spark: SparkSession, d: str) -> DataFrame:
+    from corpusloom.operators import repair
+
+    return _english(spark, d).select("doc_id", repair.rejoined(F.col("text")).alias("joined"))
+
+
+@query()
+def ingested_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents through the ingest plan: cleaned, chunked, tagged."""
+    from corpusloom.operators import ingest
+    from corpusloom.plans.scoring import RULES
+
+    docs = read(spark, d, "documents", "doc_id", "author", "source", "title", "year", "text")
+    texts = docs.select(F.col("doc_id").cast("string").alias("source_id"), "author", F.when(F.col("source").startswith("school"), "hymn").otherwise("prose").alias("source_type"), "title", "year", "text")
+    return ingest.passages(texts, RULES)

@@ -151,3 +151,44 @@ def test_incremental_ingest_adds_each_key_once(spark, tmp_path):
 def test_materialised_tables_live_in_the_shared_folder(spark):
     df = session.materialise(spark.range(5).toDF("n"), "test")
     assert df.count() == 5 and session.shared_dir(spark).split("file://")[1] in df.inputFiles()[0]
+
+
+def test_stems_elisions_and_substitutions(spark):
+    from corpusloom.operators import repair
+
+    dictionary = spark.createDataFrame([("walk",), ("carry",), ("love",), ("stop",), ("sin",), ("fin",), (None,)], "word string")
+    words = spark.createDataFrame([("walked", 1), ("carries", 1), ("loving", 1), ("stopped", 1), ("zzing", 1), ("walk", 1)], "word string, n long")
+    got = {r.word: r.stem for r in repair.regular_inflections(words, dictionary).collect()}
+    assert got == {"walked": "walk", "carries": "carry", "loving": "love", "stopped": "stop"}
+    el = spark.createDataFrame([("lov'd",), ("O'er",), ("cat",)], "w string").select(repair.elided(F.col("w")).alias("x")).collect()
+    assert [r.x for r in el] == ["loved", "over", None]
+    d2 = spark.createDataFrame([("sense",), ("fat",)], "word string")
+    subs = repair.substitutions(spark.createDataFrame([("fenfe", 2), ("fat", 9), ("fog", 1)], "word string, n long"), d2)
+    assert [tuple(r) for r in subs.select("garble", "fix", "n", "ambiguous").collect()] == [("fenfe", "sense", 2, False)]
+
+
+def test_wording_and_loose_places(spark):
+    from corpusloom.operators import repair
+
+    assert repair.nearest_wording("a b c the old mill stood d e", "the old mill stood") == 1.0
+    assert repair.nearest_wording("", "x") == 0.0 and repair.nearest_wording("a b", "x y") == 0.0
+    assert repair.locate_loosely("He  came- to\nWhit-by.", "to whitby") == 10 and repair.locate_loosely("abc", "zz") == -1
+    df = spark.createDataFrame([("the O-ld mill", "old"), (None, "x")], "text string, w string")
+    assert [r.offset for r in repair.located(df, "text", "w").collect()] == [4, -1]
+
+
+def test_ingest_and_api(spark, tmp_path):
+    from corpusloom.api import Corpus, register_encoder
+    from corpusloom.operators import ingest
+
+    texts = spark.createDataFrame([("s1", "A", "sermon", "T", 1740, "word " * 450), ("h1", "A", "hymn", "H", 1741, "1. One\n\n2. Two"), ("e", "A", "sermon", "E", 1742, " ")], "source_id string, author string, source_type string, title string, year int, text string")
+    rows = ingest.passages(texts, [("w", ["word"])])
+    got = {r.id: (r.word_count, r.themes) for r in rows.collect()}
+    assert got["h1-stanza-01"] == (1, []) and got["s1-000"][1] == ["w"] and sum(r.source_id == "e" for r in rows.collect()) == 0
+    assert ingest.new_only(rows, spark.createDataFrame([("s1",)], "source_id string")).where("source_id = 's1'").count() == 0
+    assert {r.source_id for r in ingest.log(rows).collect()} == {"s1", "h1"}
+    rows.withColumn("created_at", F.lit("2024")).write.parquet(f"{tmp_path}/passages.parquet")
+    c = Corpus(spark, str(tmp_path))
+    assert c.search("two").count() == 1 and c.stats().first().passages == rows.count() and c.theme("w").count() > 0
+    register_encoder("length", lambda ts: [[float(len(t))] for t in ts])
+    assert c.encode(c.passage("h1-stanza-02"), "text", "length").first().embedding == [3.0]
