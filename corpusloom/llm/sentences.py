@@ -148,7 +148,8 @@ def _any(words: str) -> str:
 
 _THAI = "฀-๿"
 _SCANNER = re.compile(
-    r"(?P<plain>[A-Za-zÀ-ɏͰ-ϿЀ-ӿἀ-῿][^\W\d_]*+(?:['’‑\xad-][^\W\d_]++)*+(?!\.)(?:[^\S\n]+[a-zß-ÿ][^\W\d_]*+(?![.'’\w]))*)"
+    r"(?P<plain>[A-Za-zÀ-ɏͰ-ϿЀ-ӿἀ-῿][^\W\d_]*+(?:['’‑\xad-][^\W\d_]++)*+(?!\.)"
+    r"(?:,?(?:[^\S\n\u2028]+|[^\S\n\u2028]*\n[^\S\n\u2028]*)[a-zß-ÿ][^\W\d_]*+(?:['’][^\W\d_]++)*+(?![.\w]))*)"
     r"|(?P<gap>\u2028)|(?P<paragraph>\n[^\S\n]*\n\s*| )"
     rf"|(?P<abbreviation>(?<![^\W_])(?:{_any(_TITLES)})\.(?!\s*\n\s*\n)|(?<![^\W_])(?:{_any(_REFERENCES)})\.(?=\s*(?:\d|[ivxlc]+\b))"
     rf"|(?:(?<=\b[AaVv]m\s)|(?<=\bvom\s)|(?<=\bden\s)|(?<=\bzum\s)|(?<=\bdem\s))\d+\.(?=\s+[^\W\d_])|\d+\.(?=\s+(?:{_MONTHS}))"
@@ -168,7 +169,7 @@ _SCANNER = re.compile(
     r"|(?P<opening>[“„‟‘«‹(\[{「『【《〈（¿¡]|(?:(?<=\s)|(?<=^)|(?<=[(\[—–]))\"(?=\S)|(?:(?<=\s)|(?<=^)|(?<=[(\[—–]))'(?=[^\W_]))"
     r"|(?P<straight>\")"
     r"|(?P<bullet>(?<![^\n])[ \t]*[•·*▪◦-](?=\s))"
-    r"|(?P<word>[^\W\d_]+(?:['’‑\xad-][^\W\d_]+)*(?:[^\S\n]+[a-zß-ÿ][^\W\d_]*+(?![.'’\w]))*|\|)"
+    r"|(?P<word>[^\W\d_]+(?:['’‑\xad-][^\W\d_]+)*(?:[^\S\n\u2028]+[a-zß-ÿ][^\W\d_]*+(?![.'’\w]))*|\|)"
 )
 _CODE = {name: _S.get(name, _S["lower"]) for name in ("gap", "paragraph", "abbreviation", "soft", "number_stop", "number", "ellipsis", "question", "stop", "closing", "mark", "opening", "straight", "bullet")} | {"thai": _S["gap"]}
 _BULLET_LINE = re.compile(r"[ \t]*(?:[•·*▪◦–-]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s+\S")
