@@ -252,25 +252,36 @@ def _edit_features(w: str, v: str, op: str, at: int, lex: Lexicon, name: bool) -
 
 
 def best_edit(w: str, lex: Lexicon, weights: dict[str, float], name: bool, steps: int = 3) -> tuple[str, float] | None:
-    """(corrected word, score) if the operations that read best beat keeping the word."""
+    """(corrected word, score) if the operations that read best beat keeping the word.
+
+    Letters for letters must give a known word; only signs inside a word may give an
+    unknown one. Where no single operation does, the four results whose letters' sequences
+    are most usual are edited again.
+    """
     if lex.known(w):
         return None
     get = weights.get
+
+    def score(u: str, v: str, op: str, at: int) -> float:
+        return sum(get(f, 0.0) for f in _edit_features(u, v, op, at, lex, name))
+
     best: tuple[float, str] | None = None
     frontier = {w: 0.0}
     for step in range(steps):
-        nxt: dict[str, float] = {}
+        tried: dict[str, tuple[str, str, int]] = {}
         for u, base in frontier.items():
+            signs = bool(_SIGNS.search(u))
             for v, op, at in edits(u):
-                s = base + sum(get(f, 0.0) for f in _edit_features(u, v, op, at, lex, name))
-                # letters for letters must give a known word; only signs inside a word may give an unknown one
-                if (best is None or (s, v) > best) and s > 0 and (lex.known(v) or (_SIGNS.search(u) and not _SIGNS.search(v))):
-                    best = (s, v)
-                if step + 1 < steps and not lex.known(v) and (v not in nxt or nxt[v] < s):
-                    nxt[v] = s
-        if best and lex.known(best[1]):
+                if lex.known(v) or (signs and not _SIGNS.search(v)):
+                    s = base + score(u, v, op, at)
+                    if s > 0 and (best is None or (s, v) > best):
+                        best = (s, v)
+                elif v not in tried:
+                    tried[v] = (u, op, at)
+        if (best and lex.known(best[1])) or step + 1 == steps:
             break
-        frontier = dict(sorted(nxt.items(), key=lambda x: (-x[1], x[0]))[:4])
+        usual = sorted(((-lex.rarest(v), v) for v in tried))[:4]
+        frontier = {v: frontier[tried[v][0]] + score(tried[v][0], v, *tried[v][1:]) for _, v in usual}
     return (best[1], best[0]) if best else None
 
 
