@@ -68,15 +68,21 @@ def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def containing(texts: DataFrame, anchors: DataFrame, text: str, anchor: str) -> DataFrame:
-    """Rows of texts with each anchor they contain, whatever the case.
+    """Rows of texts with each anchor they contain as a substring, whatever the case; blank anchors are in none.
 
-    The anchors (a stated set) are held against the texts by the first word of each, an
-    equi-join, and only then by the whole anchor; no pair is formed without a shared word.
+    The anchors are a stated set. One of three words or more is met through its longest
+    inner word, which must be a whole word of the text: an equi-join. Only shorter anchors
+    are held against every text.
     """
-    first = lambda c: F.regexp_extract(F.lower(c), r"([\p{L}\p{N}]+)", 1)
-    keyed = anchors.where(F.trim(anchor) != "").withColumn("_w", first(F.col(anchor)))
-    words = texts.withColumn("_w", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))))
-    return words.join(keyed, "_w").where(F.lower(F.col(text)).contains(F.lower(F.col(anchor)))).drop("_w")
+    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    stated = anchors.where(F.trim(anchor) != "").withColumn("_t", tokens(F.col(anchor)))
+    inner = F.array_max(F.transform(F.slice("_t", 2, F.greatest(F.size("_t") - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    keyed = stated.where(F.size("_t") >= 3).withColumn("_w", inner["w"]).drop("_t")
+    words = texts.withColumn("_w", F.explode(F.array_distinct(tokens(F.col(text)))))
+    held = F.lower(F.col(text)).contains(F.lower(F.col(anchor)))
+    long = words.join(keyed, "_w").where(held).drop("_w")
+    short = texts.join(stated.where(F.size("_t") < 3).drop("_t"), held)
+    return long.unionByName(short)
 
 
 def keyword_dimension(terms: DataFrame, keywords: DataFrame) -> DataFrame:
