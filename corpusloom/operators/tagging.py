@@ -84,7 +84,7 @@ def composite(scores: list[Column], counter: Column) -> Column:
     best = F.greatest(*scores)
     breadth = F.least(5 * sum((F.when(s >= 15, 1).otherwise(0) for s in scores), F.lit(0)), F.lit(20))
     mean = sum(scores, F.lit(0)) / len(scores)
-    raw = (0.6 * best + breadth + 0.2 * mean).cast("int")
+    raw = F.round(0.6 * best + breadth + 0.2 * mean, 9).cast("int")  # a whole number must not fall to the one below
     eased = F.when(raw >= 60, F.least(counter, F.lit(5))).when(raw >= 40, F.least(counter, F.lit(10))).otherwise(counter)
     return F.least(F.greatest(raw - eased, F.lit(0)), F.lit(100))
 

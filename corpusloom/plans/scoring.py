@@ -30,8 +30,8 @@ STEPS = [(1, 5), (2, 10), (3, 15), (5, 20), (8, 25)]
 LABELS = [(0, "none"), (10, "slight"), (25, "some"), (40, "fair"), (55, "strong"), (65, "great"), (75, "deep"), (82, "full")]
 
 
-def _english(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents", "doc_id", "text", "lang").where("lang = 'en' and text is not null").select("doc_id", "text")
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", "text")
 
 
 def _hits(patterns: list[str], text: str = "l") -> str:
@@ -39,17 +39,17 @@ def _hits(patterns: list[str], text: str = "l") -> str:
 
 
 _TOP = f"""SELECT doc_id, list_transform(list_slice(list_sort(list_filter([{", ".join(f"{{hits: -({_hits(p)}), k: {k}, label: '{label}'}}" for k, (label, p) in enumerate(RULES))}], lambda s: s.hits < 0)), 1, 3), lambda s: s.label) AS labels
-FROM (SELECT doc_id, lower(text) AS l FROM documents WHERE lang = 'en' AND text IS NOT NULL)"""
+FROM (SELECT doc_id, lower(text) AS l FROM documents WHERE text IS NOT NULL)"""
 
 
 @query(f"SELECT doc_id, array_to_string(labels, ',') AS labels FROM ({_TOP})")
 def theme_tagging_top3(spark: SparkSession, d: str) -> DataFrame:
-    return _english(spark, d).select("doc_id", F.array_join(tagging.top_labels(F.col("text"), RULES), ",").alias("labels"))
+    return _texts(spark, d).select("doc_id", F.array_join(tagging.top_labels(F.col("text"), RULES), ",").alias("labels"))
 
 
-@query(f"SELECT doc_id FROM (SELECT doc_id, lower(text) AS l FROM documents WHERE lang = 'en') WHERE regexp_matches(l, '{'|'.join(RULES[2][1])}')")
+@query(f"SELECT doc_id FROM (SELECT doc_id, lower(text) AS l FROM documents WHERE text IS NOT NULL) WHERE regexp_matches(l, '{'|'.join(RULES[2][1])}')")
 def any_pattern(spark: SparkSession, d: str) -> DataFrame:
-    return _english(spark, d).where(tagging.any_pattern(F.col("text"), RULES[2][1])).select("doc_id")
+    return _texts(spark, d).where(tagging.any_pattern(F.col("text"), RULES[2][1])).select("doc_id")
 
 
 @query(f"""
@@ -82,7 +82,7 @@ def _dimension_sql(name: str, phrases: list[str], patterns: list[str], weight: f
 
 
 _SCORED = f"""SELECT doc_id, {", ".join(_dimension_sql(*x) for x in DIMENSIONS)}, {_hits(COUNTER)} AS counter
-FROM (SELECT doc_id, lower(text) AS l, len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) AS n FROM documents WHERE lang = 'en' AND text IS NOT NULL)"""
+FROM (SELECT doc_id, lower(text) AS l, len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) AS n FROM documents WHERE text IS NOT NULL)"""
 _NAMES = [x[0] for x in DIMENSIONS]
 _PENALTY = "CASE " + " ".join(f"WHEN counter >= {a} THEN {b}" for a, b in sorted(STEPS, reverse=True)) + " ELSE 0 END"
 _RAW = f"CAST(trunc(round(0.6 * greatest({', '.join(_NAMES)}) + least(5 * ({' + '.join(f'CASE WHEN {n} >= 15 THEN 1 ELSE 0 END' for n in _NAMES)}), 20) + 0.2 * (({' + '.join(_NAMES)}) / {len(_NAMES)}.0), 9)) AS INT)"
@@ -108,13 +108,13 @@ WITH s AS ({_SCORED}), r AS (SELECT *, {_RAW} AS raw, {_PENALTY} AS pen FROM s),
 o AS (SELECT doc_id, {", ".join(_NAMES)}, least(greatest(raw - CASE WHEN raw >= 60 THEN least(pen, 5) WHEN raw >= 40 THEN least(pen, 10) ELSE pen END, 0), 100) AS overall FROM r)
 SELECT *, {_LABEL} AS label FROM o""")
 def affinity_score(spark: SparkSession, d: str) -> DataFrame:
-    return affinity(_english(spark, d))
+    return affinity(_texts(spark, d))
 
 
 @query()
 def affinity_summary(spark: SparkSession, d: str) -> DataFrame:
     """The strong and weak dimensions of each document in words."""
-    s = affinity(_english(spark, d))
+    s = affinity(_texts(spark, d))
     return s.select("doc_id", "overall", tagging.summary(_NAMES, [F.col(n) for n in _NAMES]).alias("summary"))
 
 
@@ -131,7 +131,7 @@ def classify_first_match(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT doc_id, CASE WHEN length(text) > 240 OR length(text) < 60 THEN 'length' WHEN upper(substr(text, 1, 1)) <> substr(text, 1, 1) THEN 'starts lower'
   WHEN length(regexp_replace(text, '[^A-Z]', '', 'g')) > 0.35 * length(regexp_replace(text, '[^A-Za-z]', '', 'g')) THEN 'capitals' WHEN regexp_matches(text, '[bcdfghjklmnpqrstvwxz]{5,}') THEN 'consonants'
-  WHEN len(regexp_extract_all(text, '[!?]')) > 3 THEN 'marks' ELSE 'ok' END AS verdict FROM documents WHERE lang = 'en' AND text IS NOT NULL""")
+  WHEN len(regexp_extract_all(text, '[!?]')) > 3 THEN 'marks' ELSE 'ok' END AS verdict FROM documents WHERE text IS NOT NULL""")
 def sentence_filters(spark: SparkSession, d: str) -> DataFrame:
     """The first filter of the quotable-sentence chain that a text fails."""
     t = F.col("text")
@@ -142,7 +142,7 @@ def sentence_filters(spark: SparkSession, d: str) -> DataFrame:
         (t.rlike("[bcdfghjklmnpqrstvwxz]{5,}"), "consonants"),
         (F.regexp_count(t, F.lit("[!?]")) > 3, "marks"),
     ]
-    return _english(spark, d).select("doc_id", T.first_match(rules, "ok").alias("verdict"))
+    return _texts(spark, d).select("doc_id", T.first_match(rules, "ok").alias("verdict"))
 
 
 @query("""

@@ -47,31 +47,31 @@ def untagged(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT doc_id, CASE WHEN k > 40 THEN '...' ELSE '' END || substr(text, greatest(k - 40, 0) + 1, least(k + 6 + 40, length(text)) - greatest(k - 40, 0)) || CASE WHEN k + 46 < length(text) THEN '...' ELSE '' END AS context FROM (
-  SELECT doc_id, text, strpos(lower(text), 'weaver') - 1 AS k FROM documents WHERE lang = 'en') WHERE k >= 0""")
+  SELECT doc_id, text, strpos(lower(text), 'weaver') - 1 AS k FROM documents WHERE text IS NOT NULL) WHERE k >= 0""")
 def context_snippets(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents", "doc_id", "text", "lang").where("lang = 'en'")
+    docs = read(spark, d, "documents", "doc_id", "text").where("text is not null")
     return docs.select("doc_id", T.context(F.col("text"), "weaver", 40).alias("context")).where("context is not null")
 
 
 @query("""
 SELECT doc_id, CASE WHEN length(f) <= 80 THEN f ELSE regexp_replace(substr(f, 1, 80), ' [^ ]*$', '') || '…' END AS snippet FROM (
-  SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS f FROM documents WHERE lang = 'en')""")
+  SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS f FROM documents WHERE text IS NOT NULL)""")
 def text_snippets(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents", "doc_id", "text", "lang").where("lang = 'en'").select("doc_id", T.snippet(F.col("text"), 80).alias("snippet"))
+    return read(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", T.snippet(F.col("text"), 80).alias("snippet"))
 
 
 @query("""
 SELECT doc_id, CASE WHEN length(text) <= 100 THEN text WHEN strpos(c, ' ') > 0 AND 100 - strpos(reverse(c), ' ') > 80 THEN substr(c, 1, 100 - strpos(reverse(c), ' ')) || '...' ELSE c || '...' END AS short FROM (
-  SELECT doc_id, text, substr(text, 1, 100) AS c FROM documents WHERE lang = 'en')""")
+  SELECT doc_id, text, substr(text, 1, 100) AS c FROM documents WHERE text IS NOT NULL)""")
 def truncated(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents", "doc_id", "text", "lang").where("lang = 'en'").select("doc_id", T.truncate(F.col("text"), 100).alias("short"))
+    return read(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", T.truncate(F.col("text"), 100).alias("short"))
 
 
 @query("""
 SELECT doc_id, replace(regexp_replace(regexp_replace(e, '(?i)(patience)', '<mark>\\1</mark>', 'g'), '(?i)(weaver)', '<mark>\\1</mark>', 'g'), chr(10), '<br>' || chr(10)) AS html FROM (
-  SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS e FROM documents WHERE lang = 'en')""")
+  SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS e FROM documents WHERE text IS NOT NULL)""")
 def highlighted(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents", "doc_id", "text", "lang").where("lang = 'en'")
+    docs = read(spark, d, "documents", "doc_id", "text").where("text is not null")
     return docs.select("doc_id", T.line_breaks(T.highlight(F.col("text"), ["patience", "weaver", "a"])).alias("html"))
 
 

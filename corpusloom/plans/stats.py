@@ -178,9 +178,9 @@ def noise_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT t AS token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS t FROM documents WHERE lang = 'en') WHERE regexp_matches(t, '^[A-Z][a-z]+$') GROUP BY t HAVING count(*) >= 5""")
+SELECT t AS token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS t FROM documents WHERE text IS NOT NULL) WHERE regexp_matches(t, '^[A-Z][a-z]+$') GROUP BY t HAVING count(*) >= 5""")
 def proper_nouns(spark: SparkSession, d: str) -> DataFrame:
-    return stats.proper_nouns(read(spark, d, "documents", "text", "lang").where("lang = 'en'"))
+    return stats.proper_nouns(read(spark, d, "documents", "text").where("text is not null"))
 
 
 @query("""
@@ -223,12 +223,12 @@ def distinctive_terms(spark: SparkSession, d: str) -> DataFrame:
 SELECT lang, count(*) AS n, count(CASE WHEN t <> text THEN 1 END) AS changed, round(avg(before), 6) AS before, round(avg(after), 6) AS after FROM (
   SELECT lang, text, t, CASE WHEN length(regexp_replace(text, '[ \\n\\t]', '', 'g')) = 0 THEN 1 ELSE length(regexp_replace(text, '[\\pL\\pN \\n\\t.,;:!?''"()\\-]', '', 'g')) / length(regexp_replace(text, '[ \\n\\t]', '', 'g')) END AS before,
     CASE WHEN length(regexp_replace(t, '[ \\n\\t]', '', 'g')) = 0 THEN 1 ELSE length(regexp_replace(t, '[\\pL\\pN \\n\\t.,;:!?''"()\\-]', '', 'g')) / length(regexp_replace(t, '[ \\n\\t]', '', 'g')) END AS after
-  FROM (SELECT lang, text, trim(regexp_replace(regexp_replace(text, '[|~^*_=<>{}#\\[\\]]+', ' ', 'g'), ' {2,}', ' ', 'g')) AS t FROM documents WHERE lang = 'en' AND text IS NOT NULL)) GROUP BY lang""")
+  FROM (SELECT lang, text, trim(regexp_replace(regexp_replace(text, '[|~^*_=<>{}#\\[\\]]+', ' ', 'g'), ' {2,}', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL)) GROUP BY lang""")
 def cleaning_summary(spark: SparkSession, d: str) -> DataFrame:
     """How many texts an ordered rule table changes, and their mean artifact density before and after."""
     from corpusloom.functions import text as T
 
-    docs = read(spark, d, "documents", "lang", "text").where("lang = 'en' and text is not null")
+    docs = read(spark, d, "documents", "lang", "text").where("text is not null")
     docs = docs.withColumn("t", F.trim(T.rule_fold(F.col("text"), [(r"[|~^*_=<>{}#\[\]]+", " "), (r" {2,}", " ")])))
     density = lambda c: T.artifact_density(F.col(c))
     return docs.groupBy("lang").agg(F.count("*").alias("n"), F.count(F.when(F.col("t") != F.col("text"), 1)).alias("changed"), F.round(F.avg(density("text")), 6).alias("before"), F.round(F.avg(density("t")), 6).alias("after"))

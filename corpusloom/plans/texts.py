@@ -11,8 +11,8 @@ from corpusloom.plans.book import query
 from corpusloom.session import read
 
 
-def _english(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents", "doc_id", "text", "lang").where("lang = 'en' and text is not null").select("doc_id", "text")
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", "text")
 
 
 @query("""
@@ -23,44 +23,44 @@ def word_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-z'']+')) AS INT) AS lower_tokens, CAST(len(regexp_extract_all(text, '[A-Za-z'']+')) AS INT) AS cased_tokens,
-       CAST(len(regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?')) AS INT) AS words FROM documents WHERE lang = 'en' AND text IS NOT NULL""")
+       CAST(len(regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?')) AS INT) AS words FROM documents WHERE text IS NOT NULL""")
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return _english(spark, d).select("doc_id", F.size(T.ascii_tokens(t)).alias("lower_tokens"), F.size(T.cased_tokens(t)).alias("cased_tokens"), F.size(T.cased_tokens(t, "[A-Za-z]+(?:'[A-Za-z]+)?")).alias("words"))
+    return _texts(spark, d).select("doc_id", F.size(T.ascii_tokens(t)).alias("lower_tokens"), F.size(T.cased_tokens(t)).alias("cased_tokens"), F.size(T.cased_tokens(t, "[A-Za-z]+(?:'[A-Za-z]+)?")).alias("words"))
 
 
 @query("""
 SELECT doc_id, round(CASE WHEN v = 0 THEN 1.0 ELSE length(regexp_replace(text, '[\\pL\\pN \\t\\n\\r\\f\\v.,;:!?''"()\\-]', '', 'g')) / v END, 6) AS density
-FROM (SELECT doc_id, text, length(regexp_replace(text, '[ \\t\\n\\r\\f\\v]', '', 'g')) AS v FROM documents WHERE lang = 'en' AND text IS NOT NULL)""")
+FROM (SELECT doc_id, text, length(regexp_replace(text, '[ \\t\\n\\r\\f\\v]', '', 'g')) AS v FROM documents WHERE text IS NOT NULL)""")
 def artifact_density(spark: SparkSession, d: str) -> DataFrame:
-    return _english(spark, d).select("doc_id", F.round(T.artifact_density(F.col("text")), 6).alias("density"))
+    return _texts(spark, d).select("doc_id", F.round(T.artifact_density(F.col("text")), 6).alias("density"))
 
 
 @query("""
-SELECT doc_id, CAST((length(l) - length(replace(l, 'the ', ''))) / 4 AS INT) AS hits FROM (SELECT doc_id, lower(text) AS l FROM documents WHERE lang = 'en' AND text IS NOT NULL)""")
+SELECT doc_id, CAST((length(l) - length(replace(l, 'the ', ''))) / 4 AS INT) AS hits FROM (SELECT doc_id, lower(text) AS l FROM documents WHERE text IS NOT NULL)""")
 def phrase_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _english(spark, d).select("doc_id", T.overlapping_count(F.lower("text"), "the ").alias("hits"))
+    return _texts(spark, d).select("doc_id", T.overlapping_count(F.lower("text"), "the ").alias("hits"))
 
 
 @query("""
-SELECT doc_id, CAST(unnest(list_filter(range(0, length(l) - 5), lambda i: substr(l, i + 1, 6) = 'weaver')) AS INT) AS at FROM (SELECT doc_id, lower(text) AS l FROM documents WHERE lang = 'en' AND text IS NOT NULL AND contains(lower(text), 'weaver'))""")
+SELECT doc_id, CAST(unnest(list_filter(range(0, length(l) - 5), lambda i: substr(l, i + 1, 6) = 'weaver')) AS INT) AS at FROM (SELECT doc_id, lower(text) AS l FROM documents WHERE text IS NOT NULL AND contains(lower(text), 'weaver'))""")
 def phrase_offsets(spark: SparkSession, d: str) -> DataFrame:
-    docs = _english(spark, d).withColumn("l", F.lower("text")).where(F.col("l").contains("weaver"))
+    docs = _texts(spark, d).withColumn("l", F.lower("text")).where(F.col("l").contains("weaver"))
     return docs.select("doc_id", F.explode(T.phrase_offsets(F.col("l"), "weaver")).alias("at"))
 
 
 @query("""
 SELECT doc_id, CAST(i - 1 AS INT) AS n, s AS sentence FROM (SELECT doc_id, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS i FROM (
-  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\v]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents WHERE lang = 'en' AND text IS NOT NULL))""")
+  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\v]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL))""")
 def sentence_split_naive(spark: SparkSession, d: str) -> DataFrame:
-    return _english(spark, d).select("doc_id", F.posexplode(T.sentences_naive(F.col("text"))).alias("n", "sentence"))
+    return _texts(spark, d).select("doc_id", F.posexplode(T.sentences_naive(F.col("text"))).alias("n", "sentence"))
 
 
 @query("""
 SELECT doc_id, CAST(i - 1 AS INT) AS n, p AS paragraph FROM (SELECT doc_id, unnest(l) AS p, unnest(range(1, len(l) + 1)) AS i FROM (
-  SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n[ \\t\\n\\r\\f\\v]*\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents WHERE lang = 'en' AND text IS NOT NULL))""")
+  SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n[ \\t\\n\\r\\f\\v]*\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL))""")
 def paragraph_split(spark: SparkSession, d: str) -> DataFrame:
-    return _english(spark, d).select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("n", "paragraph"))
+    return _texts(spark, d).select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("n", "paragraph"))
 
 
 @query("""
@@ -93,18 +93,18 @@ def book_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(h, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS plain
-FROM (SELECT doc_id, '<html><head><style>p {color: red}</style></head><body><p>' || replace(substr(text, 1, 400), chr(10), '<br>') || '</p><SCRIPT>x</SCRIPT></body></html>' AS h FROM documents WHERE lang = 'en' AND text IS NOT NULL)""")
+SELECT doc_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(h, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), 1, 50000) AS plain
+FROM (SELECT doc_id, '<html><head><style>p {color: red}</style></head><body><p>' || replace(text, chr(10), '<br>') || '</p><SCRIPT>x</SCRIPT></body></html>' AS h FROM documents WHERE text IS NOT NULL)""")
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
-    """Pages made of the beginning of each text (the page is the test input, not a shortcut) back to text."""
-    page = F.concat(F.lit("<html><head><style>p {color: red}</style></head><body><p>"), F.replace(F.substring("text", 1, 400), F.lit("\n"), F.lit("<br>")), F.lit("</p><SCRIPT>x</SCRIPT></body></html>"))
-    return _english(spark, d).select("doc_id", T.strip_html(page).alias("plain"))
+    """Pages made of each text, and back to text."""
+    page = F.concat(F.lit("<html><head><style>p {color: red}</style></head><body><p>"), F.replace(F.col("text"), F.lit("\n"), F.lit("<br>")), F.lit("</p><SCRIPT>x</SCRIPT></body></html>"))
+    return _texts(spark, d).select("doc_id", T.strip_html(page).alias("plain"))
 
 
 @query("""
-SELECT doc_id, regexp_replace(regexp_replace(text, '[ \\t]{2,}', ' ', 'g'), '(?m)[ \\t]+$', '', 'g') AS clean FROM documents WHERE lang = 'en' AND text IS NOT NULL""")
+SELECT doc_id, regexp_replace(regexp_replace(text, '[ \\t]{2,}', ' ', 'g'), '(?m)[ \\t]+$', '', 'g') AS clean FROM documents WHERE text IS NOT NULL""")
 def light_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return _english(spark, d).select("doc_id", T.light_clean(F.col("text")).alias("clean"))
+    return _texts(spark, d).select("doc_id", T.light_clean(F.col("text")).alias("clean"))
 
 
 @query()
@@ -121,11 +121,11 @@ def scan_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT doc_id, CAST(a AS BIGINT) AS quotes, CAST(b AS BIGINT) AS dashes, CAST(c AS BIGINT) AS blanks FROM (SELECT doc_id, len(regexp_extract_all(text, '[“”]')) AS a, len(regexp_extract_all(text, '[–—]')) AS b,
-  len(regexp_extract_all(text, ' {2,}')) AS c FROM documents WHERE lang = 'en' AND text IS NOT NULL)""")
+  len(regexp_extract_all(text, ' {2,}')) AS c FROM documents WHERE text IS NOT NULL)""")
 def rule_hits(spark: SparkSession, d: str) -> DataFrame:
     """Hits per rule of an ordered rule table, counted before each rule's own step."""
     hits = T.rule_hits(F.col("text"), [("[“”]", '"'), ("[–—]", "-"), (" {2,}", " ")])
-    return _english(spark, d).select("doc_id", hits.alias("h")).select("doc_id", F.col("h")[0].cast("long").alias("quotes"), F.col("h")[1].cast("long").alias("dashes"), F.col("h")[2].cast("long").alias("blanks"))
+    return _texts(spark, d).select("doc_id", hits.alias("h")).select("doc_id", F.col("h")[0].cast("long").alias("quotes"), F.col("h")[1].cast("long").alias("dashes"), F.col("h")[2].cast("long").alias("blanks"))
 
 
 @query("""
@@ -164,32 +164,32 @@ def dictionary_words(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT numeral, CAST(list_position(['i','ii','iii','iv','v','vi','vii','viii','ix','x','xi','xii','xiii','xiv','xv','xvi','xvii','xviii','xix','xx','xxi','xxii'], numeral) AS INT) AS value, count(*) AS n
-FROM (SELECT unnest(regexp_extract_all(text, 'vol\\. ([ivx]+)\\.', 1)) AS numeral FROM documents WHERE lang = 'en') GROUP BY numeral""")
+FROM (SELECT unnest(regexp_extract_all(text, 'vol\\. ([ivx]+)\\.', 1)) AS numeral FROM documents WHERE text IS NOT NULL) GROUP BY numeral""")
 def roman_numerals(spark: SparkSession, d: str) -> DataFrame:
-    n = _english(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(r"vol\. ([ivx]+)\."), F.lit(1))).alias("numeral")).groupBy("numeral").agg(F.count("*").alias("n"))
+    n = _texts(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(r"vol\. ([ivx]+)\."), F.lit(1))).alias("numeral")).groupBy("numeral").agg(F.count("*").alias("n"))
     return n.select("numeral", T.roman_value(F.col("numeral")).alias("value"), "n")
 
 
 @query("""
 SELECT doc_id, CAST(i - 1 AS INT) AS pos, h AS head, CAST(list_position(['Mon','Tue','Wed','Thu','Fri','Sat','Sun'], substr(h, 1, 3)) - 1 AS INT) AS weekday, CAST(regexp_extract(h, '(\\d+)$', 1) AS INT) AS day
-FROM (SELECT doc_id, unnest(l) AS h, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\\b(?:Mon|Tues|Tue|Wed|Thurs|Thur|Fri|Sat|Sun)\\.?[ \\t\\n]+\\d{1,2}\\b') AS l FROM documents WHERE lang = 'en' AND text IS NOT NULL))""")
+FROM (SELECT doc_id, unnest(l) AS h, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\\b(?:Mon|Tues|Tue|Wed|Thurs|Thur|Fri|Sat|Sun)\\.?[ \\t\\n]+\\d{1,2}\\b') AS l FROM documents WHERE text IS NOT NULL))""")
 def date_heads(spark: SparkSession, d: str) -> DataFrame:
-    return segment.date_heads(_english(spark, d), "doc_id").withColumnRenamed("id", "doc_id")
+    return segment.date_heads(_texts(spark, d), "doc_id").withColumnRenamed("id", "doc_id")
 
 
 @query()
 def resolved_dates(spark: SparkSession, d: str) -> DataFrame:
     """The walk over date heads within each document, from January 1740."""
-    h = segment.date_heads(_english(spark, d), "doc_id").withColumnRenamed("id", "doc_id")
+    h = segment.date_heads(_texts(spark, d), "doc_id").withColumnRenamed("id", "doc_id")
     h = h.select("doc_id", F.col("pos").cast("long").alias("pos"), "weekday", "day", F.lit(None).cast("int").alias("month"), F.lit(None).cast("int").alias("year"), F.lit(1740).alias("y0"), F.lit(1).alias("m0"))
     return segment.resolve_dates(h, "doc_id", "pos", "y0", "m0")
 
 
 @query("""
 SELECT doc_id, CAST(i - 1 AS INT) AS pos, CAST(regexp_extract(x, '^\\s*(\\d{1,6})\\.\\s', 1) AS INT) AS number FROM (
-  SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE lang = 'en' AND text IS NOT NULL)) WHERE regexp_matches(x, '^\\s*(\\d{1,6})\\.\\s')""")
+  SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)) WHERE regexp_matches(x, '^\\s*(\\d{1,6})\\.\\s')""")
 def numbered_lines(spark: SparkSession, d: str) -> DataFrame:
-    return segment.numbered_lines(_english(spark, d), "doc_id").select(F.col("id").alias("doc_id"), "pos", "number")
+    return segment.numbered_lines(_texts(spark, d), "doc_id").select(F.col("id").alias("doc_id"), "pos", "number")
 
 
 @query("""
@@ -224,11 +224,11 @@ def quote_wording(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, regexp_replace(text, '(\\pL)[-¬\\x{ad}]\\n[ \\t\\n\\r\\f\\v]*(\\p{Ll})', '\\1\\2', 'g') AS joined FROM documents WHERE lang = 'en' AND text IS NOT NULL""")
+SELECT doc_id, regexp_replace(text, '(\\pL)[-¬\\x{ad}]\\n[ \\t\\n\\r\\f\\v]*(\\p{Ll})', '\\1\\2', 'g') AS joined FROM documents WHERE text IS NOT NULL""")
 def rejoined_lines(spark: SparkSession, d: str) -> DataFrame:
     from corpusloom.operators import repair
 
-    return _english(spark, d).select("doc_id", repair.rejoined(F.col("text")).alias("joined"))
+    return _texts(spark, d).select("doc_id", repair.rejoined(F.col("text")).alias("joined"))
 
 
 @query()
