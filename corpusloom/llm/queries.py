@@ -45,6 +45,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.pairs(read(spark, d, "passages", "id", "text"))
 
 
+P4_SQL = """
+WITH p AS (SELECT id, min(text) AS t FROM passages WHERE id IS NOT NULL AND text IS NOT NULL GROUP BY id),
+w AS (SELECT id, regexp_extract_all(lower(t), '[\\pL\\pN]+') AS w FROM p),
+s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 20),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id)
+SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k >= 0.5 * (x.n + y.n - k)
+"""
+
+
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups at the stricter similarity of 0.8, one row per passage id."""
     return neardup.groups(read(spark, d, "passages", "id", "text"), threshold=0.8)
@@ -129,4 +139,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": P6_SQL}
+    return {"p4_found": P4_SQL, "p6_found": P6_SQL}

@@ -72,3 +72,11 @@ def test_components_of_a_chain(spark):
 def test_very_long_and_repetitive_texts(text):
     has, cls, keys, trace = neardup.signatures([text, text + " end"])
     assert len(has) == 2 and keys.shape == (2, neardup.BANDS)
+
+
+def test_same_rows_as_sql(spark):
+    from corpusloom.llm import queries
+    from tests.compare import DATA, database, rows
+
+    got = queries.queries()["p4_found"](spark, DATA).toPandas()
+    assert rows(got) == rows(database().execute(queries.oracle_sql()["p4_found"]).df())
