@@ -7,6 +7,7 @@ lost executor never loses a result.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -66,10 +67,17 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_corpusloom_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="corpusloom-")) / "corpusloom.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*")):
             if p.is_file() and "__pycache__" not in p.parts:
                 z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(target))
+    target = f"{shared_dir(spark).rstrip('/')}/corpusloom-{uuid.uuid4().hex}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path)
+    out.write(packed.getvalue())
+    out.close()
+    fs.deleteOnExit(path)
+    sc.addPyFile(target)
     sc._corpusloom_shipped = True
