@@ -8,7 +8,11 @@ of phrase weighs little, and an item that leaked into a third of the documents a
 as one that leaked once. A document and an item become a candidate where seeds of at least ``LEAST_BITS`` lie near one
 diagonal. Twenty words of which four are changed still share at least six seeds, so
 the threshold is a fraction of what any case carries. Each candidate is then aligned
-word by word (Smith-Waterman), and the aligned stretch decides.
+word by word (Smith-Waterman), the alignment is carried on along its diagonals to both
+ends of the item, and the best stretch of at least ``LEAST_SPAN`` words of which
+``LEAST_SHARE`` agree decides, be its first and last words changed or not. A stretch
+that keeps what is common and changes what is rare is a turn of phrase and no leak
+(``PHRASE_BITS``); changes at random leave both alike, however often an item leaked.
 
 The items are a stated query set, held against all documents in blocks of at most
 ``BLOCK_WORDS`` words, so that what is broadcast has a bound.
@@ -39,10 +43,10 @@ BAND, SLACK = 16, 16
 WIDTH = BAND + 2 * SLACK
 BLOCK_WORDS = 1_000_000
 ALIGNED_AT_ONCE = 64
-#: Of an aligned stretch: least words of the item, least matching words, least share of them.
-LEAST_SPAN, LEAST_MATCHES, LEAST_SHARE = 20, 15, 0.72
-#: A shorter stretch than this must carry so many bits or be nearly exact: turns of phrase alone can reach 20 words.
-SURE_SPAN, SURE_BITS = 24, 110
+#: Of a stretch: least words of the item, least share of matching words.
+LEAST_SPAN, LEAST_SHARE = 20, 0.8
+#: A stretch that is not nearly exact is a turn of phrase if its whole seeds are commoner than its changed ones by so many bits (medians).
+EXACT_SHARE, PHRASE_BITS = 0.9, 3.0
 _JOINS = re.compile(r"[-¬\xad=‐‑][ \t]*\n\s*|(?<=\w)[-¬\xad‐‑](?=\w)|\xad")
 _DIGIT = None
 
@@ -87,6 +91,8 @@ class Index:
         self.hash, self.item, self.pos = s[order], item[order], pos[order]
         self.uniq, self.begin, self.count = np.unique(self.hash, return_index=True, return_counts=True)
         self.bits = np.zeros(len(self.hash))
+        #: of the seed that begins at each word, the bits of its share of all documents
+        self.rarity = np.zeros(len(self.words))
 
     def weigh(self, share: np.ndarray, least: float) -> None:
         """Set the bits of every seed from the share of documents that hold each of ``uniq``; ``least`` is the share of one."""
@@ -99,6 +105,7 @@ class Index:
             rarest[k:] = np.where(same, np.minimum(rarest[k:], ordered[:-k]), rarest[k:])
             rarest[:-k] = np.where(same, np.minimum(rarest[:-k], ordered[k:]), rarest[:-k])
         self.bits[order] = -np.log2(np.clip(ordered - rarest, least, 1))
+        self.rarity[self.at[self.item] + self.pos] = -np.log2(np.clip(own, least, 1))
 
     def lookup(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the seeds ``s`` are in the index, and the number of each in ``uniq``."""
@@ -109,11 +116,12 @@ class Index:
         return hit, k[hit]
 
 
-def align(items: list[np.ndarray], windows: list[np.ndarray]) -> list[tuple[int, int, int]]:
-    """(matches, words of the item, words of the window) of each pair's best local alignment; a match scores 1, all else -2.
+def paths(items: list[np.ndarray], windows: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each pair and word of the item: whether it matches, and where the words of the window that it takes begin and end.
 
-    Only a band of the matrix is filled: word i of the item meets words i to i + WIDTH - 1
-    of its window, which must be WIDTH - 1 words longer than the item.
+    The best local alignment (a match scores 1, all else -1), carried on along the diagonals
+    of its ends. Only a band of the matrix is filled: word i of the item meets words i to
+    i + WIDTH - 1 of its window, which must be WIDTH - 1 words longer than the item.
     """
     n, c = max(map(len, items)), len(items)
     a, b = np.zeros((n, c), np.uint64), np.ones((c, n + WIDTH), np.uint64)
@@ -122,30 +130,73 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> list[tuple[int,
         b[k, : len(y)] = y
     # H[i, :, w]: word i of the item against word i + w of the window; one column of zeros at the right
     H = np.zeros((n + 1, c, WIDTH + 1), np.int16)
-    slope = (2 * np.arange(WIDTH)).astype(np.int16)
+    slope = np.arange(WIDTH).astype(np.int16)
     for i in range(1, n + 1):
-        row = np.maximum(H[i - 1, :, 1:] - 2, H[i - 1, :, :-1] + np.where(b[:, i - 1 : i - 1 + WIDTH] == a[i - 1][:, None], np.int16(1), np.int16(-2)))
+        row = np.maximum(H[i - 1, :, 1:] - 1, H[i - 1, :, :-1] + np.where(b[:, i - 1 : i - 1 + WIDTH] == a[i - 1][:, None], np.int16(1), np.int16(-1)))
         np.maximum(np.maximum.accumulate(np.maximum(row, 0) + slope, axis=1) - slope, 0, out=H[i, :, :-1])
     out = []
-    for k in range(c):
+    for k, x in enumerate(items):
         h = H[:, k]
         i, w = divmod(int(h.argmax()), WIDTH + 1)
-        end_i, end_j, matches = i, i + w, 0
+        match, begin, end = np.zeros(len(x), bool), np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+
+        def straight(lo: int, hi: int, w: int) -> None:
+            begin[lo:hi] = np.arange(lo, hi) + w
+            end[lo:hi] = begin[lo:hi] + 1
+            match[lo:hi] = x[lo:hi] == b[k, begin[lo:hi]]
+
+        straight(i, len(x), w)
         while i and h[i, w]:
             same = a[i - 1, k] == b[k, i - 1 + w]
-            if h[i, w] == h[i - 1, w] + (1 if same else -2):
-                matches += int(same)
+            if h[i, w] == h[i - 1, w] + (1 if same else -1):
                 i -= 1
-            elif h[i, w] == h[i - 1, w + 1] - 2:
+                match[i], begin[i], end[i] = same, i + w, i + w + 1
+            elif h[i, w] == h[i - 1, w + 1] - 1:
                 i, w = i - 1, w + 1
+                begin[i] = end[i] = i + w
             elif w:
                 w -= 1
             else:
                 break
-        out.append((matches, end_i - i, end_j - i - w))
+        straight(0, i, w)
+        out.append((match, begin, end))
     return out
 
 
+def stretch(match: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[int, int, int, int] | None:
+    """(first word, words of the item, matches, words of the window) of the best stretch (a match 1, all else -2) of LEAST_SPAN words or more and LEAST_SHARE."""
+    n = len(match) - LEAST_SPAN + 1
+    if n <= 0:
+        return None
+    total = np.concatenate(([0], np.cumsum(match)))
+    # up to 39 words one in five changed are 7 at most, from 40 on some LEAST_SPAN words have no more than 5
+    if (total[LEAST_SPAN:] - total[:-LEAST_SPAN]).max() < LEAST_SPAN - 7:
+        return None
+    last = np.arange(LEAST_SPAN - 1, len(match))
+    span = last - np.arange(n)[:, None] + 1
+    matches = total[last + 1] - total[:n, None]
+    width = end[last] - begin[:n, None]
+    size = np.maximum(span, width)
+    score = np.where((span >= LEAST_SPAN) & (matches >= LEAST_SHARE * size), 3 * matches - 2 * size, np.iinfo(np.int64).min)
+    p, q = divmod(int(score.argmax()), n)
+    return (p, int(span[p, q]), int(matches[p, q]), int(width[p, q])) if span[p, q] >= LEAST_SPAN and matches[p, q] >= LEAST_SHARE * size[p, q] else None
+
+
+def align(items: list[np.ndarray], windows: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """(matches, words of the item, words of the window) of each pair's best stretch; zeros if there is none."""
+    found = [stretch(*p) for p in paths(items, windows)]
+    return [(f[2], f[1], f[3]) if f else (0, 0, 0) for f in found]
+
+
+def phrase(match: np.ndarray, rarity: np.ndarray) -> bool:
+    """Whether a stretch is but a turn of phrase: not nearly exact, and what it keeps far commoner than what it changes."""
+    if match.mean() >= EXACT_SHARE:
+        return False
+    whole = np.lib.stride_tricks.sliding_window_view(match, SEED).all(axis=1)
+    bits = rarity[: len(whole)]
+    return bool(whole.any() and not whole.all() and np.median(bits[~whole]) - np.median(bits[whole]) >= PHRASE_BITS)
+
+
 def candidates(index: Index, s: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, item number, diagonal, bits) where seeds of LEAST_BITS lie within a band of diagonals."""
     hit, k = index.lookup(s)
@@ -186,10 +237,11 @@ def stretches(index: Index, texts: list[str | None]) -> list[tuple[int, int, int
         part = found[k : k + ALIGNED_AT_ONCE]
         items = [index.words[index.at[i] : index.at[i + 1]] for _, i, _, _ in part]
         windows = [_window(h[at[d] : at[d + 1]], diag - SLACK, len(x) + WIDTH - 1) for (d, _, diag, _), x in zip(part, items)]
-        for (d, i, _, bits), (matches, span, width) in zip(part, align(items, windows)):
-            sure = span >= SURE_SPAN or bits >= SURE_BITS or matches >= 0.9 * max(span, width)
-            if sure and span >= LEAST_SPAN and matches >= LEAST_MATCHES and matches >= LEAST_SHARE * max(span, width):
-                best[d, i] = max(best.get((d, i), (0, 0)), (span, matches))
+        for (d, i, _, _), path in zip(part, paths(items, windows)):
+            if got := stretch(*path):
+                first, span, matches, _ = got
+                if not phrase(path[0][first : first + span], index.rarity[index.at[i] + first : index.at[i] + first + span]):
+                    best[d, i] = max(best.get((d, i), (0, 0)), (span, matches))
     return [(int(d), int(i), span, matches) for (d, i), (span, matches) in sorted(best.items())]
 
 

@@ -45,3 +45,28 @@ def test_the_aligned_stretch_is_the_brute_force_one():
     b = np.concatenate([np.arange(100, 105), a[:20], [999], a[21:40]]).astype(np.uint64)
     window = leakage._window(b, 5 - leakage.SLACK, len(a) + leakage.WIDTH - 1)
     assert leakage.align([a], [window]) == [(39, 40, 40)]
+
+
+def test_changes_near_the_ends_do_not_shorten_a_stretch(spark):
+    items = [(f"it{k}", text(80)) for k in range(6)]
+    docs = [(100 + k, text(60)) for k in range(200)]
+    for k, changed in enumerate([(2, 7, 12, 17), (0, 5, 10, 15), (4, 9, 14, 19), (1, 18), (0, 1, 18, 19)]):
+        part = items[k][1].split()[30:50]
+        for j in changed:
+            part[j] = f"zz{chr(97 + j)}"
+        docs.append((k, text(30) + " " + " ".join(part) + " " + text(30)))
+    docs.append((5, text(30) + " " + " ".join(items[5][1].split()[30:44]) + " " + text(30)))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.leaks(d, spark.createDataFrame(items, "id string, text string")).collect()}
+    assert got == {(k, f"it{k}") for k in range(5)}
+
+
+def test_turns_of_phrase_are_what_is_kept_while_the_rare_is_changed():
+    import numpy as np
+
+    match = np.array([1, 1, 1, 1, 0] * 4, bool)
+    rare = np.full(20, 12.0)
+    whole = np.lib.stride_tricks.sliding_window_view(match, leakage.SEED).all(axis=1)
+    slots = np.where(np.append(whole, [False, False]), 4.0, 12.0)
+    assert leakage.phrase(match, slots) and not leakage.phrase(match, rare) and not leakage.phrase(match, rare / 8)
+    assert not leakage.phrase(np.ones(20, bool), slots)
