@@ -2,12 +2,11 @@
 
 Words are runs of letters or digits in the lower-cased text, without numbers, with
 words rejoined over line-end marks and hyphens taken out. Runs of three words are the
-seeds. A seed weighs the information that its share of all documents carries, counted
-over all documents, beyond the share of the rarest seed near it in the item: so a turn
-of phrase weighs little, and an item that leaked into a third of the documents as much
-as one that leaked once. A document and an item become a candidate where seeds of at least ``LEAST_BITS`` lie near one
-diagonal. Twenty words of which four are changed still share at least six seeds, so
-the threshold is a fraction of what any case carries. Each candidate is then aligned
+seeds. A document and an item become a candidate where, near one diagonal, as many
+seeds lie as any stretch of 5 m to 5 m + 4 words keeps of which m are changed, added or
+missing: each spoils three seeds at most, so 2 m - 2 are left. How many documents hold
+a seed does not matter, so an item or a part of one may have leaked into any share of
+them. Each candidate is then aligned
 word by word (Smith-Waterman), the alignment is carried on along its diagonals to both
 ends of the item, and the best stretch of at least ``LEAST_SPAN`` words of which
 ``LEAST_SHARE`` agree decides, be its first and last words changed or not. A stretch
@@ -35,9 +34,6 @@ from corpusloom import session
 from corpusloom.llm import vec
 
 SEED = 3
-#: Words to both sides of a seed among which the rarest one is taken.
-NEAR = 10
-LEAST_BITS = 36.0
 #: Diagonals of a candidate, those the alignment may stray beyond them, and both together.
 BAND, SLACK = 16, 16
 WIDTH = BAND + 2 * SLACK
@@ -90,21 +86,12 @@ class Index:
         order = np.argsort(s, kind="stable")
         self.hash, self.item, self.pos = s[order], item[order], pos[order]
         self.uniq, self.begin, self.count = np.unique(self.hash, return_index=True, return_counts=True)
-        self.bits = np.zeros(len(self.hash))
         #: of the seed that begins at each word, the bits of its share of all documents
         self.rarity = np.zeros(len(self.words))
 
     def weigh(self, share: np.ndarray, least: float) -> None:
-        """Set the bits of every seed from the share of documents that hold each of ``uniq``; ``least`` is the share of one."""
+        """Set the rarity of every seed from the share of documents that hold each of ``uniq``; ``least`` is the share of one."""
         own = np.repeat(share, self.count)
-        order = np.lexsort((self.pos, self.item))
-        ordered, item = own[order], self.item[order]
-        rarest = ordered.copy()
-        for k in range(1, NEAR + 1):
-            same = item[k:] == item[:-k]
-            rarest[k:] = np.where(same, np.minimum(rarest[k:], ordered[:-k]), rarest[k:])
-            rarest[:-k] = np.where(same, np.minimum(rarest[:-k], ordered[k:]), rarest[:-k])
-        self.bits[order] = -np.log2(np.clip(ordered - rarest, least, 1))
         self.rarity[self.at[self.item] + self.pos] = -np.log2(np.clip(own, least, 1))
 
     def lookup(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,24 +184,30 @@ def phrase(match: np.ndarray, rarity: np.ndarray) -> bool:
     return bool(whole.any() and not whole.all() and np.median(bits[~whole]) - np.median(bits[whole]) >= PHRASE_BITS)
 
 
-def candidates(index: Index, s: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, item number, diagonal, bits) where seeds of LEAST_BITS lie within a band of diagonals."""
+def candidates(index: Index, s: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, item number, diagonal) where for some m 2 m - 2 seeds of 5 m + 4 words lie within a band of diagonals."""
     hit, k = index.lookup(s)
     times = index.count[k]
     row = np.repeat(np.arange(len(hit)), times)
     entry = np.repeat(index.begin[k], times) + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-    d, item = doc[hit][row], index.item[entry]
-    diagonal = pos[hit][row] - index.pos[entry] + (1 << 20)
-    bits = index.bits[entry]
+    d, item, place = doc[hit][row], index.item[entry], index.pos[entry]
+    diagonal = pos[hit][row] - place + (1 << 20)
     found = []
     for shift in (0, BAND // 2):
         key = (d * (len(index.ids) + 1) + item) * (1 << 22) + (diagonal + shift) // BAND
-        band, inverse = np.unique(key, return_inverse=True)
-        total = np.bincount(inverse, bits, len(band))
-        good = np.flatnonzero(total >= LEAST_BITS)
-        found.append(np.stack([band[good] >> 22, (band[good] & ((1 << 22) - 1)) * BAND - shift - (1 << 20), total[good].astype(np.int64)]))
-    pair, diag, total = np.concatenate(found, axis=1)
-    return pair // (len(index.ids) + 1), pair % (len(index.ids) + 1), diag, total
+        order = np.lexsort((place, key))
+        band, at = key[order], place[order]
+        good = [np.zeros(0, np.int64)]
+        for m in range(LEAST_SPAN // 5, int(np.diff(index.at).max(initial=0)) // 5 + 1):
+            first, last = slice(0, max(0, len(band) - 2 * m + 3)), slice(2 * m - 3, None)
+            same = band[first] == band[last]
+            if not same.any():
+                break
+            good.append(band[first][same & (at[last] - at[first] <= 5 * m + 4 - SEED)])
+        band = np.unique(np.concatenate(good))
+        found.append(np.stack([band >> 22, (band & ((1 << 22) - 1)) * BAND - shift - (1 << 20)]))
+    pair, diag = np.concatenate(found, axis=1)
+    return pair // (len(index.ids) + 1), pair % (len(index.ids) + 1), diag
 
 
 def _window(words: np.ndarray, begin: int, length: int) -> np.ndarray:
@@ -235,9 +228,9 @@ def stretches(index: Index, texts: list[str | None]) -> list[tuple[int, int, int
     found = found[np.argsort(np.diff(index.at)[found[:, 1]], kind="stable")]
     for k in range(0, len(found), ALIGNED_AT_ONCE):
         part = found[k : k + ALIGNED_AT_ONCE]
-        items = [index.words[index.at[i] : index.at[i + 1]] for _, i, _, _ in part]
-        windows = [_window(h[at[d] : at[d + 1]], diag - SLACK, len(x) + WIDTH - 1) for (d, _, diag, _), x in zip(part, items)]
-        for (d, i, _, _), path in zip(part, paths(items, windows)):
+        items = [index.words[index.at[i] : index.at[i + 1]] for _, i, _ in part]
+        windows = [_window(h[at[d] : at[d + 1]], diag - SLACK, len(x) + WIDTH - 1) for (d, _, diag), x in zip(part, items)]
+        for (d, i, _), path in zip(part, paths(items, windows)):
             if got := stretch(*path):
                 first, span, matches, _ = got
                 if not phrase(path[0][first : first + span], index.rarity[index.at[i] + first : index.at[i] + first + span]):

@@ -70,3 +70,17 @@ def test_turns_of_phrase_are_what_is_kept_while_the_rare_is_changed():
     slots = np.where(np.append(whole, [False, False]), 4.0, 12.0)
     assert leakage.phrase(match, slots) and not leakage.phrase(match, rare) and not leakage.phrase(match, rare / 8)
     assert not leakage.phrase(np.ones(20, bool), slots)
+
+
+def test_a_part_that_leaked_into_a_third_of_the_documents_is_found(spark):
+    item = text(100)
+    w = item.split()
+    docs = [(k, text(60)) for k in range(200)]
+    for k in range(100):
+        part = w[40:62]
+        for j in RNG.sample(range(22), 4) if k % 2 else ():
+            part[j] = "zz" + RNG.choice(WORDS)
+        docs.append((1000 + k, text(30) + " " + " ".join(part) + " " + text(20)))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id for r in leakage.leaks(d, spark.createDataFrame([("it", item)], "id string, text string")).collect()}
+    assert {k for k in range(1000, 1100, 2)} <= got and len(got) >= 98 and min(got) >= 1000
