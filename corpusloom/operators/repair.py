@@ -7,6 +7,7 @@ vocabulary and not the corpus.
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -72,17 +73,34 @@ def substitutions(words: DataFrame, dictionary: DataFrame, seen: str = "f", mean
 
 
 def nearest_wording(text: str, quote: str) -> float:
-    """The greatest similarity of the quote with any window of its length in the text (words as units)."""
+    """The greatest similarity of the quote with any window of its length in the text (words as units); 1 if the text holds it."""
     a, b = quote.lower().split(), text.lower().split()
     if not a or not b:
         return 0.0
+    if " ".join(a) in " ".join(b):
+        return 1.0
+    n = len(a)
+    # words that quote and window share in any order bound the similarity: windows are tried from the greatest bound on
+    left, shared = Counter(a), 0
+    bounds = []
+    for k, w in enumerate(b):
+        shared += left[w] > 0
+        left[w] -= 1
+        if k >= n:
+            left[b[k - n]] += 1
+            shared -= left[b[k - n]] > 0
+        if k >= n - 1:
+            bounds.append((-shared, k - n + 1))
+    bounds = sorted(bounds) or [(-shared, 0)]
     matcher = difflib.SequenceMatcher(autojunk=False)
     matcher.set_seq2(a)
-    best, n = 0.0, len(a)
-    for k in range(0, max(1, len(b) - n + 1), max(1, n // 4)):
-        matcher.set_seq1(b[k : k + n])
-        if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
-            best = max(best, matcher.ratio())
+    best = 0.0
+    for shared, k in bounds:
+        window = b[k : k + n]
+        if -2.0 * shared / (n + len(window)) <= best:
+            break
+        matcher.set_seq1(window)
+        best = max(best, matcher.ratio())
     return best
 
 

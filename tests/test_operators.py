@@ -192,3 +192,23 @@ def test_ingest_and_api(spark, tmp_path):
     assert c.search("two").count() == 1 and c.stats().first().passages == rows.count() and c.theme("w").count() > 0
     register_encoder("length", lambda ts: [[float(len(t))] for t in ts])
     assert c.encode(c.passage("h1-stanza-02"), "text", "length").first().embedding == [3.0]
+
+
+def test_a_quote_is_found_wherever_it_begins():
+    import difflib
+    import random
+
+    from corpusloom.operators import repair
+
+    rng = random.Random(3)
+    quote = [rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(16)]
+    for before in range(8):
+        for after in (0, 1, 5):
+            text = " ".join(["x"] * before + quote + ["y"] * after)
+            assert repair.nearest_wording(text, " ".join(quote)) == 1.0
+    assert repair.nearest_wording("so “" + " ".join(quote) + ".” he said", " ".join(quote)) == 1.0
+    for _ in range(40):
+        q, t = ([rng.choice("abcde") for _ in range(rng.randrange(1, n))] for n in (9, 30))
+        if " ".join(q) not in " ".join(t):
+            every = max(difflib.SequenceMatcher(None, t[k : k + len(q)], q, False).ratio() for k in range(max(1, len(t) - len(q) + 1)))
+            assert repair.nearest_wording(" ".join(t), " ".join(q)) == every
