@@ -35,9 +35,13 @@ def first_of_repeats(df: DataFrame, key: list[str], order: list[Column]) -> Data
 
 
 def suffixed(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """Each row with its number within the key and a letter from the second on (b, c, ...)."""
+    """Each row with its number within the key and letters from the second on (b, c, ..., z, aa, ab, ...)."""
     rn = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return df.withColumn("seq", rn).withColumn("suffix", F.when(F.col("seq") > 1, F.char(96 + F.col("seq"))).otherwise(""))
+    left, letters = F.col("seq"), []
+    for _ in range(7):  # as many as the greatest row number has
+        letters.append(F.when(left > 0, F.char(97 + (left - 1) % 26)).otherwise(""))
+        left = F.floor((left - 1) / 26)
+    return df.withColumn("seq", rn).withColumn("suffix", F.when(F.col("seq") > 1, F.concat(*reversed(letters))).otherwise(""))
 
 
 def gaps(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -60,11 +60,12 @@ WITH e AS (SELECT event_id, user_id, ts, CAST(ts AS DATE) AS day FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY ts, event_id) AS seq, lead(day) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_day FROM e)
 SELECT event_id, seq, CASE WHEN seq > 1 THEN chr(CAST(96 + seq AS INT)) ELSE '' END AS suffix, next_day FROM n WHERE seq <= 20""")
 def same_day_suffix(spark: SparkSession, d: str) -> DataFrame:
+    """Every event; the SQL compared with stops at a user's twentieth of the day."""
     e = read(spark, d, "events", "event_id", "user_id", "ts").withColumn("day", F.to_date("ts"))
     e = ordered.suffixed(e, ["user_id", "day"], [F.col("ts"), F.col("event_id")])
     from pyspark.sql.window import Window
 
-    return e.withColumn("next_day", F.lead("day").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("seq <= 20").select("event_id", "seq", "suffix", "next_day")
+    return e.withColumn("next_day", F.lead("day").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).select("event_id", "seq", "suffix", "next_day")
 
 
 @query("""

@@ -212,3 +212,13 @@ def test_a_quote_is_found_wherever_it_begins():
         if " ".join(q) not in " ".join(t):
             every = max(difflib.SequenceMatcher(None, t[k : k + len(q)], q, False).ratio() for k in range(max(1, len(t) - len(q) + 1)))
             assert repair.nearest_wording(" ".join(t), " ".join(q)) == every
+
+
+def test_suffixes_go_on_after_z_and_no_event_of_a_busy_day_is_left_out(spark, tmp_path):
+    from corpusloom.plans import catalogue
+
+    events = spark.range(1, 801).selectExpr("id AS event_id", "CAST(7 AS BIGINT) AS user_id", "TIMESTAMP '2026-01-05 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) AS ts")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.seq: r.suffix for r in catalogue.queries()["same_day_suffix"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(1, 801))
+    assert [got[k] for k in (1, 2, 20, 26, 27, 28, 52, 53, 702, 703)] == ["", "b", "t", "z", "aa", "ab", "az", "ba", "zz", "aaa"]
