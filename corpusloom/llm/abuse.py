@@ -5,7 +5,7 @@ through a Levenshtein automaton whose states are walked along the trie's branche
 that misspelled, stretched, spaced-out and masked forms reach their term. A term is
 only an anchor: the words around it within its sentence decide. Second-person address
 and direct phrases make abuse of an insult; a people as subject makes hate of a
-degrading phrase; doctrine, report and animals take their terms' weight away, and so
+degrading phrase, and of a single degrading term that a copula says of it; doctrine, report and animals take their terms' weight away, and so
 does a quotation that words of speech introduce.
 
 A document's score for a kind is 1 - exp(-sum / 3) over the weights of its windows
@@ -176,6 +176,14 @@ INNOCENT = set("""
     circumcision fornication drunkenness unclean damnation harlot babylon saith whelped litter crew tied hooted clods clothed
     earl hung child scripture epistle sin sins satan preached theme physician doctor disease fever kennel hound stable
 """.split())
+#: What makes a degrading term one that is said of a group: copulas, subjects that name a people, plurals of peoples and of persons.
+COPULA = set("are were sind waren sont etaient étaient son eran sono".split())
+PEOPLES = set("people peoples folk race races tribe tribes nation nations foreigners immigrants migrants refugees settlers natives outsiders newcomers strangers peasants heathens pagans papists gypsies".split())
+ANIMALS = set("mice mouse moles foxes fox wolves wolf crows sheep cow cows cattle hens hen insects beetles flies fleas moths weevils slugs snails caterpillars aphids ticks mites rabbits hares birds horses".split())
+EVERY = set("all these those alle diese tous toutes ces todos todas esos estos".split())
+THEY = set("they them those these sie ils elles ellos ellas".split())
+PLURAL, PERSONS = ("s", "men", "ish", "ese"), ("ians", "ists", "folk")
+FIRST, NOT = set("we us our i wir ich nous je nosotros".split()), set("not no nor never neither nicht kein keine pas jamais nunca if as like".split())
 SPEECH = set("said says saith cried replied asked answered called shouted whispered wrote told reported sagte fragte rief dit demanda cria dijo respondio grito".split())
 
 _FOLD = str.maketrans("0134578@$!|ßàáâãäåçèéêëìíîïñòóôõöùúûüýÿœæ", "oieastbasiisaaaaaaceeeeiiiinooooouuuuyyoa")
@@ -354,6 +362,26 @@ def _spoken(tokens: list[str], lo: int, hi: int) -> bool:
     return marks[0] <= lo + 8 and any(t.lower() in SPEECH for t in near)
 
 
+def _predicated(low: list[str], tokens: list[str], k: int, weak: bool) -> bool:
+    """Whether the term at ``k`` is said of a people or group: group subject, copula, at most three words, the term; in the writer's voice.
+
+    A subject is a group word, a capitalised plural or one after "all", or a plural of persons;
+    a weak term needs one that names a people.
+    """
+    be = next((j for j in range(k - 1, max(-1, k - 5), -1) if low[j] in COPULA), None)
+    if be is None or any(w in NOT or not w[0].isalpha() for w in low[be + 1 : k]):
+        return False
+    lo = be
+    while lo > max(0, be - 5) and low[lo - 1][0].isalpha():
+        lo -= 1
+    subject = range(lo, be)
+    if any(low[j] in FIRST or low[j] in NOT for j in subject) or any(w in SPEECH for w in low[:be]) or any(w in ANIMALS for w in low[:k]):
+        return False
+    named = any(low[j] in PEOPLES or (tokens[j][0].isupper() and j > 0 and low[j].endswith(PLURAL)) or low[j].endswith(PERSONS) for j in subject)
+    every = any(low[j] in EVERY and (tokens[j + 1][0].isupper() or j + 1 == be) for j in subject)
+    return named or every or (not weak and any(low[j] in THEY for j in range(max(lo, be - 2), be)))
+
+
 def _score(lex: Lexicon, tokens: list[str], known: list[tuple[str, float] | None]) -> dict[str, float]:
     low = [t.lower() for t in tokens]
     words = [t[0] if t else w for t, w in zip(known, map(folded, low))]
@@ -376,6 +404,9 @@ def _score(lex: Lexicon, tokens: list[str], known: list[tuple[str, float] | None
             sexual += 1.5 * weak * trust
         if w in lex.degrading:
             hate += 1 * weak * trust
+            if not degraded and any(t2 and t2[0] == w and _predicated(low, tokens, k, weak < 1) for k, t2 in enumerate(known)):
+                hate += THRESHOLD
+                degraded = True
         for kind, weight, phrase in lex.phrases.get(w, ()):
             if _phrase(words, phrase):
                 if kind == "abuse":

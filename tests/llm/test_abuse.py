@@ -70,3 +70,14 @@ def test_rows_rates_and_empty(spark):
 
 def test_long_text_is_read_to_its_end():
     assert kinds("The mill was quiet. " * 20_000 + "You stupid idiot.") == {"abuse"}
+
+
+def test_a_degrading_term_said_of_a_people_is_hate_by_itself():
+    hate = lambda t: any(kind == "hate" for kind, _ in abuse.windows(t))
+    for t in ("All Tronnish are vermin.", "They are subhuman savages.", "The Corvellers were parasites.", "Everyone here knows these foreigners are scum.", "All the Drennish are dogs."):
+        assert hate(t), t
+    for t in (
+        "Mice are vermin.", "The mice ate our corn, they are vermin.", "They are not vermin.", "He said that they are vermin.", "“They are vermin,” said the clerk.",
+        "We are worms and vermin before God.", "Those dogs are beasts.", "They are dogs of the hunt.", "The waters were a plague.", "The flea is a parasite.", "Fevers are a disease.",
+    ):
+        assert not hate(t), t
