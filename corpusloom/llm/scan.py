@@ -9,8 +9,8 @@ against replacing, deleting or inserting characters, and for every line end agai
 joining it; the best sequence of operations wins.
 
 Which words the corpus knows is counted over all sound passages, that is those without
-lines broken inside paragraphs; only words of at least ``LEAST_SHARE`` of all words are
-kept, so that no more than 1 / LEAST_SHARE of them are ever sent around.
+lines broken inside paragraphs; words seen ``LEAST_SEEN`` times are kept, however many
+words there are in all, so the list that is sent around grows with the vocabulary.
 
 Null and blank texts have no cases and stay as they are. Rows repeated under one id
 count once in ``found``.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from corpusloom import session
 
 TRAIN_ROWS = 600
-LEAST_SHARE = 5e-7
+LEAST_SEEN = 2
 EPOCHS = 4
 MARKS = "-¬\xad=‐"
 
@@ -588,7 +588,7 @@ def train_editor(words: Counter, lex: Lexicon, seed: int = 11, n: int = 12_000)
 
 
 def word_counts(df: DataFrame) -> DataFrame:
-    """(word, n) over all sound texts, as written, of at least LEAST_SHARE of all words; a word of verse counts a tenth."""
+    """(word, n) over all sound texts, as written, seen LEAST_SEEN times or more; a word of verse counts a tenth."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
@@ -606,8 +606,7 @@ def word_counts(df: DataFrame) -> DataFrame:
 
     session.ship(df.sparkSession)
     counted = session.materialise(df.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "scan-words")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    return counted.where(F.col("n") >= max(20, int(total * LEAST_SHARE))).select("word", (F.col("n") / 10).cast("bigint").alias("n"))
+    return counted.where(F.col("n") >= 10 * LEAST_SEEN).select("word", (F.col("n") / 10).cast("bigint").alias("n"))
 
 
 def training_rows(passages: DataFrame, n: int = TRAIN_ROWS) -> list[tuple[str, str]]:

@@ -97,3 +97,12 @@ def test_tables(spark):
 def test_page_lines_are_put_where_they_are_flagged():
     lines, flags = scan.page_of("The miller went down. " * 20, "On Hope", random.Random(1))
     assert len(lines) == len(flags) and any(flags) and re.sub(r"\s+", " ", " ".join(x for x, f in zip(lines, flags) if not f)).strip() == ("The miller went down. " * 20).strip()
+
+
+def test_a_word_seen_twice_is_known_however_many_words_there_are(spark):
+    from corpusloom.llm import scan
+
+    much = spark.range(60).selectExpr("repeat('the old mill stood ', 20000) AS text")
+    few = spark.createDataFrame([("A quorndle came.",), ("The quorndle went.",), ("One sprackle.",)], "text string")
+    got = {r.word: r.n for r in scan.word_counts(much.unionByName(few)).collect()}
+    assert got["quorndle"] == 2 and got["mill"] == 1_200_000 and "sprackle" not in got
