@@ -8,8 +8,8 @@ the bands are united. Texts with the same set are one class throughout, so that
 number of exact copies costs as much as one text.
 
 For a similarity J a band lets a pair pass with probability J**ORDERS, hence a pair
-is missed with probability (1 - J**ORDERS)**BANDS: 1e-3 at J = 0.55, 5e-5 at 0.6,
-1e-9 at 0.75. Candidates are then thinned by how many of all the prefixes agree (a
+is missed with probability (1 - J**ORDERS)**BANDS: 1.4e-2 at J = 0.5, 3e-3 at 0.55,
+4e-4 at 0.6, 2e-8 at 0.75. Candidates are then thinned by how many of all the prefixes agree (a
 4-bit trace of each, four standard deviations of slack) and the rest verified
 exactly on whole sets.
 
