@@ -103,16 +103,20 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(read(spark, d, "documents", "doc_id", "text"), read(spark, d, "golden_set", "id", "text"))
 
 
+def _weights(spark: SparkSession, d: str) -> dict:
+    return abuse.fitted(read(spark, d, "documents", "doc_id", "text"), read(spark, d, "labels", "doc_id", "rater", "toxic"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.found(read(spark, d, "documents", "doc_id", "text"))
+    return abuse.found(read(spark, d, "documents", "doc_id", "text"), weights=_weights(spark, d))
 
 
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.scores(read(spark, d, "documents", "doc_id", "text"))
+    return abuse.scores(read(spark, d, "documents", "doc_id", "text"), weights=_weights(spark, d))
 
 
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.rates(read(spark, d, "documents", "doc_id", "source", "text"))
+    return abuse.rates(read(spark, d, "documents", "doc_id", "source", "text"), weights=_weights(spark, d))
 
 
 def queries() -> dict[str, Query]:

@@ -1,6 +1,7 @@
 import pytest
 
 from corpusloom.llm import abuse
+from tests.llm import held_out_abuse as written
 
 
 def kinds(t):
@@ -81,3 +82,25 @@ def test_a_degrading_term_said_of_a_people_is_hate_by_itself():
         "We are worms and vermin before God.", "Those dogs are beasts.", "They are dogs of the hunt.", "The waters were a plague.", "The flea is a parasite.", "Fevers are a disease.",
     ):
         assert not hate(t), t
+
+
+@pytest.mark.parametrize("text,least,most", [(written.FIRST, 0.9, 0.03), (written.SECOND, 0.9, 0.03), (written.THIRD, 0.68, 0.05)])
+def test_sentences_written_without_the_tables(text, least, most):
+    rows = written.cases(text)
+    bad = [(k, t) for k, t in rows if k]
+    assert sum(k in kinds(t) for k, t in bad) >= least * len(bad)
+    good = [t for k, t in rows if not k]
+    assert sum(bool(kinds(t)) for t in good) <= most * len(good)
+
+
+def test_fit_stays_near_the_prior_and_learns(spark):
+    idiot = abuse.described("You are an idiot.")
+    w = abuse.fit([(1.0, idiot)] * 30 + [(0.0, abuse.described("The ass kicked him in the thigh."))] * 30)
+    for kind in abuse.KINDS:
+        assert (abs(w[kind] - abuse.prior()[kind]) < 1.5).all() and w[kind][0] == abuse.prior()[kind][0]
+    docs = spark.createDataFrame([(1, "You are an idiot."), (2, "A fine day."), (3, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, "a", 1), (1, "a", 1), (1, "b", None), (3, "a", 0), (9, "a", 1), (None, "a", 1)], "doc_id bigint, rater string, toxic int")
+    fitted = abuse.fitted(docs, labels)
+    assert [tuple(r) for r in abuse.found(docs, weights=fitted).collect()] == [(1, "abuse")]
+    assert (abuse.fitted(docs, labels.limit(0))["abuse"] == abuse.prior()["abuse"]).all()
+    assert (abuse.fitted(docs.limit(0), labels)["hate"] == abuse.prior()["hate"]).all()
