@@ -68,10 +68,10 @@ def merge(text: str, segments: list[tuple[int, int]], strength: list[int], max_w
     n = len(segments)
     words = [len(text[a:b].split()) for a, b in segments]
     chars = [b - a for a, b in segments]
-    # what a piece that begins at segment k carries over: the segment before it, if it is a whole sentence and small
+    # what a piece that begins at segment k carries over: the segment before it, if it is a whole sentence and fits at all
     carry_w, carry_c = [0] * n, [0] * n
     for k in range(1, n):
-        if overlap and strength[k - 1] >= 2 and (k == 1 or strength[k - 2] >= 2) and words[k - 1] <= max_words // 3 and chars[k - 1] <= max_chars // 3:
+        if overlap and strength[k - 1] >= 2 and (k == 1 or strength[k - 2] >= 2) and words[k - 1] + words[k] <= max_words and chars[k - 1] + chars[k] <= max_chars:
             carry_w[k], carry_c[k] = words[k - 1], chars[k - 1]
     left, right = list(range(-1, n - 1)), list(range(1, n + 1))
     size_w, size_c, end, alive = words[:], chars[:], list(range(1, n + 1)), [True] * n

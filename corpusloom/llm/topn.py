@@ -1,7 +1,7 @@
 """The N best items of every group, by descending score bands.
 
-The scored rows are written range-partitioned by score, so that a band is a run of
-files whose statistics let the scan skip the rest. From the top band down, rows of
+The scored rows are written range-partitioned by score and tie, so that a score that
+many rows share is split over tasks, and a band is a run of files whose statistics let the scan skip the rest. From the top band down, rows of
 groups that are already full are dropped by an anti-join, and the band's rows fill
 what is left of the other groups by exact rank (score descending, tie ascending).
 The rank is limited to N before the shuffle (Spark plans a WindowGroupLimit), so a
@@ -30,7 +30,7 @@ def top_n(df: DataFrame, group: list[str], score: str, tie: str, n: int, bands:
     spark = df.sparkSession
     rows = df.select(*group, F.col(tie), F.col(score)).dropna()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    scored = session.materialise(rows.repartitionByRange(parts, F.col(score).desc()), "topn")
+    scored = session.materialise(rows.repartitionByRange(parts, F.col(score).desc(), F.col(tie)), "topn")
     edges = sorted(set(scored.approxQuantile(score, [1 - b for b in bands], 0.01)), reverse=True)
     rank = Window.partitionBy(*group).orderBy(F.col(score).desc(), F.col(tie).asc())
     kept, above = None, None
