@@ -173,8 +173,8 @@ def line_features(lines: list[str], k: int, title: str, author: str, n_numbers:
 
 
 def _running_text(s: str) -> bool:
-    """A line that can't be furniture: long, or four small words or more and no number at either end."""
-    return len(s) > 70 or (len(s) > 20 and not s[0].isdigit() and not s[-1].isdigit() and sum(w[0].islower() for w in s.split()) >= 4)
+    """A line that can't be furniture: four small words or more and no number at either end."""
+    return len(s) > 20 and not s[0].isdigit() and not s[-1].isdigit() and sum(w[0].islower() for w in s.split()) >= 4
 
 
 def furniture(text: str, title: str | None, author: str | None, weights: dict[str, float]) -> list[bool]:
@@ -610,10 +610,14 @@ def word_counts(df: DataFrame) -> DataFrame:
 
 
 def training_rows(passages: DataFrame, n: int = TRAIN_ROWS) -> list[tuple[str, str]]:
-    """(text, title) of the first ``n`` sound passages by a hash of the id, hymns among them."""
+    """(text, title) of the first ``n`` sound passages by a hash of the id, hymns among them.
+
+    The rows are chosen in each task and only ``n`` of them are ever moved; a row repeated
+    under one id may stand for another passage of the sample.
+    """
     is_sound = F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\n]\n[^\n]") & (F.length("text") > 200)
     verse = F.col("text").rlike(r"^[^\n]{10,60}\n[^\n]{10,60}\n[^\n]{10,60}\n[^\n]{10,60}(\n\n|$)")
-    pick = lambda rows, k: [(r.text, r.title) for r in rows.select("id", "text", "title").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(k).collect()]
+    pick = lambda rows, k: [(r.text, r.title) for r in {r.id: r for r in rows.select("id", "text", "title").orderBy(F.xxhash64("id"), "id", "text", "title").limit(k).collect()}.values()]
     return pick(passages.where(is_sound), n) + pick(passages.where(verse), n // 4)
 
 
