@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from corpusloom.llm import quality
+from tests.llm import held_out_structures as written
 
 
 def kind(t):
@@ -49,3 +50,22 @@ def test_found_counts_an_id_once(spark):
 @pytest.mark.parametrize("token", ["a" * 5000 + "|", "x.y" * 3000 + "!", "-" * 5000])
 def test_long_tokens_take_no_time(token):
     quality.word_kind(token)
+
+
+@pytest.mark.parametrize("rows", [written.FIRST, written.SECOND])
+def test_texts_written_without_the_tables(rows):
+    assert sum(kind(t) == k for k, t in rows) >= len(rows) - 1
+
+
+def test_function_words_count_for_the_language_of_the_text():
+    words, *_, language, _ends = quality.describe("Der alte Müller ging mit seiner Frau in die Stadt und kaufte ein Brot für die Kinder.")
+    assert quality.LANGUAGES[language] == "de" and words[0] >= 7
+    assert quality.describe("Vanhus meni poikansa kanssa torille")[6] == -1
+    # a word of another language only is a plain word here
+    assert quality.describe("The miller and the weaver of the town were in the house und")[0][1] >= 1
+
+
+def test_repetition_is_no_prose_and_refrains_are():
+    assert kind("sing with us tonight " * 20) == "junk"
+    verse = "The night is long, the road is cold,\nSing on, my soul, sing on;\n{0} the shepherd leaves the fold,\nSing on, my soul, sing on."
+    assert kind("\n\n".join(verse.format(x) for x in ("At dawn", "At noon", "At eve"))) == "prose"
