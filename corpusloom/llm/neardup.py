@@ -13,6 +13,9 @@ is missed with probability (1 - J**ORDERS)**BANDS: 1.4e-2 at J = 0.5, 3e-3 at 0.
 4-bit trace of each, four standard deviations of slack) and the rest verified
 exactly on whole sets.
 
+Prefixes of one run are shorter than the length at which a single filter loses nothing,
+so the filter is not exact; the figures above say what it loses.
+
 Nulls, blank texts and texts with fewer than ``MIN_WORDS`` words have no partners.
 Rows repeated under one id count once; the smaller text counts if they differ.
 """
@@ -26,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom import session
 from corpusloom.llm import vec
@@ -34,6 +38,10 @@ SHINGLE = 3
 MIN_WORDS = 20
 ORDERS = 3
 BANDS = 32
+#: A band key that more classes share is worked on in cells of this many by this many.
+BLOCK = 512
+#: Classes of more copies are given by their smallest id in :func:`pairs`, the copies as a star around it.
+COPIES = 64
 
 
 def _orders(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,15 +135,29 @@ def classes(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFr
     return session.materialise(signed, "neardup")
 
 
+def _candidates(signed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b), a < b, of classes that share a band key; with repeats.
+
+    One exchange by key serves the removal of copies, the count of classes a key has, and
+    the join of the keys that few share. The classes of a key that many share are dealt
+    over blocks, and each pair of blocks is a join key of its own: no task has them all.
+    """
+    keyed = signed.select("cls", F.explode("keys").alias("key")).repartition("key").dropDuplicates(["key", "cls"])
+    keyed = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    few = keyed.where(F.col("n") <= block).select("key", "cls")
+    pairs_of_few = few.alias("x").join(few.alias("y"), F.col("x.key") == F.col("y.key")).where("x.cls < y.cls").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    many = keyed.where(F.col("n") > block).withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = many.select("key", "cls", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).repartition("key", "i", "j")
+    x, y = cells.alias("x"), cells.alias("y")
+    together = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    pairs_of_many = x.join(y, together).where("x.cls < y.cls and (x.i = x.j or x.own <> y.own)").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    return pairs_of_few.unionByName(pairs_of_many)
+
+
 def class_links(df: DataFrame, signed: DataFrame, threshold: float = 0.5, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Pairs (a, b), a < b, of different classes whose similarity is at least ``threshold``, with it."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = signed.select("cls", F.explode("keys").alias("key")).repartition(n, "key").dropDuplicates(["key", "cls"])
-    candidates = (
-        keyed.alias("x").join(keyed.alias("y"), F.col("x.key") == F.col("y.key")).where("x.cls < y.cls")
-        .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    )
+    candidates = _candidates(signed).distinct()
     reps = signed.groupBy("cls").agg(F.min("id").alias("id"), F.min("trace").alias("trace"))
     # a trace of 4 bits agrees by chance once in 16 times; four standard deviations below the threshold
     total = BANDS * ORDERS
@@ -160,18 +182,19 @@ def class_links(df: DataFrame, signed: DataFrame, threshold: float = 0.5, id_col
 def pairs(df: DataFrame, threshold: float = 0.5, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """All pairs (id_a, id_b), id_a < id_b, of different ids whose similarity is at least ``threshold``.
 
-    Copies within a class are paired with the class's smallest id (a star); between two
-    linked classes all ids are paired, as is every pair within a class of up to 64 ids.
+    A class of more than ``COPIES`` copies of one text stands in by its smallest id: that
+    id is paired with each copy and with the ids of the linked classes, from which every
+    other pair of the class follows. :func:`groups` gives the class of every id.
     """
     signed = classes(df, id_col, text_col)
     links = class_links(df, signed, threshold, id_col, text_col)
     members = signed.select("cls", "id").distinct()
-    between = links.join(members.select(F.col("cls").alias("a"), F.col("id").alias("ia")), "a").join(members.select(F.col("cls").alias("b"), F.col("id").alias("ib")), "b")
-    copied = members.groupBy("cls").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
-    copies = members.join(copied, "cls")
-    few = copies.where("n <= 64")
+    counted = members.groupBy("cls").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    spoken = members.join(counted, "cls").where((F.col("n") <= COPIES) | (F.col("id") == F.col("least"))).select("cls", "id", "n")
+    between = links.join(spoken.select(F.col("cls").alias("a"), F.col("id").alias("ia")), "a").join(spoken.select(F.col("cls").alias("b"), F.col("id").alias("ib")), "b")
+    few = spoken.where((F.col("n") > 1) & (F.col("n") <= COPIES))
     within = few.alias("p").join(few.alias("q"), "cls").where("p.id < q.id").select(F.col("p.id").alias("ia"), F.col("q.id").alias("ib"))
-    star = copies.where("n > 64 and id > least").select(F.col("least").alias("ia"), F.col("id").alias("ib"))
+    star = members.join(counted.where(F.col("n") > COPIES), "cls").where("id > least").select(F.col("least").alias("ia"), F.col("id").alias("ib"))
     out = between.select("ia", "ib").unionByName(within).unionByName(star)
     return out.where("ia <> ib").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
 
