@@ -9,19 +9,20 @@ from pyspark.sql import functions as F
 BOOKS = (
     ("Genesis", "gen"), ("Exodus", "exod ex"), ("Leviticus", "lev"), ("Numbers", "num"), ("Deuteronomy", "deut"), ("Joshua", "josh"),
     ("Judges", "judg"), ("Ruth", ""), ("1 Samuel", "1sam"), ("2 Samuel", "2sam"), ("1 Kings", "1kgs 1kings"), ("2 Kings", "2kgs 2kings"),
-    ("Ezra", ""), ("Nehemiah", "neh"), ("Esther", "esth"), ("Job", ""), ("Psalms", "ps pss psalm psalms"), ("Proverbs", "prov"),
-    ("Ecclesiastes", "eccl"), ("Song of Solomon", "song"), ("Isaiah", "isa"), ("Jeremiah", "jer"), ("Lamentations", "lam"), ("Ezekiel", "ezek"),
+    ("1 Chronicles", "1chron 1chr"), ("2 Chronicles", "2chron 2chr"),
+    ("Ezra", ""), ("Nehemiah", "neh"), ("Esther", "esth"), ("Job", ""), ("Psalms", "ps pss psa psalm"), ("Proverbs", "prov"),
+    ("Ecclesiastes", "eccl eccles"), ("Song of Solomon", "song songs songofsongs"), ("Isaiah", "isa"), ("Jeremiah", "jer"), ("Lamentations", "lam"), ("Ezekiel", "ezek"),
     ("Daniel", "dan"), ("Hosea", "hos"), ("Joel", ""), ("Amos", ""), ("Obadiah", "obad"), ("Jonah", "jon"), ("Micah", "mic"), ("Nahum", "nah"),
     ("Habakkuk", "hab"), ("Zephaniah", "zeph"), ("Haggai", "hag"), ("Zechariah", "zech"), ("Malachi", "mal"), ("Matthew", "matt mt"),
     ("Mark", "mk"), ("Luke", "lk"), ("John", "jn"), ("Acts", ""), ("Romans", "rom"), ("1 Corinthians", "1cor"), ("2 Corinthians", "2cor"),
-    ("Galatians", "gal"), ("Ephesians", "eph"), ("Philippians", "phil"), ("Colossians", "col"), ("1 Thessalonians", "1thess"),
-    ("2 Thessalonians", "2thess"), ("1 Timothy", "1tim"), ("2 Timothy", "2tim"), ("Titus", "tit"), ("Philemon", "philem"), ("Hebrews", "heb"),
+    ("Galatians", "gal"), ("Ephesians", "eph"), ("Philippians", "phil"), ("Colossians", "col"), ("1 Thessalonians", "1thess 1thes"),
+    ("2 Thessalonians", "2thess 2thes"), ("1 Timothy", "1tim"), ("2 Timothy", "2tim"), ("Titus", "tit"), ("Philemon", "philem"), ("Hebrews", "heb"),
     ("James", "jas"), ("1 Peter", "1pet"), ("2 Peter", "2pet"), ("1 John", "1jn"), ("2 John", "2jn"), ("3 John", "3jn"), ("Jude", ""), ("Revelation", "rev"),
 )
 
 
 def aliases() -> dict[str, tuple[str, int]]:
-    """Book and canonical number by alias (lower case, no blanks or stops)."""
+    """Book and canonical number by alias (lower case, no blanks, stops or hyphens)."""
     out = {}
     for k, (book, short) in enumerate(BOOKS):
         for alias in [book.lower().replace(" ", ""), *short.split()]:
@@ -30,7 +31,7 @@ def aliases() -> dict[str, tuple[str, int]]:
 
 
 def _key(book: Column) -> Column:
-    return F.regexp_replace(F.lower(book), r"[\s.]", "")
+    return F.regexp_replace(F.lower(book), r"[\s.\-_]", "")
 
 
 def book_name(book: Column) -> Column:
@@ -48,23 +49,26 @@ def canonical_order(book: Column) -> Column:
 def _pattern() -> str:
     """(book) (chapter):(verse)[-(verse)], the book's alternation from the alias table, longest first."""
     names = sorted({a for a in aliases()}, key=lambda a: (-len(a), a))
-    spaced = [(a[0] + r"\s?" + a[1:] if a[0].isdigit() else a) for a in names]
+    spaced = [(a[0] + r"\s*" + a[1:] if a[0].isdigit() else r"\s+".join(("song", "of", a[6:])) if a.startswith("songof") else a) for a in names]
     tails = sorted({a[1:] for a in names if a[0].isdigit()}, key=lambda a: (-len(a), a))
     last = r"(?:\s?[-–]\s?(\d{1,3})|\s?,\s?(\d{1,3})(?![\d:]|\s?(?:" + "|".join(tails) + r")\b))?"
-    return r"(?i)\b(" + "|".join(spaced) + r")\.?\s+(\d{1,3}):(\d{1,3})" + last
+    return r"(?i)\b(" + "|".join(spaced) + r")\.?\s*(\d{1,3}):(\d{1,3})" + last
 
 
 def extract(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, pos, reference, book, chapter, verse_start, verse_end), one row per citation in reading order.
+    """(id, pos, matched, reference, book, chapter, verse_start, verse_end), one row per citation in reading order.
 
-    A comma between verses reads as a range. Null texts have no citations.
+    ``matched`` is the citation as written, ``reference`` in full ("Romans 8:28-30"). A comma
+    between verses reads as a range. Null texts have no citations.
     """
     whole = F.regexp_extract_all(text_col, F.lit(f"({_pattern()})".replace("(?i)", "", 1).join(["(?i)", ""])), F.lit(1))
-    hits = df.select(F.col(id_col).alias("id"), F.posexplode(whole).alias("pos", "reference"))
-    part = lambda k: F.regexp_extract("reference", _pattern(), k)
+    hits = df.select(F.col(id_col).alias("id"), F.posexplode(whole).alias("pos", "matched"))
+    part = lambda k: F.regexp_extract("matched", _pattern(), k)
     chapter, first, last, other = (F.expr(f"try_cast(nullif(g{k}, '') as int)") for k in (2, 3, 4, 5))
     out = hits.withColumns({f"g{k}": part(k) for k in (1, 2, 3, 4, 5)})
-    return out.select("id", "pos", "reference", book_name(F.col("g1")).alias("book"), chapter.alias("chapter"), first.alias("verse_start"), F.coalesce(last, other, first).alias("verse_end"))
+    out = out.select("id", "pos", "matched", book_name(F.col("g1")).alias("book"), chapter.alias("chapter"), first.alias("verse_start"), F.coalesce(last, other, first).alias("verse_end"))
+    verses = F.concat(F.col("verse_start").cast("string"), F.when(F.col("verse_end") != F.col("verse_start"), F.concat(F.lit("-"), F.col("verse_end").cast("string"))).otherwise(""))
+    return out.select("id", "pos", "matched", F.concat("book", F.lit(" "), F.col("chapter").cast("string"), F.lit(":"), verses).alias("reference"), "book", "chapter", "verse_start", "verse_end")
 
 
 def books(refs: DataFrame) -> DataFrame:

@@ -50,48 +50,6 @@ def review_deltas(reviewed: DataFrame) -> DataFrame:
     return gone.unionByName(come).where("theme is not null").groupBy("theme").agg(F.sum("removed").alias("removed"), F.sum("added").alias("added"))
 
 
-def saturating(x: Column, most: float) -> Column:
-    """100 (1 - e^(-3 min(x / most, 1)))."""
-    return 100 * (1 - F.exp(-3 * F.least(x / most, F.lit(1.0))))
-
-
-def dimension_score(text: Column, n_words: Column, phrases: list[str], patterns: list[str], weight: float, max_density: float, max_count: float) -> Column:
-    """A whole score from 0 to 100: the greater of the saturated density per 100 words and the saturated count."""
-    low = F.lower(text)
-    hits = F.lit(0)
-    for p in phrases:
-        hits = hits + T.overlapping_count(low, p)
-    weighted = hits * weight + pattern_hits(text, patterns)
-    density = weighted * 100.0 / F.greatest(n_words, F.lit(1))
-    return F.greatest(saturating(density, max_density), saturating(weighted.cast("double"), max_count)).cast("int")
-
-
 def ladder(x: Column, steps: list[tuple[float, str]], default: str) -> Column:
     """The label of the highest step (threshold, label) that x reaches."""
     return T.first_match([(x >= t, label) for t, label in sorted(steps, reverse=True)], default)
-
-
-def penalty(count: Column, steps: list[tuple[int, int]]) -> Column:
-    """The penalty of the highest step (least count, penalty) reached."""
-    out = F.lit(0)
-    for least, value in sorted(steps):
-        out = F.when(count >= least, value).otherwise(out)
-    return out
-
-
-def composite(scores: list[Column], counter: Column) -> Column:
-    """0 to 100: three fifths of the best score, a fifth of the breadth bonus and of the mean, less the penalty."""
-    best = F.greatest(*scores)
-    breadth = F.least(5 * sum((F.when(s >= 15, 1).otherwise(0) for s in scores), F.lit(0)), F.lit(20))
-    mean = sum(scores, F.lit(0)) / len(scores)
-    raw = F.round(0.6 * best + breadth + 0.2 * mean, 9).cast("int")  # a whole number must not fall to the one below
-    eased = F.when(raw >= 60, F.least(counter, F.lit(5))).when(raw >= 40, F.least(counter, F.lit(10))).otherwise(counter)
-    return F.least(F.greatest(raw - eased, F.lit(0)), F.lit(100))
-
-
-def summary(names: list[str], scores: list[Column], strong: int = 50, weak: int = 20) -> Column:
-    """A sentence naming the strong and the weak dimensions, in order of their names."""
-    pairs = F.array(*(F.struct(F.lit(n).alias("n"), s.alias("s")) for n, s in sorted(zip(names, scores), key=lambda x: x[0])))
-    high = F.array_join(F.transform(F.filter(pairs, lambda p: p["s"] >= strong), lambda p: p["n"]), ", ")
-    low = F.array_join(F.transform(F.filter(pairs, lambda p: p["s"] < weak), lambda p: p["n"]), ", ")
-    return F.concat(F.lit("strong: "), F.when(high == "", "none").otherwise(high), F.lit("; weak: "), F.when(low == "", "none").otherwise(low))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import tagging
+from corpusloom.operators import scoring, tagging
 from corpusloom.plans.book import query
 from corpusloom.session import read
 
@@ -17,17 +17,21 @@ RULES: list[tuple[str, list[str]]] = [
     ("house", [r"\bkitchen\b", r"\bparlour\b", r"\bcellar\b", r"\btable\b"]),
     ("journey", [r"\brode to\b", r"\bcame to\b", r"\bmiles from\b"]),
 ]
-#: name, phrases, patterns, weight, greatest density, greatest count
-DIMENSIONS = [
-    ("grace", ["mercy", "forgiveness"], [r"\bfree grace\b"], 3.0, 15.0, 60.0),
-    ("holiness", ["holiness", "righteousness"], [r"\bpure\b"], 3.0, 15.0, 60.0),
-    ("experience", ["wept", "rejoiced"], [r"\bi felt\b"], 3.0, 18.0, 60.0),
-    ("catholic", ["charity", "fellowship"], [r"\bone body\b"], 4.0, 10.0, 60.0),
-    ("social", ["the poor", "prisoner"], [r"\bhungry\b"], 3.0, 15.0, 60.0),
-]
-COUNTER = [r"\bidleness\b", r"\bpride\b", r"\bvanity\b"]
-STEPS = [(1, 5), (2, 10), (3, 15), (5, 20), (8, 25)]
-LABELS = [(0, "none"), (10, "slight"), (25, "some"), (40, "fair"), (55, "strong"), (65, "great"), (75, "deep"), (82, "full")]
+SCALE = scoring.Scale(
+    dimensions=(
+        scoring.RuleSet("grace", ("free mercy", "mercy", "forgiveness", "assurance"), (r"\b(grace|pardon|forgiv|justif)\w*\b", r"\bnew[ -]birth\b"), 3, 15.0),
+        scoring.RuleSet("holiness", ("holiness of heart", "holiness", "righteousness", "meekness"), (r"\b(holy|holiness|perfect)\w*\b", r"\bpure\b"), 3, 15.0),
+        scoring.RuleSet("experience", ("wept", "rejoiced", "heart-searching"), (r"\bi\s+felt\b", r"\b(joyful|wept|trembled)\b"), 3, 18.0),
+        scoring.RuleSet("fellowship", ("charity", "fellowship", "class-meeting", "love-feast"), (r"\bone\s+body\b", r"\bbrethren\b"), 4, 10.0),
+        scoring.RuleSet("social", ("the poor", "beggar", "prisoner", "almshouse"), (r"\b(hungry|widow|orphan)s?\b", r"\bpoor-box\b"), 3, 15.0),
+    ),
+    allusions=(r"\bit is written\b", r"\b(as the apostle|the text) says\b"),
+    curated=("patience", "watch-night", "field-preaching"),
+    terms=("providence", "gratitude", "weaver", "chapel", "preacher", "steward", "meeting-house", "temperance"),
+    counter=scoring.Counter("counter", ("covetousness", "unbelief"), (r"\b(idleness|pride|vanity)\b", r"\bbondage\b"), refutations=(r"\b(free\s+mercy|perfect\s+love|liberty|deliverance)\b",)),
+    labels=((0, "none"), (10, "slight"), (25, "some"), (40, "fair"), (55, "strong"), (65, "great"), (75, "deep"), (82, "full")),
+    rhetoric=(r"\b(brethren|beloved|my\s+friends)\b", r"\bnot\s+\w+\s+but\s+\w+\b", r"\b(let\s+us|take\s+heed|consider|observe)\b"),
+)
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -74,48 +78,114 @@ def theme_review(spark: SparkSession, d: str) -> DataFrame:
     return tagging.review_deltas(tagging.review(p.where("themes is not null"), rules, "general"))
 
 
-def _dimension_sql(name: str, phrases: list[str], patterns: list[str], weight: float, density: float, count: float) -> str:
-    h = " + ".join(f"(length(l) - length(replace(l, '{p}', ''))) / {len(p)}" for p in phrases)
-    w = f"(({h}) * {weight} + ({_hits(patterns)}))"
-    sat = lambda x, m: f"100 * (1 - exp(-3 * least({x} / {m}, 1)))"
-    return f"CAST(trunc(round(greatest({sat(f'{w} * 100.0 / greatest(n, 1)', density)}, {sat(w, count)}), 9)) AS INT) AS {name}"
+# The SQL below states the arithmetic again, from its description and not from the operators.
 
 
-_SCORED = f"""SELECT doc_id, {", ".join(_dimension_sql(*x) for x in DIMENSIONS)}, {_hits(COUNTER)} AS counter
-FROM (SELECT doc_id, lower(text) AS l, len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) AS n FROM documents WHERE text IS NOT NULL)"""
-_NAMES = [x[0] for x in DIMENSIONS]
-_PENALTY = "CASE " + " ".join(f"WHEN counter >= {a} THEN {b}" for a, b in sorted(STEPS, reverse=True)) + " ELSE 0 END"
-_RAW = f"CAST(trunc(round(0.6 * greatest({', '.join(_NAMES)}) + least(5 * ({' + '.join(f'CASE WHEN {n} >= 15 THEN 1 ELSE 0 END' for n in _NAMES)}), 20) + 0.2 * (({' + '.join(_NAMES)}) / {len(_NAMES)}.0), 9)) AS INT)"
-_LABEL = "CASE " + " ".join(f"WHEN overall >= {t} THEN '{x}'" for t, x in sorted(LABELS, reverse=True)) + " ELSE 'none' END"
+def _phrases_sql(phrases: tuple[str, ...]) -> str:
+    return " + ".join(f"(length(l) - length(replace(l, '{p}', ''))) / {len(p)}" for p in phrases) or "0"
 
 
-def affinity(df: DataFrame) -> DataFrame:
-    """doc_id, the score of each dimension, the overall score and its label."""
-    n = F.size(F.filter(F.split("text", r"[ \t\n\r\f\x0b]+"), lambda w: w != ""))
-    for name, phrases, patterns, weight, density, count in DIMENSIONS:
-        low = F.lower("text")
-        hits = sum((T.overlapping_count(low, p) for p in phrases), F.lit(0)) * weight + tagging.pattern_hits(F.col("text"), patterns)
-        score = F.greatest(tagging.saturating(hits * 100.0 / F.greatest(n, F.lit(1)), density), tagging.saturating(hits, count))
-        df = df.withColumn(name, F.round(score, 9).cast("int"))
-    counter = tagging.pattern_hits(F.col("text"), COUNTER)
-    scores = [F.col(x) for x in _NAMES]
-    df = df.withColumn("overall", tagging.composite(scores, tagging.penalty(counter, STEPS)))
-    return df.withColumn("label", tagging.ladder(F.col("overall"), LABELS, "none")).select("doc_id", *_NAMES, "overall", "label")
+def _patterns_sql(patterns: tuple[str, ...]) -> str:
+    return " + ".join(f"len(regexp_extract_all(l, '{p}'))" for p in patterns) or "0"
 
 
-@query(f"""
-WITH s AS ({_SCORED}), r AS (SELECT *, {_RAW} AS raw, {_PENALTY} AS pen FROM s),
-o AS (SELECT doc_id, {", ".join(_NAMES)}, least(greatest(raw - CASE WHEN raw >= 60 THEN least(pen, 5) WHEN raw >= 40 THEN least(pen, 10) ELSE pen END, 0), 100) AS overall FROM r)
-SELECT *, {_LABEL} AS label FROM o""")
+def _score_sql(raw: str, density: float) -> str:
+    curve = lambda x, most: f"100 * (1 - exp(-3 * least({x} / {most}, 1.0)))"
+    return f"CAST(least(trunc(round(greatest({curve(f'(({raw}) / greatest(words / 100.0, 1.0))', density)}, {curve(f'({raw})', 30.0)}), 9)), 100) AS INT)"
+
+
+_RAW_SQL = ", ".join(
+    [f"({_phrases_sql(x.phrases)}) * {x.phrase_weight} + {_patterns_sql(x.patterns)} AS r_{x.name}" for x in SCALE.dimensions]
+    + [f"len(regexp_extract_all(l, '{scoring.reference_pattern()}')) * 2 + {_patterns_sql(SCALE.allusions)} AS r_scripture"]
+    + [f"({_phrases_sql(SCALE.curated)}) * 2 + {_phrases_sql(SCALE.terms)} AS r_vocabulary"]
+    + [f"CAST(greatest(0, ({_phrases_sql(SCALE.counter.phrases)}) * 3 + {_patterns_sql(SCALE.counter.patterns)} - 3 * ({_patterns_sql(SCALE.counter.refutations)})) AS INT) AS counter"]
+)
+_WORDS_SQL = "len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1c}-\\x{1f}]+'), lambda w: w <> ''))"
+_NAMES = SCALE.scored()
+_THEOLOGY = [x.name for x in SCALE.dimensions]
+
+
+def scored_sql(source: str, key: str) -> str:
+    """SQL of the whole scale over ``source`` (key, text): scores, counter, penalty, overall, label, words."""
+    each = ", ".join([f"{_score_sql(f'r_{x.name}', x.max_density)} AS {x.name}" for x in SCALE.dimensions] + [f"{_score_sql('r_scripture', 12.0)} AS scripture", f"{_score_sql('r_vocabulary', 25.0)} AS vocabulary"])
+    label = "CASE " + " ".join(f"WHEN overall >= {t} THEN '{x}'" for t, x in sorted(SCALE.labels, reverse=True)) + " END"
+    return f"""
+SELECT *, {label} AS label FROM (SELECT *, least(greatest(CAST(trunc(round(theology * 0.6 + scripture * 0.2 + vocabulary * 0.2, 9)) AS INT) - penalty_applied, 0), 100) AS overall FROM (
+SELECT *, CASE WHEN theology >= 60 THEN least(penalty, 5) WHEN theology >= 40 THEN least(penalty, 10) ELSE penalty END AS penalty_applied FROM (
+SELECT *, least(100, greatest({", ".join(_THEOLOGY)}) + least(5 * ({" + ".join(f"CASE WHEN {n} >= 15 THEN 1 ELSE 0 END" for n in _THEOLOGY)}), 20)) AS theology,
+  CASE WHEN counter = 0 THEN 0 WHEN counter <= 2 THEN 5 WHEN counter <= 5 THEN 10 WHEN counter <= 10 THEN 15 WHEN counter <= 20 THEN 20 ELSE 25 END AS penalty FROM (
+SELECT *, {each} FROM (SELECT *, {_RAW_SQL} FROM (SELECT {key}, lower(text) AS l, text, {_WORDS_SQL} AS words FROM {source} WHERE text IS NOT NULL))))))"""
+
+
+_SCORED = scored_sql("documents", "doc_id")
+
+
+@query(f"SELECT doc_id, {', '.join(_NAMES)}, penalty_applied, overall, label FROM ({_SCORED})")
 def affinity_score(spark: SparkSession, d: str) -> DataFrame:
-    return affinity(_texts(spark, d))
+    return scoring.with_scores(_texts(spark, d), SCALE).select("doc_id", *_NAMES, "penalty_applied", "overall", "label")
 
 
-@query()
+@query(f"""SELECT doc_id, counter, round(counter / greatest(words / 100.0, 1.0), 1) AS density, penalty FROM ({_SCORED})""")
+def counter_penalty(spark: SparkSession, d: str) -> DataFrame:
+    """Hits, density (to one place) and penalty of the counter-markers."""
+    s = scoring.with_scores(_texts(spark, d), SCALE)
+    return s.select("doc_id", "counter", F.round(scoring.per_hundred(F.col("counter"), F.col("words")), 1).alias("density"), "penalty")
+
+
+_RANKED = "list_sort([" + ", ".join(f"{{s: -{n}, k: {k}, n: '{n}'}}" for k, n in enumerate(_NAMES)) + "])"
+
+
+@query(f"""
+SELECT doc_id, overall, 'This text scores ' || overall || '/100 (' || label || ').'
+  || CASE WHEN len(hi) > 0 THEN ' It shows strongest affinity in ' || array_to_string(list_transform(hi[1:3], lambda r: r.n), ', ') || '.' ELSE '' END
+  || CASE WHEN len(hi) > 0 AND len(lo) BETWEEN 1 AND {len(_NAMES) - 1} THEN ' It lacks emphasis on ' || array_to_string(list_transform(lo[1:2], lambda r: r.n), ', ') || '.' ELSE '' END
+  || CASE WHEN penalty_applied > 0 THEN ' Score reduced by ' || penalty_applied || ' points for counter-markers (' || counter || ' found).' ELSE '' END AS summary
+FROM (SELECT *, list_filter(ranked, lambda r: r.s <= -50) AS hi, list_filter(ranked, lambda r: r.s > -20) AS lo FROM (SELECT *, {_RANKED} AS ranked FROM ({_SCORED})))""")
 def affinity_summary(spark: SparkSession, d: str) -> DataFrame:
-    """The strong and weak dimensions of each document in words."""
-    s = affinity(_texts(spark, d))
-    return s.select("doc_id", "overall", tagging.summary(_NAMES, [F.col(n) for n in _NAMES]).alias("summary"))
+    """The score in words."""
+    return scoring.with_scores(_texts(spark, d), SCALE).select("doc_id", "overall", scoring.summary(SCALE).alias("summary"))
+
+
+@query(f"""
+SELECT doc_id, {_score_sql("r", 12.0)} AS rhetoric FROM (SELECT *, {_patterns_sql(SCALE.rhetoric)} + len(regexp_extract_all(text, '[A-Z][^.!?]*\?\s')) + 2 * len(regexp_extract_all(text, '[A-Z][^.!?]*\?')) AS r
+  FROM (SELECT doc_id, text, lower(text) AS l, {_WORDS_SQL} AS words FROM documents WHERE text IS NOT NULL))""")
+def rhetoric_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d).select("doc_id", scoring.rhetoric_score(F.col("text"), T.word_count(F.col("text")), SCALE.rhetoric).alias("rhetoric"))
+
+
+@query(f"""
+WITH c AS (SELECT passage_id, max_by(overall_score, created_at) AS cached FROM swi_scores WHERE overall_score IS NOT NULL GROUP BY passage_id HAVING count(*) = 1),
+p AS (SELECT id, min(text) AS text FROM passages GROUP BY id HAVING min(text) IS NOT NULL),
+k AS (SELECT sha256('v1:' || text) AS h, min(cached) AS cached FROM p JOIN c ON passage_id = id WHERE id < 'jx-l' GROUP BY 1)
+SELECT p.id, coalesce(k.cached, s.overall) AS overall, CASE WHEN k.cached IS NULL THEN 'rules' ELSE 'cache' END AS engine
+FROM p LEFT JOIN k ON k.h = sha256('v1:' || p.text) JOIN ({scored_sql("(SELECT id, min(text) AS text FROM passages GROUP BY id)", "id")}) s ON s.id = p.id""")
+def score_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    """Scores from a cache where it has the text, else by rules. The cache holds passages scored once, of ids up to jx-l."""
+    p = read(spark, d, "passages", "id", "text").groupBy("id").agg(F.min("text").alias("text")).where("text is not null")
+    once = read(spark, d, "swi_scores", "passage_id", "overall_score").where("overall_score is not null").groupBy("passage_id").agg(F.max("overall_score").alias("overall"), F.count("*").alias("n")).where("n = 1")
+    held = p.where("id < 'jx-l'").join(once, F.col("id") == F.col("passage_id")).groupBy(scoring.cache_key(F.col("text"), "v1").alias("cache_key")).agg(F.min("overall").alias("overall"))
+    return scoring.dispatched(p, held.withColumn("created_at", F.lit(None).cast("timestamp")), SCALE, "v1")
+
+
+@query(f"""
+WITH g AS (SELECT doc_id, source, title, n FROM (SELECT doc_id, source, title, count(*) OVER (PARTITION BY title) AS n, count(CASE WHEN text IS NULL OR trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')) = '' OR length(text) > 50000 THEN 1 END) OVER (PARTITION BY title) AS bad FROM documents WHERE title IS NOT NULL) WHERE n BETWEEN 2 AND 5 AND bad = 0)
+SELECT title, doc_id, overall, label, row_number() OVER (PARTITION BY title ORDER BY overall DESC, doc_id) AS place, max(overall) OVER (PARTITION BY title) - overall AS behind FROM g JOIN ({_SCORED}) s USING (doc_id)""")
+def compared_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of one title, where there are two to five, side by side."""
+    docs = read(spark, d, "documents", "doc_id", "title", "text").where("title is not null")
+    return scoring.compared(docs, SCALE, "title", "doc_id")
+
+
+@query(f"""
+SELECT title_stem, words, overall, label, array_to_string(list_transform(list_sort([{", ".join(f"{{n: '{n}', s: {n}}}" for n in _NAMES)}]), lambda r: r.n || '=' || r.s), ',') AS dims,
+  CASE WHEN words < 200 THEN 'This text is only ' || words || ' words; at least 200 are advised.' END AS advisory
+FROM (SELECT id AS title_stem, * EXCLUDE (id) FROM ({scored_sql("(SELECT id, min(text) AS text FROM passages WHERE source_type = 'letter' GROUP BY id)", "id")})) WHERE trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')) <> ''""")
+def whole_text_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every letter as one file is scored: name, words, score, dimensions by name, a note on short texts; blank ones are left out."""
+    p = read(spark, d, "passages", "id", "source_type", "text").where("source_type = 'letter'").groupBy("id").agg(F.min("text").alias("text")).where(scoring.valid_request(F.col("text"), 10**9))
+    s = scoring.with_scores(p, SCALE)
+    dims = F.concat_ws(",", *(F.concat(F.lit(f"{n}="), F.col(n).cast("string")) for n in sorted(_NAMES)))
+    return s.select(F.col("id").alias("title_stem"), "words", "overall", "label", dims.alias("dims"), scoring.advisory(F.col("words")).alias("advisory"))
 
 
 @query("""
@@ -159,9 +229,55 @@ def best_sentences(spark: SparkSession, d: str) -> DataFrame:
     return ordered.first_n(s.withColumn("score", score), ["id"], [F.col("score").desc(), F.col("sentence")], 1).select("id", "sentence", "score")
 
 
-@query("""
-SELECT id, CASE WHEN length(text) % 101 BETWEEN expected_min AND expected_max THEN 'in range' ELSE 'out of range' END AS verdict, len(map_keys(coalesce(expected_counter, MAP {}))) AS stances FROM golden_set""")
+_GOLDEN = scored_sql("golden_set", "id, bucket, expected_min, expected_max, expected_counter")
+_STANCES = ((r"\b(idleness|covetousness)\b",), (r"\b(pride|vanity|unbelief)\b",))
+_CHECKED = f"""
+SELECT id, bucket, overall, list_concat(
+  CASE WHEN overall < expected_min OR overall > expected_max THEN ['score ' || overall || ' outside [' || expected_min || ', ' || expected_max || ']'] ELSE [] END,
+  list_transform(list_sort(list_filter(map_entries(coalesce(expected_counter, MAP {{}})), lambda e: e.value IS DISTINCT FROM coalesce(stances[e.key], 'none'))), lambda e: e.key || ': expected ' || coalesce(e.value, 'none') || ', found ' || coalesce(stances[e.key], 'none'))) AS reasons
+FROM (SELECT *, MAP {{'dim-0': CAST(least({_patterns_sql(_STANCES[0])}, 9) AS VARCHAR), 'dim-1': CAST(least({_patterns_sql(_STANCES[1])}, 9) AS VARCHAR)}} AS stances FROM ({_GOLDEN}))"""
+
+
+def _golden(spark: SparkSession, d: str) -> DataFrame:
+    g = read(spark, d, "golden_set", "id", "bucket", "text", "expected_min", "expected_max", "expected_counter").where("text is not null")
+    low = F.lower("text")
+    stances = F.create_map(*(x for k, p in enumerate(_STANCES) for x in (F.lit(f"dim-{k}"), scoring.stance(low, p))))
+    return scoring.golden_check(scoring.with_scores(g, SCALE).withColumn("stances", stances))
+
+
+@query(f"SELECT id, bucket, overall, len(reasons) = 0 AS passed, array_to_string(reasons, '; ') AS reasons FROM ({_CHECKED})")
 def golden_checks(spark: SparkSession, d: str) -> DataFrame:
-    g = read(spark, d, "golden_set", "id", "text", "expected_min", "expected_max", "expected_counter")
-    inside = (F.length("text") % 101).between(F.col("expected_min"), F.col("expected_max"))
-    return g.select("id", F.when(inside, "in range").otherwise("out of range").alias("verdict"), F.coalesce(F.size(F.map_keys("expected_counter")), F.lit(0)).alias("stances"))
+    """Held-out items scored and held against the range and the stances expected of them."""
+    return _golden(spark, d).select("id", "bucket", "overall", "passed", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query(f"SELECT bucket, count(CASE WHEN len(reasons) = 0 THEN 1 END) AS passed, count(CASE WHEN len(reasons) > 0 THEN 1 END) AS failed FROM ({_CHECKED}) GROUP BY bucket")
+def golden_by_bucket(spark: SparkSession, d: str) -> DataFrame:
+    return _golden(spark, d).groupBy("bucket").agg(F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
+
+
+@query(f"""
+WITH f AS (SELECT id, expected_min AS low, expected_max AS high, hash_free % 2 = 0 AS penalised, CASE WHEN hash_free % 3 = 0 THEN 'none' END AS label_wanted FROM (SELECT *, CAST(substr(id, 4, 3) AS INT) AS hash_free FROM golden_set)),
+s AS (SELECT * FROM ({scored_sql("(SELECT id, text FROM golden_set WHERE CAST(substr(id, 4, 3) AS INT) % 10 <> 9)", "id")})),
+j AS (SELECT f.id, f.low, f.high, f.penalised, f.label_wanted, s.* EXCLUDE (id) FROM f LEFT JOIN s ON s.id = f.id)
+SELECT id, CASE WHEN overall IS NULL THEN 'SKIP' WHEN failures = '' THEN 'PASS' ELSE 'FAIL' END AS status, failures FROM (SELECT id, overall, array_to_string(list_filter([
+  CASE WHEN overall < low OR overall > high THEN 'overall ' || overall || ' not in [' || low || ', ' || high || ']' END,
+  CASE WHEN grace < 0 OR grace > 60 THEN 'grace ' || grace || ' not in [0, 60]' END,
+  CASE WHEN penalised AND penalty_applied = 0 THEN 'expected a penalty but none applied' WHEN NOT penalised AND penalty_applied > 0 THEN 'unexpected penalty applied' END,
+  CASE WHEN label_wanted <> label THEN 'label ' || label || ' is not ' || label_wanted END], lambda x: x IS NOT NULL), '; ') AS failures FROM j)""")
+def fixture_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Fixtures made of the held-out items: range, bounds of one dimension, penalty, label; a tenth of them has no text."""
+    g = read(spark, d, "golden_set", "id", "text", "expected_min", "expected_max").withColumn("n", F.substring("id", 4, 3).cast("int"))
+    dims = F.create_map(F.lit("grace"), F.struct(F.lit(0).alias("low"), F.lit(60).alias("high")))
+    fixtures = g.select("id", F.col("expected_min").alias("low"), F.col("expected_max").alias("high"), dims.alias("dims"), (F.col("n") % 2 == 0).alias("penalised"), F.when(F.col("n") % 3 == 0, "none").alias("label"))
+    return scoring.fixture_check(scoring.with_scores(g.where("n % 10 <> 9").select("id", "text"), SCALE), fixtures, SCALE)
+
+
+@query("""
+WITH q AS (SELECT id, trim(substr(text, 10, 25)) AS quote FROM golden_set WHERE text IS NOT NULL), d AS (SELECT id, CASE WHEN CAST(substr(id, 4, 3) AS INT) % 2 = 0 THEN upper(text) ELSE substr(text, 40) END AS text FROM golden_set WHERE text IS NOT NULL)
+SELECT id, quote, strpos(lower(text), lower(quote)) - 1 AS "offset" FROM q JOIN d USING (id) WHERE quote <> '' AND strpos(lower(text), lower(quote)) > 0""")
+def located_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Quotations and where they stand in their texts, of which half are cut so that some quotations are gone."""
+    g = read(spark, d, "golden_set", "id", "text").where("text is not null")
+    texts = g.select("id", F.when(F.substring("id", 4, 3).cast("int") % 2 == 0, F.upper("text")).otherwise(F.expr("substr(text, 40)")).alias("text"))
+    return scoring.located(g.select("id", F.trim(F.substring("text", 10, 25)).alias("quote")), texts, "id")

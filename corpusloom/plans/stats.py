@@ -138,15 +138,6 @@ def score_sample(spark: SparkSession, d: str) -> DataFrame:
     return s.agg(F.round(F.median("overall_score"), 3).alias("median"), F.round(F.avg("overall_score"), 3).alias("mean"), F.min("overall_score").alias("least"), F.max("overall_score").alias("greatest"))
 
 
-@query("""
-SELECT bucket, count(*) AS items, count(CASE WHEN score BETWEEN expected_min AND expected_max THEN 1 END) AS passed FROM (
-  SELECT bucket, expected_min, expected_max, length(text) % 101 AS score FROM golden_set) GROUP BY bucket""")
-def golden_by_bucket(spark: SparkSession, d: str) -> DataFrame:
-    """Pass and fail by bucket of a score per golden item (here a stand-in that depends on the text alone)."""
-    g = read(spark, d, "golden_set", "bucket", "expected_min", "expected_max", "text").withColumn("score", F.length("text") % 101)
-    return g.groupBy("bucket").agg(F.count("*").alias("items"), F.count(F.when(F.col("score").between(F.col("expected_min"), F.col("expected_max")), 1)).alias("passed"))
-
-
 @query("""
 SELECT count(DISTINCT CASE WHEN source_type = 'sermon' THEN source_id END) AS sermon, count(DISTINCT CASE WHEN source_type = 'letter' THEN source_id END) AS letter,
        count(DISTINCT CASE WHEN source_type = 'journal' THEN source_id END) AS journal, count(DISTINCT CASE WHEN source_type = 'hymn-stanza' THEN source_id END) AS hymn_stanza FROM passages""")
