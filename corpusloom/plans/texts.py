@@ -177,14 +177,6 @@ def date_heads(spark: SparkSession, d: str) -> DataFrame:
     return segment.date_heads(_texts(spark, d), "doc_id").withColumnRenamed("id", "doc_id")
 
 
-@query()
-def resolved_dates(spark: SparkSession, d: str) -> DataFrame:
-    """The walk over date heads within each document, from January 1740."""
-    h = segment.date_heads(_texts(spark, d), "doc_id").withColumnRenamed("id", "doc_id")
-    h = h.select("doc_id", F.col("pos").cast("long").alias("pos"), "weekday", "day", F.lit(None).cast("int").alias("month"), F.lit(None).cast("int").alias("year"), F.lit(1740).alias("y0"), F.lit(1).alias("m0"))
-    return segment.resolve_dates(h, "doc_id", "pos", "y0", "m0")
-
-
 @query("""
 SELECT doc_id, CAST(i - 1 AS INT) AS pos, CAST(regexp_extract(x, '^\\s*(\\d{1,6})\\.\\s', 1) AS INT) AS number FROM (
   SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)) WHERE regexp_matches(x, '^\\s*(\\d{1,6})\\.\\s')""")
