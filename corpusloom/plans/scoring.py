@@ -198,37 +198,6 @@ def classify_first_match(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "source", T.first_match(rules, "other").alias("kind"))
 
 
-@query("""
-SELECT doc_id, CASE WHEN length(text) > 240 OR length(text) < 60 THEN 'length' WHEN upper(substr(text, 1, 1)) <> substr(text, 1, 1) THEN 'starts lower'
-  WHEN length(regexp_replace(text, '[^A-Z]', '', 'g')) > 0.35 * length(regexp_replace(text, '[^A-Za-z]', '', 'g')) THEN 'capitals' WHEN regexp_matches(text, '[bcdfghjklmnpqrstvwxz]{5,}') THEN 'consonants'
-  WHEN len(regexp_extract_all(text, '[!?]')) > 3 THEN 'marks' ELSE 'ok' END AS verdict FROM documents WHERE text IS NOT NULL""")
-def sentence_filters(spark: SparkSession, d: str) -> DataFrame:
-    """The first filter of the quotable-sentence chain that a text fails."""
-    t = F.col("text")
-    rules = [
-        ((F.length(t) > 240) | (F.length(t) < 60), "length"),
-        (F.upper(F.substring(t, 1, 1)) != F.substring(t, 1, 1), "starts lower"),
-        (F.length(F.regexp_replace(t, "[^A-Z]", "")) > 0.35 * F.length(F.regexp_replace(t, "[^A-Za-z]", "")), "capitals"),
-        (t.rlike("[bcdfghjklmnpqrstvwxz]{5,}"), "consonants"),
-        (F.regexp_count(t, F.lit("[!?]")) > 3, "marks"),
-    ]
-    return _texts(spark, d).select("doc_id", T.first_match(rules, "ok").alias("verdict"))
-
-
-@query("""
-WITH s AS (SELECT id, trim(x) AS s, row_number() OVER (PARTITION BY id) AS k FROM (SELECT id, unnest(string_split(regexp_replace(text, '([.!?])[ \\t\\n]+', '\\1' || chr(1), 'g'), chr(1))) AS x FROM (SELECT id, min(text) AS text FROM passages WHERE source_type = 'sermon' GROUP BY id))),
-g AS (SELECT DISTINCT id, s, 10 * len(regexp_extract_all(lower(s), '\\bpatience\\b|\\bcharity\\b|\\bmercy\\b')) + CASE WHEN length(s) BETWEEN 80 AND 160 THEN 5 ELSE 0 END - CASE WHEN contains(s, '"') THEN 3 ELSE 0 END AS score FROM s WHERE length(s) BETWEEN 60 AND 240 AND regexp_matches(s, '^[A-Z]'))
-SELECT id, s AS sentence, CAST(score AS INT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, s) AS r FROM g) WHERE r = 1""")
-def best_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Each sermon passage's best sentence by an additive rubric."""
-    from corpusloom.operators import ordered
-
-    p = read(spark, d, "passages", "id", "source_type", "text").where("source_type = 'sermon'").groupBy("id").agg(F.min("text").alias("text"))
-    s = p.select("id", F.explode(F.split("text", r"(?<=[.!?])[ \t\n]+")).alias("s")).select("id", F.trim("s").alias("sentence")).where(F.length("sentence").between(60, 240) & F.col("sentence").rlike("^[A-Z]")).distinct()
-    score = 10 * F.regexp_count(F.lower("sentence"), F.lit(r"\bpatience\b|\bcharity\b|\bmercy\b")) + F.when(F.length("sentence").between(80, 160), 5).otherwise(0) - F.when(F.col("sentence").contains('"'), 3).otherwise(0)
-    return ordered.first_n(s.withColumn("score", score), ["id"], [F.col("score").desc(), F.col("sentence")], 1).select("id", "sentence", "score")
-
-
 _GOLDEN = scored_sql("golden_set", "id, bucket, expected_min, expected_max, expected_counter")
 _STANCES = ((r"\b(idleness|covetousness)\b",), (r"\b(pride|vanity|unbelief)\b",))
 _CHECKED = f"""
