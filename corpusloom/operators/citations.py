@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Book names with their usual abbreviations, in canonical order.
 BOOKS = (
@@ -83,15 +84,30 @@ def top(refs: DataFrame, columns: list[str], n: int = 10) -> DataFrame:
     return refs.where(" and ".join(f"{c} is not null" for c in columns)).groupBy(*columns).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), *columns).limit(n)
 
 
-def index(refs: DataFrame) -> DataFrame:
-    """(book, chapter, entries): the passages of each chapter in order, as 'id:first-last' strings."""
+def index(refs: DataFrame, most: int = 1000) -> DataFrame:
+    """(book, chapter, part, entries): the passages of each chapter in order, as 'id:first-last' strings, at most ``most`` in a part."""
     verses = F.concat(F.coalesce(F.col("verse_start").cast("string"), F.lit("")), F.when(F.col("verse_end") > F.col("verse_start"), F.concat(F.lit("-"), F.col("verse_end").cast("string"))).otherwise(""))
-    entry = F.concat("passage_id", F.lit(":"), verses)
-    return refs.where("book is not null and chapter is not null and passage_id is not null").groupBy("book", "chapter").agg(F.concat_ws("; ", F.sort_array(F.collect_list(entry))).alias("entries"))
+    rows = refs.where("book is not null and chapter is not null and passage_id is not null").select("book", "chapter", F.concat("passage_id", F.lit(":"), verses).alias("entry"))
+    part = F.floor((F.row_number().over(Window.partitionBy("book", "chapter").orderBy("entry")) - 1) / most).cast("int")
+    return rows.withColumn("part", part).groupBy("book", "chapter", "part").agg(F.concat_ws("; ", F.sort_array(F.collect_list("entry"))).alias("entries"))
 
 
-def nested_index(refs: DataFrame) -> DataFrame:
-    """One JSON document per book: chapter -> entries."""
-    per_chapter = index(refs).withColumn("chapter", F.col("chapter").cast("string"))
-    pairs = F.sort_array(F.collect_list(F.struct("chapter", "entries")))
-    return per_chapter.groupBy("book").agg(F.to_json(F.map_from_entries(pairs)).alias("document"))
+def nested_index(refs: DataFrame, most: int = 1000) -> DataFrame:
+    """(book, part, document): JSON documents chapter -> entries, the n-th parts of all chapters of a book in one."""
+    pairs = F.sort_array(F.collect_list(F.struct(F.col("chapter").cast("string").alias("chapter"), "entries")))
+    return index(refs, most).groupBy("book", "part").agg(F.to_json(F.map_from_entries(pairs)).alias("document"))
+
+
+def merged(index_rows: DataFrame, new: DataFrame) -> DataFrame:
+    """Flat index rows (book, chapter, pos, passage_id, verses) with new entries (the same without pos) after the old ones of their chapter."""
+    old = index_rows.select("book", "chapter", F.lit(0).alias("_new"), F.col("pos").cast("long").alias("_o"), "passage_id", "verses")
+    more = new.select("book", "chapter", F.lit(1).alias("_new"), F.lit(0).cast("long").alias("_o"), "passage_id", "verses")
+    w = Window.partitionBy("book", "chapter").orderBy("_new", "_o", "passage_id", "verses")
+    return old.unionByName(more).select("book", "chapter", (F.row_number().over(w) - 1).alias("pos"), "passage_id", "verses")
+
+
+def nested_document(rows: DataFrame, most: int = 1000) -> DataFrame:
+    """(book, chapter, part, entries): flat index rows as arrays of entries in order, ready for a JSON sink; at most ``most`` in a part."""
+    entry = F.struct(F.col("pos"), F.struct("passage_id", "verses").alias("e"))
+    cut = rows.withColumn("part", F.floor(F.col("pos") / most).cast("int"))
+    return cut.groupBy("book", "chapter", "part").agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["e"]).alias("entries"))

@@ -110,3 +110,22 @@ def redirects(works: DataFrame) -> DataFrame:
     target = F.when(duplicate != "", duplicate).otherwise(F.col("id"))
     pairs = works.select(target.alias("target"), F.explode("legacy_ids").alias("legacy_id")).where("legacy_id is not null")
     return pairs.groupBy("legacy_id").agg(F.min("target").alias("target"))
+
+
+def redirects_filled(known: DataFrame, ids: DataFrame, rules: list[tuple[str, str]], id_col: str = "id") -> DataFrame:
+    """The redirects (legacy_id, target), and for ids that have none the target of the first rule whose prefix the id begins with."""
+    target = F.coalesce(*(F.when(F.col("legacy_id").startswith(prefix), F.lit(t)) for prefix, t in rules))
+    loose = ids.select(F.col(id_col).alias("legacy_id")).where("legacy_id is not null").distinct().join(known.select("legacy_id"), "legacy_id", "left_anti")
+    return known.select("legacy_id", "target").unionByName(loose.select("legacy_id", target.alias("target")).where("target is not null"))
+
+
+def by_source(passages: DataFrame) -> DataFrame:
+    """(source_id, pos, id): the ids of a source in the order of chunk index and id, numbered from 0; a repeated id once."""
+    one = passages.where("source_id is not null").groupBy("source_id", "id").agg(F.min("chunk_index").alias("c"))
+    return one.select("source_id", (F.row_number().over(Window.partitionBy("source_id").orderBy(F.col("c").asc_nulls_last(), "id")) - 1).alias("pos"), "id")
+
+
+def cache_state(cache: DataFrame, now: Column, ttl: str, key: str, at: str, value: str) -> DataFrame:
+    """(key, value, state) of the last value of each key: fresh within ``ttl`` of ``now``, else stale, to be used only if a new one fails."""
+    last = latest_per_key(cache.where(F.col(key).isNotNull() & F.col(at).isNotNull()), [key], [F.col(at).desc(), F.col(value).desc_nulls_last()])
+    return last.select(key, value, F.when(F.col(at) + F.expr(f"interval {ttl}") > now, "fresh").otherwise("stale").alias("state"))

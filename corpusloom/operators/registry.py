@@ -74,11 +74,20 @@ def neighbours_in_corpus(works: DataFrame) -> DataFrame:
     return works.select("corpus", "id", F.lag("id").over(w).alias("prev_id"), F.lead("id").over(w).alias("next_id"))
 
 
-def sitemap(works: DataFrame, base: str) -> DataFrame:
-    """Per corpus of open works: an XML list of their addresses in order."""
+def sitemap(works: DataFrame, base: str, most: int = 50_000) -> DataFrame:
+    """(corpus, part, xml): the addresses of open works in order, at most ``most`` in a part."""
     line = F.concat(F.lit(f"<url><loc>{base}/"), T.escape_html(F.col("id")), F.lit("</loc></url>"))
-    ordered = F.sort_array(F.collect_list(F.struct("id", line.alias("line"))))
-    return works.where("open").groupBy("corpus").agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("xml"))
+    rows = works.where("open").select("corpus", "id", line.alias("line"), F.floor((F.row_number().over(Window.partitionBy("corpus").orderBy("id")) - 1) / most).cast("int").alias("part"))
+    ordered = F.sort_array(F.collect_list(F.struct("id", "line")))
+    return rows.groupBy("corpus", "part").agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("xml"))
+
+
+def sitemap_index(maps: DataFrame, base: str) -> DataFrame:
+    """(n, line): the lines of the index of all site maps, in order of corpus and part; works without a corpus come first."""
+    name = F.concat(F.coalesce(F.replace("corpus", F.lit("/"), F.lit("-")), F.lit("other")), F.when(F.col("part") > 0, F.concat(F.lit("-"), F.col("part").cast("string"))).otherwise(""))
+    line = F.concat(F.lit(f"<sitemap><loc>{base}/sitemap-"), T.escape_html(name), F.lit(".xml</loc></sitemap>"))
+    # one row per site map: a thousandth of a percent of the works
+    return maps.select("corpus", "part", line.alias("line")).select((F.row_number().over(Window.orderBy(F.col("corpus").asc_nulls_first(), "part")) - 1).alias("n"), "line")
 
 
 def text_export(works: DataFrame, passages: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ vocabulary and not the corpus.
 from __future__ import annotations
 
 import difflib
-from collections import Counter
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,20 +17,31 @@ from pyspark.sql import functions as F
 from corpusloom import session
 from corpusloom.functions import text as T
 
-#: Endings and what they may replace, longest first.
-ENDINGS = (("iest", "y"), ("ies", "y"), ("ied", "y"), ("ier", "y"), ("ing", ""), ("ing", "e"), ("est", ""), ("est", "e"), ("eth", ""), ("eth", "e"), ("ed", ""), ("ed", "e"), ("er", ""), ("er", "e"), ("es", ""), ("ly", ""), ("s", ""), ("d", ""))
+#: Endings, what stands in their place in the base form, the least length of the word, whether a doubled consonant is undone and an i before them is a y.
+ENDINGS = (
+    ("ies", "y", 5, False, False), ("es", "", 4, False, False), ("es", "e", 4, False, False), ("s", "", 3, False, False),
+    ("ed", "", 4, True, True), ("ed", "e", 4, False, False), ("ing", "", 5, True, False), ("ing", "e", 5, False, False),
+    ("est", "", 6, True, True), ("est", "e", 6, False, False), ("er", "", 5, True, True), ("er", "e", 5, False, False),
+    ("ily", "y", 5, False, False), ("ly", "", 5, False, False),
+)
 
 
 def stems(word: Column) -> Column:
-    """What the word may be a regular inflection of: each ending taken off or replaced, doubled consonants made single."""
+    """What the word may be a regular inflection of: each ending taken off or replaced, doubled consonants single, i before the ending back to y."""
     out = []
-    for ending, instead in ENDINGS:
+    for ending, instead, least, single, i_to_y in ENDINGS:
         base = F.concat(F.substring(word, F.lit(1), F.length(word) - len(ending)), F.lit(instead))
-        fits = word.endswith(ending) & (F.length(word) - len(ending) >= 3)
+        fits = word.endswith(ending) & (F.length(word) >= least)
+        if ending == "s":
+            fits = fits & ~word.endswith("ss")
+        if ending == "ly":
+            fits = fits & ~word.endswith("ily")
         out.append(F.when(fits, base))
-        if not instead:
-            out.append(F.when(fits & base.rlike(r"([b-df-hj-np-tv-z])\1$"), F.substring(base, F.lit(1), F.length(base) - 1)))
-    return F.array_distinct(F.array_compact(F.array(*out)))
+        if single:
+            out.append(F.when(fits & base.rlike(r"([^aeiou])\1$"), F.substring(base, F.lit(1), F.length(base) - 1)))
+        if i_to_y:
+            out.append(F.when(fits & base.rlike(r".i$"), F.concat(F.substring(base, F.lit(1), F.length(base) - 1), F.lit("y"))))
+    return F.array_except(F.array_compact(F.array(*out)), F.array(word))
 
 
 def regular_inflections(words: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -42,18 +53,20 @@ def regular_inflections(words: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def elided(word: Column) -> Column:
-    """The full form of a period elision such as lov'd, o'er or 'tis; null for other words."""
-    w = F.lower(word)
-    return _first(
-        (w.rlike(r"^[a-z]+'d$"), F.concat(F.regexp_replace(w, "'d$", ""), F.lit("ed"))),
-        (w.rlike(r"^[a-z]+'st$"), F.concat(F.regexp_replace(w, "'st$", ""), F.lit("est"))),
-        (w == "o'er", F.lit("over")), (w == "e'er", F.lit("ever")), (w == "ne'er", F.lit("never")), (w == "e'en", F.lit("even")),
-        (w == "'tis", F.lit("it is")), (w == "'twas", F.lit("it was")), (w == "th'", F.lit("the")),
-    )
+    """What a word with one inner apostrophe may stand for: the apostrophe dropped or a vowel in its place (heav'n, promis'd); empty for others."""
+    inner = word.rlike("^[^']+'[^']+$")
+    forms = F.array(*(F.replace(word, F.lit("'"), F.lit(v)) for v in ("", "a", "e", "i", "o", "u")))
+    return F.when(inner, forms).otherwise(F.array().cast("array<string>"))
 
 
-def _first(*rules: tuple[Column, Column]) -> Column:
-    return F.coalesce(*(F.when(c, v) for c, v in rules))
+def explained(words: DataFrame, known: DataFrame, column: str = "w") -> DataFrame:
+    """The distinct words that are known, regular inflections of known words, elisions of either, or single letters: equi-joins on what they may stand for."""
+    w = words.select(column).distinct()
+    full = F.concat(F.array(F.col(column)), elided(F.col(column)))
+    bases = F.array_distinct(F.concat(full, F.flatten(F.transform(full, stems))))
+    meant = w.select(column, F.explode(bases).alias("_base"))
+    by_base = meant.join(known.select(F.col("w").alias("_base")).distinct(), "_base", "left_semi").select(column)
+    return by_base.unionByName(w.where(F.length(column) <= 1)).distinct()
 
 
 def substitutions(words: DataFrame, dictionary: DataFrame, seen: str = "f", meant: str = "s") -> DataFrame:
@@ -72,35 +85,28 @@ def substitutions(words: DataFrame, dictionary: DataFrame, seen: str = "f", mean
     return tried.join(known, "fix").groupBy("garble").agg(F.min("fix").alias("fix"), F.first("n").alias("n"), (F.count("*") > 1).alias("ambiguous"))
 
 
+_NOT_WORDS = re.compile(r"[^a-z0-9]+")
+
+
 def nearest_wording(text: str, quote: str) -> float:
-    """The greatest similarity of the quote with any window of its length in the text (words as units); 1 if the text holds it."""
-    a, b = quote.lower().split(), text.lower().split()
+    """The greatest similarity (share of matching characters) of the quote with a stretch of the text; 1 if the text holds it.
+
+    Only letters and digits count, whatever the case. Stretches are four words longer than
+    the quote and begin at every sixth part of it, so that one begins within a twelfth of
+    any place; a stretch whose characters can't beat the best so far is passed over.
+    """
+    a, b = _NOT_WORDS.sub(" ", quote.lower()).strip(), _NOT_WORDS.sub(" ", text.lower()).strip()
     if not a or not b:
         return 0.0
-    if " ".join(a) in " ".join(b):
+    if a in b:
         return 1.0
-    n = len(a)
-    # words that quote and window share in any order bound the similarity: windows are tried from the greatest bound on
-    left, shared = Counter(a), 0
-    bounds = []
-    for k, w in enumerate(b):
-        shared += left[w] > 0
-        left[w] -= 1
-        if k >= n:
-            left[b[k - n]] += 1
-            shared -= left[b[k - n]] > 0
-        if k >= n - 1:
-            bounds.append((-shared, k - n + 1))
-    bounds = sorted(bounds) or [(-shared, 0)]
-    matcher = difflib.SequenceMatcher(autojunk=False)
+    words, n = b.split(), len(a.split())
+    best, matcher = 0.0, difflib.SequenceMatcher(None, autojunk=False)
     matcher.set_seq2(a)
-    best = 0.0
-    for shared, k in bounds:
-        window = b[k : k + n]
-        if -2.0 * shared / (n + len(window)) <= best:
-            break
-        matcher.set_seq1(window)
-        best = max(best, matcher.ratio())
+    for k in range(0, max(1, len(words) - n + 1), max(1, n // 6)):
+        matcher.set_seq1(" ".join(words[k : k + n + 4]))
+        if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
+            best = max(best, matcher.ratio())
     return best
 
 

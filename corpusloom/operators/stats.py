@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as T
+from corpusloom.operators import repair
 
 
 def corpus_totals(passages: DataFrame) -> DataFrame:
@@ -78,22 +79,30 @@ def score_summary(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.floor(F.avg(value)).cast("long").alias("mean"), F.min(value).alias("least"), F.max(value).alias("greatest"))
 
 
-def token_noise(passages: DataFrame, dictionary: DataFrame, top: int = 20, least_known: int = 5) -> DataFrame:
-    """Per source: words, words in neither the dictionary nor the proper nouns, their rate and the ``top`` offenders.
+def token_noise(passages: DataFrame, dictionary: DataFrame, header: str | None = None, top: int = 20, least_known: int = 5) -> DataFrame:
+    """Per source: passages, words, words that nothing explains, their rate, passages with a running header, the ``top`` offenders.
 
-    Tokens are [A-Za-z']+; a capitalised token seen ``least_known`` times counts as known.
-    Every step aggregates before it shuffles; the dictionary joins on distinct tokens only.
+    Tokens are [A-Za-z']+; known are dictionary words and capitalised tokens seen
+    ``least_known`` times; regular inflections and elisions of known words and single
+    letters are no noise either. Texts are taken apart once, and counted per source before
+    anything is shuffled; the dictionary meets distinct words only. Offenders are as written.
     """
-    tokens = passages.select("source_id", F.explode(T.cased_tokens(F.col("text"))).alias("t")).groupBy("source_id", "t").agg(F.count("*").alias("n"))
-    known = dictionary.select(F.lower("word").alias("w")).union(proper_nouns(passages, least_known).select(F.lower("token").alias("w"))).distinct()
-    flagged = tokens.withColumn("w", F.lower(F.regexp_replace("t", "^'+|'+$", ""))).where("w <> ''")
-    bad = flagged.join(known, "w", "left_anti").groupBy("source_id", "w").agg(F.sum("n").alias("n"))
-    totals = flagged.groupBy("source_id").agg(F.sum("n").alias("words"))
-    rank = Window.partitionBy("source_id").orderBy(F.col("n").desc(), "w")
-    worst = bad.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= top).groupBy("source_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "w", "n"))), lambda s: F.concat(s["w"], F.lit(":"), s["n"].cast("string"))), "; ").alias("top_offenders"))
+    rows = passages.select("source_id", "text")
+    tokens = rows.select("source_id", F.explode(T.cased_tokens(F.col("text"))).alias("t")).groupBy("source_id", "t").agg(F.count("*").alias("n"))
+    proper = tokens.where(F.col("t").rlike("^[A-Z][a-z]+$")).groupBy("t").agg(F.sum("n").alias("n")).where(F.col("n") >= least_known)
+    known = dictionary.select(F.lower("word").alias("w")).where("w is not null").union(proper.select(F.lower("t").alias("w"))).distinct()
+    low = tokens.withColumn("w", F.lower(F.regexp_replace("t", "^'+|'+$", "")))
+    sound = repair.explained(low.where("w <> ''").select("w"), known)
+    bad = low.where("w <> ''").join(sound, "w", "left_anti").groupBy("source_id", "t").agg(F.sum("n").alias("n"))
+    totals = tokens.groupBy("source_id").agg(F.sum("n").alias("words"))
+    rank = Window.partitionBy("source_id").orderBy(F.col("n").desc(), "t")
+    worst = bad.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= top).groupBy("source_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "t", "n"))), lambda s: F.concat(s["t"], F.lit(":"), s["n"].cast("string"))), "; ").alias("top_offenders"))
     sums = bad.groupBy("source_id").agg(F.sum("n").alias("non_words"))
-    out = totals.join(sums, "source_id", "left").join(worst, "source_id", "left")
-    return out.select("source_id", "words", F.coalesce("non_words", F.lit(0)).alias("non_words"), F.round(F.coalesce("non_words", F.lit(0)) / F.col("words"), 4).alias("rate"), F.coalesce("top_offenders", F.lit("")).alias("top_offenders"))
+    headed = F.count_if(F.col("text").rlike(header)) if header else F.lit(0).cast("long")
+    sources = rows.groupBy("source_id").agg(F.count("*").alias("passages"), headed.alias("header_passages"))
+    out = sources.join(totals, "source_id", "left").join(sums, "source_id", "left").join(worst, "source_id", "left")
+    words, non_words = F.coalesce("words", F.lit(0)), F.coalesce("non_words", F.lit(0))
+    return out.select("source_id", "passages", words.alias("words"), non_words.alias("non_words"), F.when(words > 0, F.bround(non_words / words, 4)).otherwise(0.0).alias("rate"), "header_passages", F.coalesce("top_offenders", F.lit("")).alias("top_offenders"))
 
 
 def proper_nouns(passages: DataFrame, least: int = 5) -> DataFrame:
@@ -103,12 +112,16 @@ def proper_nouns(passages: DataFrame, least: int = 5) -> DataFrame:
 
 
 def unknown_contexts(passages: DataFrame, dictionary: DataFrame, around: int = 30) -> DataFrame:
-    """Lower-case tokens not in the dictionary: frequency and a sample of the text around one (smallest id)."""
-    tokens = passages.select("id", "text", F.explode(F.array_distinct(T.ascii_tokens(F.col("text"), "[a-z]+"))).alias("w")).where("length(w) > 3")
-    known = dictionary.select(F.lower("word").alias("w")).distinct()
-    bad = tokens.join(known, "w", "left_anti")
-    out = bad.groupBy("w").agg(F.count("*").alias("n"), F.min(F.struct("id", "text")).alias("s"))
-    return out.select("w", "n", F.col("s.id").alias("sample_id"), F.substring(F.col("s.text"), F.greatest(F.position(F.col("w"), F.lower(F.col("s.text"))) - around, F.lit(1)), F.lit(2 * around)).alias("sample"))
+    """Lower-case tokens not in the dictionary: in how many texts, and the text around one (of the smallest id).
+
+    Only words and ids are shuffled; the texts are met once more by the ids of the samples.
+    """
+    tokens = passages.select("id", F.explode(F.array_distinct(T.ascii_tokens(F.col("text"), "[a-z]+"))).alias("w")).where("length(w) > 3")
+    counted = tokens.groupBy("w").agg(F.count("*").alias("n"), F.min("id").alias("sample_id"))
+    bad = counted.join(dictionary.select(F.lower("word").alias("w")).distinct(), "w", "left_anti")
+    found = bad.join(passages.select(F.col("id").alias("sample_id"), "text"), "sample_id").withColumn("at", F.position(F.col("w"), F.lower("text"))).where("at > 0")
+    cut = F.substring(F.col("text"), F.greatest(F.col("at") - around, F.lit(1)), F.lit(2 * around))
+    return found.groupBy("w", "n", "sample_id").agg(F.min(cut).alias("sample"))
 
 
 def ngram_counts(passages: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), least: int = 1) -> DataFrame:

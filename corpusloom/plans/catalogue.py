@@ -5,7 +5,7 @@ Each module of this package registers its queries with :func:`corpusloom.plans.b
 
 from __future__ import annotations
 
-from corpusloom.plans import feeds, journal, ordered, quotes, registry, relations, scoring, search, stats, texts, vectors  # noqa: F401
+from corpusloom.plans import feeds, gates, journal, ordered, quotes, registry, relations, scoring, search, sinks, stats, texts, vectors  # noqa: F401
 from corpusloom.plans.book import QUERIES, SQL, Query
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import citations, segment
 from corpusloom.plans.book import query
+from corpusloom.plans.stats import bases_sql
 from corpusloom.session import read
 
 
@@ -78,15 +79,38 @@ def greedy_chunks(spark: SparkSession, d: str) -> DataFrame:
     return segment.greedy_chunks(read(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-@query()
+# The books in order, for the comparison; an abbreviation is the first book's that it begins, but for those listed.
+_CANON = """Genesis Exodus Leviticus Numbers Deuteronomy Joshua Judges Ruth 1_Samuel 2_Samuel 1_Kings 2_Kings 1_Chronicles 2_Chronicles Ezra Nehemiah Esther Job Psalms Proverbs Ecclesiastes
+    Song_of_Solomon Isaiah Jeremiah Lamentations Ezekiel Daniel Hosea Joel Amos Obadiah Jonah Micah Nahum Habakkuk Zephaniah Haggai Zechariah Malachi Matthew Mark Luke John Acts Romans 1_Corinthians
+    2_Corinthians Galatians Ephesians Philippians Colossians 1_Thessalonians 2_Thessalonians 1_Timothy 2_Timothy Titus Philemon Hebrews James 1_Peter 2_Peter 1_John 2_John 3_John Jude Revelation""".split()
+_SHORT = "Gen Exod Ex Lev Num Deut Josh Judg Neh Esth Psalm Psa Ps Pss Prov Eccles Eccl Song Isa Jer Lam Ezek Dan Hos Obad Jon Mic Nah Hab Zeph Hag Zech Mal Matt Mt Mk Lk Jn Rom Gal Eph Phil Col Tit Philem Heb Jas Rev"
+_NUMBERED = "Samuel Kings Chronicles Corinthians Thessalonians Timothy Peter John Sam Kgs Chron Chr Cor Thess Thes Tim Pet Jn"
+_BOOKS_SQL = "(SELECT unnest([" + ", ".join(f"'{b.replace('_', ' ')}'" for b in _CANON) + f"]) AS name, unnest(range({len(_CANON)})) AS k)"
+_EXCEPT = "MAP {'mt': 'matthew', 'mk': 'mark', 'lk': 'luke', 'jn': 'john', 'jas': 'james', 'pss': 'psalms', '1kgs': '1kings', '2kgs': '2kings', '1jn': '1john', '2jn': '2john', '3jn': '3john', 'songs': 'songofsolomon', 'songofsongs': 'songofsolomon'}"
+
+
+def _book_sql(written: str) -> str:
+    key = f"regexp_replace(lower({written}), '[\\s.\\-_]', '', 'g')"
+    return f"(SELECT arg_min(name, k) FROM {_BOOKS_SQL} WHERE starts_with(replace(lower(name), ' ', ''), coalesce({_EXCEPT}[{key}], {key})))"
+
+
+_NAMES_SQL = "|".join(sorted([rf"[123]\s*{n}" for n in _NUMBERED.split()] + [b for b in _CANON if "_" not in b] + [r"Song\s+of\s+Solomon"] + _SHORT.split(), key=lambda x: (-len(x), x)))
+_CITED = rf"\b({_NAMES_SQL})\.?\s*(\d{{1,3}}):(\d{{1,3}})(?:\s?[-–]\s?(\d{{1,3}})|\s?,\s?(\d{{1,3}}))?"
+
+
+@query(rf"""
+WITH p AS (SELECT id, min(text) AS text FROM passages GROUP BY id), m AS (SELECT id, unnest(range(len(l))) AS pos, unnest(l) AS matched FROM (SELECT id, regexp_extract_all(text, '(?i){_CITED}') AS l FROM p WHERE text IS NOT NULL)),
+g AS (SELECT *, regexp_extract(matched, '(?i){_CITED}', ['book', 'c', 'v', 'e', 'f']) AS g FROM m), b AS (SELECT written, {_book_sql('written')} AS book FROM (SELECT DISTINCT g.book AS written FROM g)),
+c AS (SELECT id, pos, matched, b.book, CAST(g.c AS INT) AS chapter, CAST(g.v AS INT) AS verse_start, CAST(coalesce(nullif(g.e, ''), nullif(g.f, ''), g.v) AS INT) AS verse_end FROM g JOIN b ON b.written = g.g.book)
+SELECT id, pos, matched, book || ' ' || chapter || ':' || verse_start || CASE WHEN verse_end <> verse_start THEN '-' || verse_end ELSE '' END AS reference, book, chapter, verse_start, verse_end FROM c""")
 def extracted_citations(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "passages", "id", "text").groupBy("id").agg(F.min("text").alias("text"))
     return citations.extract(p)
 
 
-@query("""
-SELECT passage_id, reference, CASE replace(replace(lower(book), ' ', ''), '.', '') {cases} END AS name, book FROM (SELECT DISTINCT passage_id, reference, book FROM scripture_refs WHERE book IS NOT NULL)""".replace(
-    "{cases}", " ".join(f"WHEN '{a}' THEN '{n}'" for a, (n, _) in sorted(citations.aliases().items()))))
+@query(f"""
+WITH b AS (SELECT book, {_book_sql('book')} AS name FROM (SELECT DISTINCT book FROM scripture_refs WHERE book IS NOT NULL))
+SELECT passage_id, reference, b.name, r.book FROM (SELECT DISTINCT passage_id, reference, book FROM scripture_refs WHERE book IS NOT NULL) r JOIN b ON b.book = r.book""")
 def book_names(spark: SparkSession, d: str) -> DataFrame:
     r = read(spark, d, "scripture_refs", "passage_id", "reference", "book").where("book is not null").distinct()
     return r.withColumn("name", citations.book_name(F.col("book")))
@@ -197,7 +221,10 @@ def letter_substitutions(spark: SparkSession, d: str) -> DataFrame:
     return repair.substitutions(repair.tokens(read(spark, d, "passages", "text")), read(spark, d, "dictionary", "word"))
 
 
-@query()
+@query(f"""
+WITH known AS (SELECT DISTINCT lower(word) AS stem FROM dictionary WHERE word IS NOT NULL), w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM passages WHERE text IS NOT NULL),
+u AS (SELECT word, unnest({bases_sql('word')}) AS stem FROM w WHERE word NOT IN (SELECT stem FROM known))
+SELECT word, min(stem) AS stem FROM u WHERE stem IN (SELECT stem FROM known) GROUP BY word""")
 def regular_inflections(spark: SparkSession, d: str) -> DataFrame:
     """Corpus words that are regular inflections of dictionary words."""
     from corpusloom.operators import repair

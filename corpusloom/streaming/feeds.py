@@ -22,19 +22,41 @@ def append_log(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def ingest_new(stream: DataFrame, target: str, key: str, prepare: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Prepare and append the rows whose key the target doesn't have yet; a batch that is run again adds nothing."""
+    """Prepare and append the rows whose key the target doesn't have yet; a batch that is run again adds nothing.
+
+    The keys that are there stand in a table of their own beside the target (``-keys``), so
+    a batch reads keys only and never the target's rows.
+    """
 
     def step(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         fresh = joins.latest_per_key(prepare(batch), [key], [F.col(key)])
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            fresh = joins.anti(fresh, spark.read.parquet(target), key)
+        if _there(spark, f"{target}-keys"):
+            fresh = joins.anti(fresh, spark.read.parquet(f"{target}-keys"), key)
+        elif _there(spark, target):
+            fresh = joins.anti(fresh, spark.read.parquet(target).select(key), key)
+        fresh = session.materialise(fresh, "ingest")
         fresh.write.mode("append").parquet(target)
+        fresh.select(key).write.mode("append").parquet(f"{target}-keys")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def embed_new(stream: DataFrame, target: str, key: str, text: str, encode: Callable[[DataFrame, str], DataFrame], checkpoint: str) -> StreamingQuery:
+    """Vectors of the rows that have none yet: :func:`ingest_new` with an encoder (rows, text column) as its preparation."""
+    return ingest_new(stream, target, key, lambda batch: encode(batch, text).select(key, "embedding"), checkpoint)
+
+
+def first_within(stream: DataFrame, key: list[str], at: str, ttl: str) -> DataFrame:
+    """The rows that a cache of the given time to live doesn't answer: the first of each key within ``ttl``."""
+    return stream.withWatermark(at, ttl).dropDuplicatesWithinWatermark(key)
+
+
 def daily_counts(stream: DataFrame, at: str, late: str = "1 day") -> DataFrame:
     """(day, n) per UTC day; rows later than ``late`` behind the newest are dropped."""
     return stream.withWatermark(at, late).groupBy(F.window(at, "1 day")).agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), "n")
