@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
-from corpusloom.operators import citations, joins, registry, search, stats
+from corpusloom.operators import citations, joins, registry, scoring, search, stats
 from corpusloom.session import read
 
 _ENCODERS: dict[str, Callable[[list[str]], list[list[float]]]] = {}
@@ -104,9 +104,18 @@ class Corpus:
 
     # scoring and gates
 
-    def score(self, df: DataFrame, dimensions: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """Any table of texts through a scoring plan, such as :func:`corpusloom.plans.scoring.affinity`."""
-        return dimensions(df)
+    def score(self, df: DataFrame, scale: scoring.Scale, text: str = "text") -> DataFrame:
+        """A table of texts with the scores of a scale, its label, a summary and a note on short texts."""
+        scored = scoring.with_scores(df, scale, text)
+        return scored.withColumns({"summary": scoring.summary(scale), "advisory": scoring.advisory(F.col("words"))})
+
+    def compare(self, df: DataFrame, scale: scoring.Scale, group: str, label: str) -> DataFrame:
+        """Groups of two to five texts side by side."""
+        return scoring.compared(df, scale, group, label)
+
+    def score_cached(self, df: DataFrame, cache: DataFrame, scale: scoring.Scale, version: str) -> DataFrame:
+        """Scores from the cache where it has them, else by rules."""
+        return scoring.dispatched(df, cache, scale, version)
 
     def validate(self, *required: str) -> DataFrame:
         return registry.validation(self._table("passages"), list(required) or ["author", "source_id"])
@@ -118,3 +127,17 @@ class Corpus:
     def feedback(texts: DataFrame, text: str, score: Column) -> DataFrame:
         """Feedback rows as they are logged: the text's beginning (500 characters), the score and the time."""
         return texts.select(F.current_timestamp().alias("timestamp"), T.snippet(F.col(text), 500).alias("text_snippet"), score.cast("int").alias("overall_score"))
+
+    @staticmethod
+    def logged_feedback(log: DataFrame, limit: int = 100) -> DataFrame:
+        """The latest feedback first; as many as the limit."""
+        return log.orderBy(F.col("timestamp").desc(), "text_snippet").limit(limit)
+
+    # the open layer
+
+    def work_json(self, work_id: str) -> DataFrame:
+        """(id, document): a work's record with its passages in order, as JSON."""
+        works = self._table("works").where(F.col("id") == work_id)
+        members = joins.ordered_members(works, self._table("passages")).groupBy(F.col("work_id").alias("id"))
+        parts = members.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "passage_id", "text"))), lambda x: F.struct(x["passage_id"].alias("id"), x["text"].alias("text"))).alias("passages"))
+        return works.join(parts, "id", "left").select("id", F.to_json(F.struct(*works.columns, "passages")).alias("document"))

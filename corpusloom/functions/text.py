@@ -203,24 +203,77 @@ def rule_hits(text: Column, rules: list[tuple[str, str]]) -> Column:
     return F.array(*out)
 
 
-def clean_page_text(text: Column) -> Column:
+def keep_lines(text: Column, drop) -> Column:
+    """The text without the lines for which ``drop`` (a function of the line) holds."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.coalesce(drop(line), F.lit(False))), "\n")
+
+
+def clean_page_text(text: Column, normalise: bool = True) -> Column:
     """Ingest cleaning: NFKC, straight quotes, page-number and capital header lines dropped, hyphenated ends joined, white space tidied."""
-    out = straight_quotes(nfkc(text))
-    keep = lambda line: ~(F.trim(line).rlike(r"^[\[\(\-\s]*\d{1,4}[\]\)\-\s]*$") | ((F.length(F.trim(line)) < 60) & is_upper(F.trim(line))))
-    out = F.array_join(F.filter(F.split(out, "\n"), keep), "\n")
+    out = straight_quotes(nfkc(text) if normalise else text)
+    out = keep_lines(out, lambda line: F.trim(line).rlike(r"^[\[\(\-\s]*\d{1,4}[\]\)\-\s]*$") | ((F.length(F.trim(line)) < 60) & is_upper(F.trim(line))))
     out = F.regexp_replace(out, r"(\w)-\n(\w)", "$1$2")
     out = F.regexp_replace(out, r"[ \t]+", " ")
     return F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
 
-def clean_scan_text(text: Column, fixes: dict[str, str]) -> Column:
-    """Second-stage cleaning: noise lines dropped, one line, symbols stripped, whole-word fixes in one pass."""
-    out = straight_quotes(nfkc(text))
-    noise = lambda line: F.trim(line).rlike(r"^[^A-Za-z]*$") | ((F.length(F.trim(line)) <= 6) & ~F.lower(line).rlike("[aeiouy]"))
-    out = F.array_join(F.filter(F.split(out, "\n"), lambda x: ~noise(x)), " ")
-    out = F.regexp_replace(out, r"[\\|~^*_=<>{}#]+", " ")
-    if fixes:
-        table = F.create_map(*(F.lit(x) for pair in sorted(fixes.items()) for x in pair))
-        parts = F.split(out, r"(?<=\b)(?=\W)|(?<=\W)(?=\b)|(?<=\W)(?=\w)")
-        out = F.array_join(F.transform(parts, lambda w: F.coalesce(F.try_element_at(table, w), w)), "")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+def fix_words(text: Column, fixes: dict[str, str]) -> Column:
+    """Whole words ([A-Za-z']+) replaced by a table in one pass, whatever its size."""
+    if not fixes:
+        return text
+    table = F.create_map(*(F.lit(x) for pair in sorted(fixes.items()) for x in pair))
+    parts = F.regexp_extract_all(text, F.lit("([A-Za-z']+|[^A-Za-z']+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda w: F.coalesce(F.try_element_at(table, w), w)), "")
+
+
+def clean_scan_text(text: Column, fixes: dict[str, str], metadata: str | None = None, normalise: bool = True) -> Column:
+    """Second-stage cleaning of scanned text, to one line.
+
+    In order: long s and compatibility forms, straight quotes; lines of noise (no letters),
+    of metadata (``metadata``), page marks and shreds without vowels dropped, the others
+    joined; stray symbols, double dashes, day markers and page references taken out;
+    whole-word fixes in one pass; white space collapsed.
+    """
+    out = F.replace(text, F.lit("ſ"), F.lit("s"))
+    out = straight_quotes(nfkc(out) if normalise else out)
+
+    def noise(line: Column) -> Column:
+        s = F.trim(line)
+        bad = s.rlike(r"^[^A-Za-z]*$") | s.rlike(r"^(?:[A-Z]\s*\d+|\[\d+\]|\d{1,3})$") | ((F.length(s) < 5) & ~s.rlike("[aeiouAEIOU]"))
+        return bad | s.rlike(metadata) if metadata else bad
+
+    out = F.array_join(F.transform(F.filter(F.split(out, "\n"), lambda x: ~noise(x)), lambda x: F.trim(x)), " ")
+    out = F.regexp_replace(out, r"[|*#@&$%{}\[\]<>^~\\]", "")
+    out = F.regexp_replace(out, r"\s*--\s*", " ")
+    out = F.regexp_replace(out, r"\b(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*\.\s*\d+\.?", "")
+    out = F.regexp_replace(out, r"\((?:[Pp]age|p\.)\s*\d+\.?\)", "")
+    return F.trim(F.regexp_replace(fix_words(out, fixes), r"\s+", " "))
+
+
+def clean_garbles(text: Column, header: str, beside: list[str], fixes: dict[str, str], rules: list[tuple[str, str]]) -> Column:
+    """Repairs of one scan: running-header lines (``header`` and at least one of ``beside`` in the line) dropped, word fixes, rules in order.
+
+    A quoted salutation looks like a header but has nothing beside it, and stays.
+    """
+    out = keep_lines(text, lambda line: line.rlike(f"(?i){header}") & line.rlike("|".join(f"(?:{p})" for p in beside)))
+    return rule_fold(fix_words(out, fixes), rules)
+
+
+def clean_boilerplate(text: Column, blocks: list[str]) -> Column:
+    """Producer's blocks and lines (patterns over many lines), page-number lines and long runs of blank lines taken out."""
+    for p in blocks:
+        text = F.regexp_replace(text, f"(?ms){p}", "")
+    text = F.regexp_replace(text, r"(?m)^\d{1,3}[ \t]*$", "")
+    return strip(F.regexp_replace(text, r"\n{4,}", "\n\n\n"))
+
+
+def formatted_id(prefix: str, number: Column, width: int, overrides: dict[int, str] | None = None) -> Column:
+    """``prefix`` and the number with leading zeros, but for numbers with an id of their own; null for null."""
+    own = F.try_element_at(F.create_map(*(F.lit(x) for pair in sorted(overrides.items()) for x in pair)), number) if overrides else F.lit(None).cast("string")
+    return F.coalesce(own, F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0")))
+
+
+def display_name(key: Column, names: dict[str, str]) -> Column:
+    """The name to show for a key; for keys without one the key's words with capitals."""
+    table = F.create_map(*(F.lit(x) for pair in sorted(names.items()) for x in pair))
+    return F.coalesce(F.try_element_at(table, key), F.initcap(F.regexp_replace(key, "[-_]+", " ")))

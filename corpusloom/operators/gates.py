@@ -83,7 +83,7 @@ def sentinel_verdicts(passages: DataFrame, sentinels: DataFrame, tolerance: floa
     passage. A sentinel expected to be absent passes only without one.
     """
     texts = passages.select(F.col("id").alias("passage_id"), F.col("source_id").alias("_source"), "text").where("text is not null")
-    hits = joins.containing(texts, sentinels.select("id", "anchor", F.col("canonical").alias("quote"), F.col("source_id").alias("_wanted")), "text", "anchor")
+    hits = joins.containing(texts, sentinels.select("id", "anchor", F.col("canonical").alias("quote"), F.col("source_id").alias("_wanted")), "text", "anchor", "passage_id")
     scope = F.coalesce((F.col("_source") == F.col("_wanted")) | F.col("passage_id").startswith(F.col("_wanted")), F.lit(False))
     scored = repair.wording(hits.select("id", "passage_id", "text", "quote", scope.alias("in_scope"))).drop("text", "quote").distinct()
     w = Window.partitionBy("id").orderBy((F.col("similarity") + F.when(F.col("in_scope"), bonus).otherwise(0.0)).desc(), "passage_id")
@@ -95,7 +95,7 @@ def sentinel_verdicts(passages: DataFrame, sentinels: DataFrame, tolerance: floa
 
 def first_present(passages: DataFrame, anchors: DataFrame) -> DataFrame:
     """(id, ordinal, anchor, found): of each id's candidate anchors (id, ordinal, anchor) the first that any passage holds, and how many do; null if none is."""
-    hits = joins.containing(passages.select(F.col("id").alias("passage_id"), "text").where("text is not null"), anchors.select("id", "ordinal", "anchor"), "text", "anchor")
+    hits = joins.containing(passages.select(F.col("id").alias("passage_id"), "text").where("text is not null"), anchors.select("id", "ordinal", "anchor"), "text", "anchor", "passage_id")
     counted = hits.groupBy("id", "ordinal", "anchor").agg(F.countDistinct("passage_id").alias("found"))
     first = counted.groupBy("id").agg(F.min(F.struct("ordinal", "anchor", "found")).alias("m"))
     return anchors.select("id").distinct().join(first, "id", "left").select("id", "m.ordinal", "m.anchor", F.coalesce("m.found", F.lit(0)).alias("found"))

@@ -9,16 +9,19 @@ from corpusloom.functions import text as T
 from corpusloom.operators import joins, segment, tagging
 
 
-def passages(texts: DataFrame, rules: list[tuple[str, list[str]]], most: int = 400) -> DataFrame:
+def passages(texts: DataFrame, rules: list[tuple[str, list[str]]], most: int = 400, verse_below: int | None = None, normalise: bool = True) -> DataFrame:
     """Passage rows of (source_id, author, source_type, title, year, text): cleaned, chunked and tagged.
 
-    Sources of type hymn go stanza by stanza, others in chunks of at most ``most`` words.
+    Sources of type hymn go stanza by stanza, others in chunks of at most ``most`` words. With
+    ``verse_below``, as for a collection of verse, every text of fewer words goes stanza by
+    stanza and longer ones in chunks, whatever their type.
     """
-    clean = texts.withColumn("text", T.clean_page_text(F.col("text"))).where("text is not null and text <> ''")
-    prose = segment.greedy_chunks(clean.where("source_type <> 'hymn'"), "source_id", "text", most).select(
+    clean = texts.withColumn("text", T.clean_page_text(F.col("text"), normalise)).where("text is not null and text <> ''")
+    is_verse = F.col("source_type") == "hymn" if verse_below is None else T.word_count(F.col("text")) < verse_below
+    prose = segment.greedy_chunks(clean.where(~is_verse), "source_id", "text", most).select(
         F.format_string("%s-%03d", "id", "chunk_index").alias("id"), F.col("id").alias("source_id"), "chunk_index", "text", F.lit(None).cast("int").alias("stanza_number")
     )
-    verse = clean.where("source_type = 'hymn'").select(F.col("source_id"), F.posexplode(T.stanzas(F.col("text"))).alias("chunk_index", "text"))
+    verse = clean.where(is_verse).select(F.col("source_id"), F.posexplode(T.stanzas(F.col("text"))).alias("chunk_index", "text"))
     verse = verse.select(F.format_string("%s-stanza-%02d", "source_id", F.col("chunk_index") + 1).alias("id"), "source_id", "chunk_index", "text", (F.col("chunk_index") + 1).alias("stanza_number"))
     rows = prose.unionByName(verse).join(texts.select("source_id", "author", "source_type", F.col("title").alias("source_title"), "year"), "source_id")
     rows = rows.withColumns({"word_count": T.word_count(F.col("text")), "themes": F.array().cast("array<string>")})

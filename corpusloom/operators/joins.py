@@ -67,22 +67,29 @@ def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full_outer").select(key, status.alias("status"))
 
 
-def containing(texts: DataFrame, anchors: DataFrame, text: str, anchor: str) -> DataFrame:
+def containing(texts: DataFrame, anchors: DataFrame, text: str, anchor: str, key: str = "id") -> DataFrame:
     """Rows of texts with each anchor they contain as a substring, whatever the case; blank anchors are in none.
 
-    The anchors are a stated set. One of three words or more is met through its longest
-    inner word, which must be a whole word of the text: an equi-join. Only shorter anchors
-    are held against every text.
+    The anchors are a stated set. What is exploded and joined are words and keys, never
+    texts: an anchor of three words or more is met through its longest inner word, which
+    must be a whole word of the text; a shorter one through the words of the vocabulary
+    that hold it (one word) or end as its first word does (two). The texts are met once
+    more by the keys of the candidates. Only anchors without letters and digits are held
+    against every text. Rows without a key are left out.
     """
     tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
     stated = anchors.where(F.trim(anchor) != "").withColumn("_t", tokens(F.col(anchor)))
+    words = texts.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("_w"))
     inner = F.array_max(F.transform(F.slice("_t", 2, F.greatest(F.size("_t") - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    keyed = stated.where(F.size("_t") >= 3).withColumn("_w", inner["w"]).drop("_t")
-    words = texts.withColumn("_w", F.explode(F.array_distinct(tokens(F.col(text)))))
+    long = stated.where(F.size("_t") >= 3).withColumn("_w", inner["w"])
+    few = stated.where(F.size("_t").between(1, 2))
+    begins = F.get("_t", F.lit(0))
+    short = words.select("_w").distinct().join(few, F.when(F.size("_t") == 1, F.col("_w").contains(begins)).otherwise(F.col("_w").endswith(begins))).select(*few.columns, "_w")
+    met = words.join(long.unionByName(short).drop("_t"), "_w").drop("_w").distinct()
     held = F.lower(F.col(text)).contains(F.lower(F.col(anchor)))
-    long = words.join(keyed, "_w").where(held).drop("_w")
-    short = texts.join(stated.where(F.size("_t") < 3).drop("_t"), held)
-    return long.unionByName(short)
+    found = texts.join(met, F.col(key) == F.col("_key")).where(held).drop("_key")
+    bare = texts.where(F.col(key).isNotNull()).join(stated.where(F.size("_t") == 0).drop("_t"), held)
+    return found.unionByName(bare)
 
 
 def keyword_dimension(terms: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -129,3 +136,11 @@ def cache_state(cache: DataFrame, now: Column, ttl: str, key: str, at: str, valu
     """(key, value, state) of the last value of each key: fresh within ``ttl`` of ``now``, else stale, to be used only if a new one fails."""
     last = latest_per_key(cache.where(F.col(key).isNotNull() & F.col(at).isNotNull()), [key], [F.col(at).desc(), F.col(value).desc_nulls_last()])
     return last.select(key, value, F.when(F.col(at) + F.expr(f"interval {ttl}") > now, "fresh").otherwise("stale").alias("state"))
+
+
+def union_unique(base: DataFrame, more: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(all rows, (key, in_base, in_more) of keys that are there more than once): a gate to look at before the union is written."""
+    both = base.unionByName(more, allowMissingColumns=True)
+    counts = base.groupBy(key).agg(F.count("*").alias("in_base")).join(more.groupBy(key).agg(F.count("*").alias("in_more")), key, "full_outer")
+    twice = counts.select(key, F.coalesce("in_base", F.lit(0)).alias("in_base"), F.coalesce("in_more", F.lit(0)).alias("in_more")).where("in_base + in_more > 1")
+    return both, twice

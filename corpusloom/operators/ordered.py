@@ -56,8 +56,11 @@ def repeated(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def neighbour_median(df: DataFrame, key: list[str], order: list[Column], value: str, around: int, least: int) -> DataFrame:
-    """Each row with the median of up to ``around`` values before and after it (its own left out); null for fewer than ``least``."""
-    w = Window.partitionBy(*key).orderBy(*order)
+    """Each row with the median of up to ``around`` values before and after it (its own left out); null for fewer than ``least``.
+
+    Neighbours are the rows of the key that have a value: rows without one form a window of their own.
+    """
+    w = Window.partitionBy(*key, F.col(value).isNull()).orderBy(*order)
     both = F.concat(F.collect_list(value).over(w.rowsBetween(-around, -1)), F.collect_list(value).over(w.rowsBetween(1, around)))
     s = F.sort_array(F.col("_near"))
     n = F.size("_near")

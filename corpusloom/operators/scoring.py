@@ -84,7 +84,7 @@ def clamped(raw: Column, words: Column, max_density: float, max_count: float = 3
     """0 to 100: the better of saturated density and saturated count, cut to a whole number."""
     curve = lambda x, most: 100 * (1 - F.exp(-3 * F.least(x / most, F.lit(1.0))))
     best = F.greatest(curve(per_hundred(raw, words), max_density), curve(raw.cast("double"), max_count))
-    return F.least(F.round(best, 9).cast("int"), F.lit(100))  # a whole number must not fall to the one below
+    return F.when(raw.isNotNull(), F.least(F.round(best, 9).cast("int"), F.lit(100)))  # a whole number must not fall to the one below
 
 
 def reference_pattern() -> str:
@@ -110,14 +110,15 @@ def with_scores(df: DataFrame, scale: Scale, text: str = "text") -> DataFrame:
         terms = terms + T.count_literal(low, t)
     raw[scale.names[1]] = (phrase_hits(low, scale.curated) * 2 + terms, 25.0, 30.0)
     c = scale.counter
-    against = F.greatest(F.lit(0), phrase_hits(low, c.phrases) * 3 + pattern_hits(low, c.patterns) - 3 * pattern_hits(low, c.refutations))
+    known = F.col(text).isNotNull()
+    against = F.when(known, F.greatest(F.lit(0), phrase_hits(low, c.phrases) * 3 + pattern_hits(low, c.patterns) - 3 * pattern_hits(low, c.refutations)))
     out = out.withColumns({name: clamped(r, words, density, count) for name, (r, density, count) in raw.items()} | {"counter": against})
-    out = out.withColumns({"counter_density": F.bround(per_hundred(F.col("counter"), F.greatest(words, F.lit(1))), 2), "penalty": step(F.col("counter"), c.ladder)})
+    out = out.withColumns({"counter_density": F.bround(per_hundred(F.col("counter"), F.greatest(words, F.lit(1))), 2), "penalty": F.when(known, step(F.col("counter"), c.ladder))})
     theology = theology_score([F.col(d.name) for d in scale.dimensions])
     blend = F.round(theology * 0.60 + F.col(scale.names[0]) * 0.20 + F.col(scale.names[1]) * 0.20, 9).cast("int")
     applied = F.when(theology >= 60, F.least(F.col("penalty"), F.lit(5))).when(theology >= 40, F.least(F.col("penalty"), F.lit(10))).otherwise(F.col("penalty"))
-    out = out.withColumn("penalty_applied", applied).withColumn("overall", F.greatest(F.lit(0), F.least(F.lit(100), blend - F.col("penalty_applied"))))
-    return out.withColumn("label", T.first_match([(F.col("overall") >= t, x) for t, x in sorted(scale.labels, reverse=True)], scale.labels[0][1]))
+    out = out.withColumn("penalty_applied", F.when(known, applied)).withColumn("overall", F.when(known, F.greatest(F.lit(0), F.least(F.lit(100), blend - F.col("penalty_applied")))))
+    return out.withColumn("label", F.when(known, T.first_match([(F.col("overall") >= t, x) for t, x in sorted(scale.labels, reverse=True)], scale.labels[0][1])))
 
 
 def theology_score(scores: list[Column]) -> Column:

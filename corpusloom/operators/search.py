@@ -35,16 +35,26 @@ def is_untagged(themes: Column) -> Column:
     return F.coalesce(F.size(themes), F.lit(0)) <= 0
 
 
+def matching(df: DataFrame, query: str, **values: str | None) -> DataFrame:
+    """Rows that hold all terms and equal the given values."""
+    return equal_filters(df, **values).where(has_all_terms(F.col("text"), query))
+
+
 def keyword(df: DataFrame, query: str, limit: int = 50, **values: str | None) -> DataFrame:
     """The first rows (by id) that hold all terms."""
-    return equal_filters(df, **values).where(has_all_terms(F.col("text"), query)).orderBy("id").limit(limit)
+    return matching(df, query, **values).orderBy("id").limit(limit)
 
 
-def scored(df: DataFrame, query: str, limit: int, **values: str | None) -> DataFrame:
-    """Rows by 100 times the hits in the title plus the hits in the text; rows without hits are left out."""
+def with_score(df: DataFrame, query: str, **values: str | None) -> DataFrame:
+    """Adds ``score``: 100 times the hits in the title plus the hits in the text."""
     q = query.lower()
     score = 100 * T.count_literal(F.lower(F.coalesce("source_title", F.lit(""))), q) + T.count_literal(F.lower(F.coalesce("text", F.lit(""))), q)
-    return equal_filters(df, **values).withColumn("score", score).where("score > 0").orderBy(F.col("score").desc(), "id").limit(limit)
+    return equal_filters(df, **values).withColumn("score", score)
+
+
+def scored(df: DataFrame, query: str, limit: int, **values: str | None) -> DataFrame:
+    """Rows by their score; rows without hits are left out."""
+    return with_score(df, query, **values).where("score > 0").orderBy(F.col("score").desc(), "id").limit(limit)
 
 
 def random_rows(df: DataFrame, n: int, seed: str = "") -> DataFrame:
@@ -69,13 +79,11 @@ def citations(refs: DataFrame, query: str) -> DataFrame:
     if not parsed:
         return refs.limit(0)
     book, chapter, verse = parsed
-    out = refs.where(F.lower("book").startswith(book) if not _has(refs, book) else F.lower("book") == book)
+    # the exact name where there is one, else names that begin so: told apart by one aggregate, in the plan
+    named = refs.agg(F.coalesce(F.bool_or(F.lower("book") == book), F.lit(False))).scalar()
+    out = refs.withColumn("_named", named).where(F.when(F.col("_named"), F.lower("book") == book).otherwise(F.lower("book").startswith(book))).drop("_named")
     if chapter is not None:
         out = out.where(F.col("chapter") == chapter)
     if verse is not None:
         out = out.where(F.lit(verse).between(F.col("verse_start"), F.coalesce("verse_end", "verse_start")))
     return out.distinct()
-
-
-def _has(refs: DataFrame, book: str) -> bool:
-    return bool(refs.where(F.lower("book") == book).limit(1).count())

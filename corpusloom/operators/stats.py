@@ -57,9 +57,17 @@ def source_rollup(passages: DataFrame) -> DataFrame:
 
 
 def author_type_sources(rollup: DataFrame) -> DataFrame:
-    """Per author and type: its source ids in order of year (missing last) and id."""
-    ordered = F.sort_array(F.collect_list(F.struct(F.coalesce("year", F.lit(9999)).alias("y"), "source_id")))
-    return rollup.groupBy("author", "source_type").agg(F.concat_ws(",", F.transform(ordered, lambda s: s["source_id"])).alias("sources"), F.count("*").alias("n"))
+    """(author, source_type, place, source_id): the sources of each author and type in order of year (missing last) and id."""
+    w = Window.partitionBy("author", "source_type").orderBy(F.coalesce("year", F.lit(9999)), "source_id")
+    return rollup.select("author", "source_type", F.row_number().over(w).alias("place"), "source_id")
+
+
+def extremes(df: DataFrame, value: str, tie: str, top: int = 15, bottom: int = 10) -> DataFrame:
+    """The ``top`` greatest and ``bottom`` least rows with their place from either end; equal values by the tie. Two ordered limits, no sort of all."""
+    known = df.where(F.col(value).isNotNull())
+    high = known.orderBy(F.col(value).desc(), tie).limit(top).withColumn("place", F.row_number().over(Window.orderBy(F.col(value).desc(), tie)))
+    low = known.orderBy(F.col(value), tie).limit(bottom).withColumn("place", F.row_number().over(Window.orderBy(F.col(value), tie)))
+    return high.withColumn("end", F.lit("top")).unionByName(low.withColumn("end", F.lit("bottom")))
 
 
 def share_of(df: DataFrame, key: str, weight: str) -> DataFrame:
@@ -141,9 +149,25 @@ def distinctive_terms(own: DataFrame, reference: DataFrame, least: int = 5, top:
     return scored.orderBy(F.col("ratio").desc(), "term").limit(top)
 
 
-def progress(passages: DataFrame, kinds: list[str]) -> DataFrame:
-    """One row: the number of distinct sources of each kind."""
-    return passages.agg(*(F.countDistinct(F.when(F.col("source_type") == k, F.col("source_id"))).alias(k.replace("-", "_")) for k in kinds))
+def progress(passages: DataFrame, targets: list[tuple[str, list[str], int]]) -> DataFrame:
+    """(kind, have, target, share): distinct sources of each kind (a name, its source types, how many are wanted)."""
+    counts = passages.agg(*(F.countDistinct(F.when(F.col("source_type").isin(*types), F.col("source_id"))).alias(name) for name, types, _ in targets))
+    rows = F.array(*(F.struct(F.lit(n).alias("kind"), F.col(n).alias("have"), F.lit(t).alias("target"), F.round(F.col(n) / t, 4).alias("share")) for n, _, t in targets))
+    return counts.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def status(passages: DataFrame, embedded: DataFrame | None = None, id_col: str = "id") -> DataFrame:
+    """(by, value, n): passages in all, by type and by author, distinct sources, and passages that have a vector."""
+    def counted(name: str) -> DataFrame:
+        return passages.groupBy(F.coalesce(name, F.lit("unknown")).alias("value")).agg(F.count("*").alias("n")).select(F.lit(name).alias("by"), "value", "n")
+
+    one = passages.agg(F.count("*").alias("passages"), F.countDistinct(F.coalesce("source_id", F.lit(""))).alias("sources"))
+    all_rows = one.select(F.explode(F.array(F.struct(F.lit("passages").alias("value"), F.col("passages").alias("n")), F.struct(F.lit("sources").alias("value"), F.col("sources").alias("n")))).alias("r")).select(F.lit("all").alias("by"), "r.*")
+    out = all_rows.unionByName(counted("source_type")).unionByName(counted("author"))
+    if embedded is not None:
+        have = passages.select(id_col).distinct().join(embedded.select(id_col).distinct(), id_col, "left_semi").agg(F.count("*").alias("n"))
+        out = out.unionByName(have.select(F.lit("all").alias("by"), F.lit("embedded").alias("value"), "n"))
+    return out
 
 
 def count_if(condition: Column) -> Column:

@@ -23,6 +23,8 @@ def pattern_hits(text: Column, patterns: list[str]) -> Column:
 
 def top_labels(text: Column, rules: list[tuple[str, list[str]]], n: int = 3) -> Column:
     """The n labels with most matches, ties in the order of the rules; labels without matches are left out."""
+    if not rules:
+        return F.array().cast("array<string>")
     scored = F.array(*(F.struct((-pattern_hits(text, p)).alias("hits"), F.lit(k).alias("k"), F.lit(label).alias("label")) for k, (label, p) in enumerate(rules)))
     return F.transform(F.slice(F.array_sort(F.filter(scored, lambda s: s["hits"] < 0)), 1, n), lambda s: s["label"])
 
@@ -33,14 +35,44 @@ def tag_untagged(df: DataFrame, rules: list[tuple[str, list[str]]], n: int = 3)
     return df.withColumn("themes", F.when(untagged, top_labels(F.col("text"), rules, n)).otherwise(F.col("themes")))
 
 
-def review(df: DataFrame, rules: dict[str, list[str]], fallback: str) -> DataFrame:
-    """Themes whose rule the text doesn't meet removed (themes without a rule stay); ``fallback`` if none is left.
+def flags(text: Column, keywords: list[tuple[str, str]]) -> Column:
+    """The names of the keyword patterns that the lower-cased text matches, in their order."""
+    low = F.lower(text)
+    return F.array_compact(F.array(*(F.when(low.rlike(p), F.lit(name)) for name, p in keywords)))
 
-    Adds ``reviewed`` beside ``themes``; null themes stay null.
+
+def suggested(text: Column, rules: list[tuple[str, list[str]]]) -> Column:
+    """The labels whose rule the text meets, in the order of the rules."""
+    return F.array_compact(F.array(*(F.when(any_pattern(text, p), F.lit(label)) for label, p in rules)))
+
+
+def better_theme(text: Column, suggestions: list[tuple[str, list[str]]], keywords: list[tuple[str, str]], by_keyword: list[tuple[str, str]], default: str) -> Column:
+    """The first suggestion, else the theme of the first keyword found, else the default."""
+    found = flags(text, keywords)
+    choices = [(F.array_contains(found, k), theme) for k, theme in by_keyword]
+    return F.coalesce(F.get(suggested(text, suggestions), F.lit(0)), T.first_match(choices, default) if choices else F.lit(default))
+
+
+def review(df: DataFrame, rules: dict[str, list[str]], fallback: str, suggestions: list[tuple[str, list[str]]] | None = None, keywords: list[tuple[str, str]] | None = None, by_keyword: list[tuple[str, str]] | None = None, titles: list[tuple[str, str, bool]] | None = None, title: str = "source_title") -> DataFrame:
+    """Themes whose rule the text doesn't meet removed (themes without a rule stay); a better one if none is left.
+
+    Adds ``issues`` and, beside ``themes``, ``reviewed``. A title rule (word, theme, whether the
+    text must meet the theme's rule) reports a theme that the title asks for and the row
+    lacks; it changes nothing by itself. Rows without issues keep their themes, null ones too.
     """
-    failing = F.array_compact(F.array(*(F.when(~F.coalesce(any_pattern(F.col("text"), p), F.lit(False)), F.lit(t)) for t, p in sorted(rules.items()))))
-    kept = F.filter("themes", lambda t: ~F.coalesce(F.array_contains(failing, t), F.lit(False)))
-    return df.withColumn("reviewed", F.when((F.size(kept) == 0) & (F.size("themes") > 0), F.array(F.lit(fallback))).otherwise(kept))
+    text = F.col("text")
+    meets = {t: F.coalesce(any_pattern(text, p), F.lit(False)) for t, p in rules.items()}
+    failing = F.array_compact(F.array(*(F.when(~meets[t] & F.coalesce(F.array_contains("themes", t), F.lit(False)), F.lit(t)) for t in sorted(rules))))
+    asked = [
+        F.when(F.lower(title).contains(word) & ~F.coalesce(F.array_contains("themes", t), F.lit(False)) & (meets[t] if needed else F.lit(True)), F.lit(t)) for word, t, needed in (titles or [])
+    ]
+    untitled = F.array_compact(F.array(*asked)) if asked else F.array().cast("array<string>")
+    out = df.withColumns({"_failing": failing, "_untitled": untitled})
+    issues = F.concat(F.transform("_failing", lambda t: F.concat(F.lit("over-tagged: "), t)), F.transform("_untitled", lambda t: F.concat(F.lit("title: "), t)))
+    kept = F.filter("themes", lambda t: ~F.coalesce(F.array_contains(F.col("_failing"), t), F.lit(False)))
+    better = better_theme(text, suggestions or [], keywords or [], by_keyword or [], fallback)
+    out = out.withColumn("issues", issues).withColumn("reviewed", F.when((F.size(kept) == 0) & (F.size("issues") > 0), F.array(better)).otherwise(kept))
+    return out.drop("_failing", "_untitled")
 
 
 def review_deltas(reviewed: DataFrame) -> DataFrame:

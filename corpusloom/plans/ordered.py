@@ -58,9 +58,10 @@ def first_of_repeats(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH e AS (SELECT event_id, user_id, ts, CAST(ts AS DATE) AS day FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY ts, event_id) AS seq, lead(day) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_day FROM e)
-SELECT event_id, seq, CASE WHEN seq > 1 THEN chr(CAST(96 + seq AS INT)) ELSE '' END AS suffix, next_day FROM n WHERE seq <= 20""")
+SELECT event_id, seq, CASE WHEN seq = 1 THEN '' WHEN seq <= 26 THEN chr(CAST(96 + seq AS INT)) WHEN seq <= 702 THEN chr(CAST(96 + (seq - 1) // 26 AS INT)) || chr(CAST(97 + (seq - 1) % 26 AS INT))
+  ELSE chr(CAST(96 + ((seq - 1) // 26 - 1) // 26 AS INT)) || chr(CAST(97 + ((seq - 1) // 26 - 1) % 26 AS INT)) || chr(CAST(97 + (seq - 1) % 26 AS INT)) END AS suffix, next_day FROM n""")
 def same_day_suffix(spark: SparkSession, d: str) -> DataFrame:
-    """Every event; the SQL compared with stops at a user's twentieth of the day."""
+    """Every event with its number of the day as letters; the SQL knows up to three of them."""
     e = read(spark, d, "events", "event_id", "user_id", "ts").withColumn("day", F.to_date("ts"))
     e = ordered.suffixed(e, ["user_id", "day"], [F.col("ts"), F.col("event_id")])
     from pyspark.sql.window import Window
@@ -68,15 +69,18 @@ def same_day_suffix(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("next_day", F.lead("day").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).select("event_id", "seq", "suffix", "next_day")
 
 
-@query("""
-WITH w AS (SELECT event_id, value, list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING) AS a,
-                  list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 15 FOLLOWING) AS b FROM events),
-n AS (SELECT event_id, value, list_concat(coalesce(a, []), coalesce(b, [])) AS near FROM w)
-SELECT event_id, CASE WHEN len(near) >= 3 AND abs(value - list_aggregate(near, 'median')) > 50 THEN NULL ELSE value END AS value FROM n""")
+def _pass_sql(k: int) -> str:
+    """One pass over v{k}: values far from the median of their neighbours become null."""
+    frame = lambda a, b: f"list(value) FILTER (value IS NOT NULL) OVER (PARTITION BY user_id, value IS NULL ORDER BY ts, event_id ROWS BETWEEN {a} AND {b})"
+    return f"""v{k + 1} AS (SELECT event_id, user_id, ts, CASE WHEN len(near) >= 3 AND abs(value - list_aggregate(near, 'median')) > 50 THEN NULL ELSE value END AS value FROM (
+  SELECT *, list_concat(coalesce({frame('15 PRECEDING', '1 PRECEDING')}, []), coalesce({frame('1 FOLLOWING', '15 FOLLOWING')}, [])) AS near FROM v{k}))"""
+
+
+@query(f"WITH v0 AS (SELECT event_id, user_id, ts, value FROM events), {', '.join(map(_pass_sql, range(4)))} SELECT event_id, value FROM v4")
 def rolling_median_outliers(spark: SparkSession, d: str) -> DataFrame:
-    """One pass of the demotion of values far from the median of their neighbours."""
+    """Values far from the median of their neighbours demoted, in four passes."""
     e = read(spark, d, "events", "event_id", "user_id", "ts", "value")
-    return ordered.demote_outliers(e, ["user_id"], [F.col("ts"), F.col("event_id")], "value", 50, passes=1).select("event_id", "value")
+    return ordered.demote_outliers(e, ["user_id"], [F.col("ts"), F.col("event_id")], "value", 50).select("event_id", "value")
 
 
 @query("""
@@ -152,9 +156,9 @@ def daily_counter_cap(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT CAST(year AS INT) AS year, count(*) AS entries, CAST(coalesce(sum(word_count), 0) AS BIGINT) AS words, string_agg(id, ',' ORDER BY id) FILTER (word_count >= 200) AS long_ids
-FROM (SELECT id, min(year) AS year, max(word_count) AS word_count FROM passages WHERE source_type = 'journal' GROUP BY id) WHERE year BETWEEN 1700 AND 1800 GROUP BY year""")
+FROM (SELECT id, min(year) AS year, max(word_count) AS word_count FROM passages WHERE source_type = 'journal' GROUP BY id)  GROUP BY year""")
 def year_rollup(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "passages", "id", "year", "word_count", "source_type").where("source_type = 'journal'").groupBy("id").agg(F.min("year").alias("year"), F.max("word_count").alias("word_count"))
     long_ids = F.sort_array(F.collect_list(F.when(F.col("word_count") >= 200, F.col("id"))))
-    out = p.where("year between 1700 and 1800").groupBy("year").agg(F.count("*").alias("entries"), F.coalesce(F.sum("word_count"), F.lit(0)).alias("words"), long_ids.alias("l"))
+    out = p.groupBy("year").agg(F.count("*").alias("entries"), F.coalesce(F.sum("word_count"), F.lit(0)).alias("words"), long_ids.alias("l"))
     return out.select("year", "entries", "words", F.when(F.size("l") > 0, F.concat_ws(",", "l")).alias("long_ids"))

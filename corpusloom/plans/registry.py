@@ -66,7 +66,7 @@ def closing_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT corpus, string_agg('<url><loc>https://example.org/' || replace(id, '&', '&amp;') || '</loc></url>', chr(10) ORDER BY id) AS xml FROM works WHERE open GROUP BY corpus""")
+SELECT corpus, 0 AS part, string_agg('<url><loc>https://example.org/' || replace(id, '&', '&amp;') || '</loc></url>', chr(10) ORDER BY id) AS xml FROM works WHERE open GROUP BY corpus""")
 def sitemap(spark: SparkSession, d: str) -> DataFrame:
     return registry.sitemap(read(spark, d, "works", "id", "corpus", "open"), "https://example.org")
 
@@ -100,7 +100,10 @@ def work_records(spark: SparkSession, d: str) -> DataFrame:
     return w.select("id", F.col("numbering.bicentennial").alias("bicentennial"), F.col("numbering.sugden").alias("sugden"), F.col("source_edition.year").alias("edition_year"), F.coalesce(F.when(F.col("title_alt").isNull(), 0).otherwise(F.size("title_alt")), F.lit(0)).alias("alt_titles"))
 
 
-@query()
+@query("""
+WITH e AS (SELECT book, chapter, string_agg(e, '; ' ORDER BY e) AS entries FROM (SELECT book, chapter, passage_id || ':' || coalesce(CAST(verse_start AS VARCHAR), '') || CASE WHEN verse_end > verse_start THEN '-' || verse_end ELSE '' END AS e
+  FROM scripture_refs WHERE book IS NOT NULL AND chapter IS NOT NULL AND passage_id IS NOT NULL) GROUP BY book, chapter)
+SELECT book, 0 AS part, '{' || string_agg('"' || chapter || '":"' || entries || '"', ',' ORDER BY CAST(chapter AS VARCHAR)) || '}' AS document FROM e GROUP BY book""")
 def nested_citation_index(spark: SparkSession, d: str) -> DataFrame:
     """The citation index as one JSON document per book."""
     from corpusloom.operators import citations

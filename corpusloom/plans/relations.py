@@ -146,7 +146,7 @@ SELECT g.id AS item, d.doc_id FROM documents d JOIN (SELECT id, substr(text, 1,
 def anchor_contains(spark: SparkSession, d: str) -> DataFrame:
     anchors = read(spark, d, "golden_set", "id", "text").select(F.col("id").alias("item"), F.substring("text", 1, 40).alias("anchor"))
     docs = read(spark, d, "documents", "doc_id", "text").where("text is not null")
-    return joins.containing(docs, anchors, "text", "anchor").select("item", "doc_id")
+    return joins.containing(docs, anchors, "text", "anchor", "doc_id").select("item", "doc_id")
 
 
 @query("""

@@ -66,16 +66,49 @@ def tagged_untagged(spark: SparkSession, d: str) -> DataFrame:
     return t.select("id", F.array_join(F.transform("themes", lambda x: F.coalesce(x, F.lit("?"))), ",").alias("themes"))
 
 
-_REVIEW = {"patience": [r"\bpatien", r"\bwait"], "charity": [r"\bcharit", r"\bpoor\b"], "sorrow": [r"\bsorrow", r"\bmourn", r"\bwept\b"]}
+_REVIEW = [[r"\bpatien", r"\bwait"], [r"\bcharit", r"\bpoor\b"], [r"\bsorrow", r"\bmourn", r"\bwept\b"]]
+_SUGGEST = [("hope", [r"\bhope\b", r"\bassurance\b"]), ("trade", [r"\bweaver\b", r"\bmiller\b"])]
+_KEYWORDS = [("mercy", r"\bmercy\b"), ("house", r"\bkitchen\b|\bcellar\b")]
+_BY_KEYWORD = [("mercy", "grace"), ("house", "home")]
+_THEME = [f"(SELECT min(theme_id) FROM themes WHERE theme_id > {prev})" for prev in ("''", "(SELECT min(theme_id) FROM themes)", "(SELECT min(theme_id) FROM themes WHERE theme_id > (SELECT min(theme_id) FROM themes))")]
+_MEETS = [f"coalesce(regexp_matches(l, '{'|'.join(p)}'), false)" for p in _REVIEW]
+_REVIEWED = f"""
+SELECT id, themes, list_filter(themes, lambda t: NOT coalesce(list_contains(failing, t), false)) AS kept, list_concat(list_transform(failing, lambda t: 'over-tagged: ' || t), list_transform(untitled, lambda t: 'title: ' || t)) AS issues,
+  CASE WHEN regexp_matches(l, '{'|'.join(_SUGGEST[0][1])}') THEN 'hope' WHEN regexp_matches(l, '{'|'.join(_SUGGEST[1][1])}') THEN 'trade' WHEN regexp_matches(l, '{_KEYWORDS[0][1]}') THEN 'grace' WHEN regexp_matches(l, '{_KEYWORDS[1][1]}') THEN 'home' ELSE 'general' END AS better
+FROM (SELECT *, list_filter([{", ".join(f"CASE WHEN NOT {m} AND list_contains(themes, {t}) THEN {t} END" for m, t in zip(_MEETS, _THEME))}], lambda t: t IS NOT NULL) AS failing,
+  list_filter([CASE WHEN contains(lower(title), 'sermon') AND NOT list_contains(themes, {_THEME[0]}) AND {_MEETS[0]} THEN {_THEME[0]} END, CASE WHEN contains(lower(title), 'hope') AND NOT list_contains(themes, {_THEME[1]}) THEN {_THEME[1]} END], lambda t: t IS NOT NULL) AS untitled
+  FROM (SELECT id, lower(min(text)) AS l, max(themes) AS themes, min(source_title) AS title FROM passages GROUP BY id) WHERE themes IS NOT NULL)"""
+_DONE = f"(SELECT id, themes, issues, CASE WHEN len(kept) = 0 AND len(issues) > 0 THEN [better] ELSE kept END AS reviewed FROM ({_REVIEWED}))"
+
+
+def _reviewed(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "passages", "id", "text", "themes", "source_title").groupBy("id").agg(F.min("text").alias("text"), F.max("themes").alias("themes"), F.min("source_title").alias("source_title"))
+    ids = [r.theme_id for r in read(spark, d, "themes", "theme_id").where("theme_id is not null").distinct().orderBy("theme_id").limit(len(_REVIEW)).collect()]
+    titles = [("sermon", ids[0], True), ("hope", ids[1], False)]
+    return tagging.review(p.where("themes is not null"), dict(zip(ids, _REVIEW)), "general", _SUGGEST, _KEYWORDS, _BY_KEYWORD, titles)
 
 
-@query()
+@query(f"""
+SELECT theme, CAST(sum(removed) AS BIGINT) AS removed, CAST(sum(added) AS BIGINT) AS added FROM (
+  SELECT unnest(list_distinct(list_filter(themes, lambda t: NOT coalesce(list_contains(reviewed, t), false)))) AS theme, 1 AS removed, 0 AS added FROM {_DONE}
+  UNION ALL SELECT unnest(list_distinct(list_filter(reviewed, lambda t: NOT coalesce(list_contains(themes, t), false)))), 0, 1 FROM {_DONE}) WHERE theme IS NOT NULL GROUP BY theme""")
 def theme_review(spark: SparkSession, d: str) -> DataFrame:
     """Themes removed and added by a review of each theme against its rule."""
-    p = read(spark, d, "passages", "id", "text", "themes").groupBy("id").agg(F.min("text").alias("text"), F.max("themes").alias("themes"))
-    ids = [r.theme_id for r in read(spark, d, "themes", "theme_id").where("theme_id is not null").distinct().orderBy("theme_id").limit(len(_REVIEW)).collect()]
-    rules = dict(zip(ids, _REVIEW.values()))
-    return tagging.review_deltas(tagging.review(p.where("themes is not null"), rules, "general"))
+    return tagging.review_deltas(_reviewed(spark, d))
+
+
+@query(f"SELECT id, array_to_string(issues, '; ') AS issues FROM {_DONE} WHERE len(issues) > 0")
+def theme_issues(spark: SparkSession, d: str) -> DataFrame:
+    """What the review finds: themes the text doesn't bear out, themes its title asks for."""
+    return _reviewed(spark, d).where(F.size("issues") > 0).select("id", F.array_join("issues", "; ").alias("issues"))
+
+
+@query(f"""
+SELECT doc_id, array_to_string(list_filter([{", ".join(f"CASE WHEN regexp_matches(l, '{p}') THEN '{n}' END" for n, p in _KEYWORDS)}], lambda x: x IS NOT NULL), ',') AS flags,
+  array_to_string(list_filter([{", ".join(f"CASE WHEN regexp_matches(l, '{'|'.join(p)}') THEN '{n}' END" for n, p in _SUGGEST)}], lambda x: x IS NOT NULL), ',') AS suggested FROM (SELECT doc_id, lower(text) AS l FROM documents WHERE text IS NOT NULL)""")
+def keyword_flags(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return _texts(spark, d).select("doc_id", F.array_join(tagging.flags(t, _KEYWORDS), ",").alias("flags"), F.array_join(tagging.suggested(t, _SUGGEST), ",").alias("suggested"))
 
 
 # The SQL below states the arithmetic again, from its description and not from the operators.

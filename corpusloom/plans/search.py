@@ -11,26 +11,27 @@ from corpusloom.plans.book import query
 from corpusloom.session import read
 
 
-def _one(spark: SparkSession, d: str) -> DataFrame:
-    """One row per passage id."""
-    return read(spark, d, "passages", "id", "author", "source_type", "source_title", "text").groupBy("id").agg(*(F.min(c).alias(c) for c in ("author", "source_type", "source_title", "text")))
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "passages", "id", "author", "source_type", "source_title", "text")
 
 
-_ONE = "(SELECT id, min(author) AS author, min(source_type) AS source_type, min(source_title) AS source_title, min(text) AS text FROM passages GROUP BY id)"
-
-
-@query(f"""
-SELECT id, source_title FROM {_ONE} WHERE source_type = 'sermon' AND contains(lower(text), 'patience') AND contains(lower(text), 'weaver') ORDER BY id LIMIT 50""")
+@query("""
+SELECT id, source_title FROM (SELECT id, source_title, row_number() OVER (PARTITION BY id ORDER BY source_title NULLS FIRST) AS r FROM passages
+  WHERE source_type = 'sermon' AND contains(lower(text), 'patience') AND contains(lower(text), 'weaver')) WHERE r = 1 ORDER BY id LIMIT 50""")
 def keyword_and_search(spark: SparkSession, d: str) -> DataFrame:
-    return search.keyword(_one(spark, d), "Patience weaver", 50, source_type="sermon", author="").select("id", "source_title")
+    """Filters reach the scan; only ids and titles of the rows that pass are gathered by id."""
+    hits = search.matching(_passages(spark, d), "Patience weaver", source_type="sermon", author="").select("id", "source_title")
+    return hits.groupBy("id").agg(F.min(F.struct("source_title")).alias("m")).select("id", "m.source_title").orderBy("id").limit(50)
 
 
-@query(f"""
-SELECT id, score FROM (SELECT id, CAST(100 * (length(lower(coalesce(source_title, ''))) - length(replace(lower(coalesce(source_title, '')), 'patience', ''))) / 8
-  + (length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), 'patience', ''))) / 8 AS INT) AS score FROM {_ONE})
-WHERE score > 0 ORDER BY score DESC, id LIMIT 20""")
+@query("""
+SELECT id, max(score) AS score FROM (SELECT id, CAST(100 * (length(lower(coalesce(source_title, ''))) - length(replace(lower(coalesce(source_title, '')), 'patience', ''))) / 8
+  + (length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), 'patience', ''))) / 8 AS INT) AS score FROM passages)
+WHERE score > 0 GROUP BY id ORDER BY score DESC, id LIMIT 20""")
 def scored_search(spark: SparkSession, d: str) -> DataFrame:
-    return search.scored(_one(spark, d), "Patience", 20).select("id", "score")
+    """Rows are scored where they are read; what is gathered by id is a number."""
+    hits = search.with_score(_passages(spark, d), "Patience").where("score > 0").select("id", "score")
+    return hits.groupBy("id").agg(F.max("score").alias("score")).orderBy(F.col("score").desc(), "id").limit(20)
 
 
 @query("""
@@ -75,11 +76,11 @@ def highlighted(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", T.line_breaks(T.highlight(F.col("text"), ["patience", "weaver", "a"])).alias("html"))
 
 
-@query(f"""
-SELECT id FROM {_ONE} ORDER BY sha256('7' || id), id LIMIT 10""")
+@query("""
+SELECT id FROM (SELECT DISTINCT id FROM passages) ORDER BY sha256('7' || id), id LIMIT 10""")
 def random_passages(spark: SparkSession, d: str) -> DataFrame:
     """Ten passages in the order of a hash: the sample is the feature."""
-    return search.random_rows(_one(spark, d), 10, "7").select("id")
+    return search.random_rows(read(spark, d, "passages", "id").distinct(), 10, "7").select("id")
 
 
 @query("""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.operators import search, stats
 from corpusloom.plans.book import query
 from corpusloom.session import read
@@ -78,8 +79,7 @@ def source_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-SELECT author, source_type, string_agg(source_id, ',' ORDER BY coalesce(year, 9999), source_id) AS sources, count(*) AS n
-FROM ({_ROLLUP}) GROUP BY author, source_type""")
+SELECT author, source_type, row_number() OVER (PARTITION BY author, source_type ORDER BY coalesce(year, 9999), source_id) AS place, source_id FROM ({_ROLLUP})""")
 def author_type_sources(spark: SparkSession, d: str) -> DataFrame:
     return stats.author_type_sources(source_rollup(spark, d))
 
@@ -99,20 +99,31 @@ def provenance_sources(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("source_id").agg(F.count("*").alias("passages"), F.coalesce(F.sum("word_count"), F.lit(0)).alias("words"), F.bool_or(F.coalesce(F.col("source_url") != "", F.lit(False))).alias("has_url"), F.min("author").alias("author"))
 
 
-@query("""
-SELECT verdict, count(*) AS sources, CAST(sum(words) AS BIGINT) AS words FROM (
-  SELECT source_id, sum(coalesce(word_count, 0)) AS words,
-         CASE WHEN bool_or(source_url IS NOT NULL AND source_url <> '') THEN 'green'
-              WHEN starts_with(source_id, 'vx-') THEN 'red'
-              WHEN min(source_type) IN ('letter', 'journal') THEN 'yellow' ELSE 'grey' END AS verdict
-  FROM passages GROUP BY source_id) GROUP BY verdict""")
+#: Collections of sources: pattern of the id, collection, verdict. The first that matches counts; sources without one are red.
+_COLLECTIONS = [
+    ("^jx-journal$", "diary", "GREEN"), ("^jx-journal-17[0-4]", "early-journals", "GREEN"), ("^jx-journal", "journals", "YELLOW"), ("^jx-letter-.*-to-(mr|mrs|miss)-", "letters-to-persons", "YELLOW"),
+    ("^jx-letter", "letters", "GREEN"), ("^jx-sermon", "sermons", "GREEN"), ("^jx-notes", "notes", "YELLOW"), ("^jx-treatise", "treatises", "YELLOW"), ("^jx-minutes", "minutes", "GREEN"),
+    ("^cx-hymn", "hymns", "GREEN"), ("^cx-", "clement", "YELLOW"), ("^vx-(sermon|letter)", "others", "RED"), ("^vx-", "various", "YELLOW"),
+]
+_VERDICTS = f"""
+SELECT source_id, collection, CASE WHEN verdict = 'YELLOW' AND has_url THEN 'GREEN' ELSE verdict END AS verdict, passages, words FROM (
+  SELECT source_id, {"CASE " + " ".join(f"WHEN regexp_matches(source_id, '{p}') THEN '{c}'" for p, c, _ in _COLLECTIONS)} ELSE 'uncategorized' END AS collection, {"CASE " + " ".join(f"WHEN regexp_matches(source_id, '{p}') THEN '{v}'" for p, _, v in _COLLECTIONS)} ELSE 'RED' END AS verdict,
+    count(*) AS passages, CAST(coalesce(sum(word_count), 0) AS BIGINT) AS words, bool_or(coalesce(source_url, '') <> '') AS has_url FROM passages WHERE source_id IS NOT NULL GROUP BY source_id)"""
+
+
+@query(_VERDICTS)
 def provenance_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    from corpusloom.functions import text as T
+    """Each source's collection by thirteen ordered rules, and its verdict, which an address lifts from yellow to green."""
+    s = provenance_sources(spark, d).where("source_id is not null")
+    rules = [(F.col("source_id").rlike(p), c, v) for p, c, v in _COLLECTIONS]
+    verdict = T.first_match([(r, v) for r, _, v in rules], "RED")
+    lifted = F.when((F.col("v") == "YELLOW") & F.col("has_url"), "GREEN").otherwise(F.col("v"))
+    return s.withColumn("v", verdict).select("source_id", T.first_match([(r, c) for r, c, _ in rules], "uncategorized").alias("collection"), lifted.alias("verdict"), "passages", "words")
 
-    p = read(spark, d, "passages", "source_id", "word_count", "source_url", "source_type")
-    s = p.groupBy("source_id").agg(F.sum(F.coalesce("word_count", F.lit(0))).alias("words"), F.bool_or(F.coalesce(F.col("source_url") != "", F.lit(False))).alias("has_url"), F.min("source_type").alias("kind"))
-    verdict = T.first_match([(F.col("has_url"), "green"), (F.col("source_id").startswith("vx-"), "red"), (F.col("kind").isin("letter", "journal"), "yellow")], "grey")
-    return s.withColumn("verdict", verdict).groupBy("verdict").agg(F.count("*").alias("sources"), F.sum("words").alias("words"))
+
+@query(f"SELECT verdict, count(*) AS sources, CAST(sum(words) AS BIGINT) AS words FROM ({_VERDICTS}) GROUP BY verdict")
+def provenance_summary(spark: SparkSession, d: str) -> DataFrame:
+    return provenance_verdicts(spark, d).groupBy("verdict").agg(F.count("*").alias("sources"), F.sum("words").alias("words"))
 
 
 @query("""
@@ -128,6 +139,16 @@ def score_summary(spark: SparkSession, d: str) -> DataFrame:
     return stats.score_summary(read(spark, d, "swi_scores", "label", "overall_score"), "label", "overall_score")
 
 
+@query("""
+WITH s AS (SELECT passage_id, max(overall_score) AS score FROM swi_scores WHERE overall_score IS NOT NULL AND passage_id IS NOT NULL GROUP BY passage_id)
+SELECT * FROM (SELECT passage_id, score, row_number() OVER (ORDER BY score DESC, passage_id) AS place, 'top' AS "end" FROM s) WHERE place <= 15
+UNION ALL SELECT * FROM (SELECT passage_id, score, row_number() OVER (ORDER BY score, passage_id) AS place, 'bottom' FROM s) WHERE place <= 10""")
+def score_extremes(spark: SparkSession, d: str) -> DataFrame:
+    """The fifteen best and the ten worst passages: the numbers are the feature."""
+    s = read(spark, d, "swi_scores", "passage_id", "overall_score").dropna().groupBy("passage_id").agg(F.max("overall_score").alias("score"))
+    return stats.extremes(s, "score", "passage_id")
+
+
 @query("""
 SELECT round(median(overall_score), 3) AS median, round(avg(overall_score), 3) AS mean, min(overall_score) AS least, max(overall_score) AS greatest
 FROM (SELECT overall_score FROM (SELECT DISTINCT passage_id, overall_score, sha256(passage_id) AS h FROM swi_scores WHERE overall_score IS NOT NULL) ORDER BY h, passage_id, overall_score LIMIT 50)""")
@@ -138,11 +159,24 @@ def score_sample(spark: SparkSession, d: str) -> DataFrame:
     return s.agg(F.round(F.median("overall_score"), 3).alias("median"), F.round(F.avg("overall_score"), 3).alias("mean"), F.min("overall_score").alias("least"), F.max("overall_score").alias("greatest"))
 
 
-@query("""
-SELECT count(DISTINCT CASE WHEN source_type = 'sermon' THEN source_id END) AS sermon, count(DISTINCT CASE WHEN source_type = 'letter' THEN source_id END) AS letter,
-       count(DISTINCT CASE WHEN source_type = 'journal' THEN source_id END) AS journal, count(DISTINCT CASE WHEN source_type = 'hymn-stanza' THEN source_id END) AS hymn_stanza FROM passages""")
+_TARGETS = [("sermons", ["sermon"], 141), ("letters", ["letter"], 2000), ("journals", ["journal"], 28), ("hymns", ["hymn", "hymn-stanza"], 5500)]
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{n}' AS kind, count(DISTINCT source_id) AS have, {t} AS target, round(count(DISTINCT source_id) / {t}, 4) AS share FROM passages WHERE source_type IN ({', '.join(repr(x) for x in types)})" for n, types, t in _TARGETS
+))
 def ingest_progress(spark: SparkSession, d: str) -> DataFrame:
-    return stats.progress(read(spark, d, "passages", "source_type", "source_id"), ["sermon", "letter", "journal", "hymn-stanza"])
+    return stats.progress(read(spark, d, "passages", "source_type", "source_id"), _TARGETS)
+
+
+@query("""
+SELECT 'all' AS by, 'passages' AS value, count(*) AS n FROM passages UNION ALL SELECT 'all', 'sources', count(DISTINCT coalesce(source_id, '')) FROM passages
+UNION ALL SELECT 'source_type', coalesce(source_type, 'unknown'), count(*) FROM passages GROUP BY 2 UNION ALL SELECT 'author', coalesce(author, 'unknown'), count(*) FROM passages GROUP BY 2
+UNION ALL SELECT 'all', 'embedded', count(DISTINCT id) FROM passages WHERE id IN (SELECT passage_id FROM swi_scores)""")
+def ingest_status(spark: SparkSession, d: str) -> DataFrame:
+    """Passages by type and author; scored passages stand in for embedded ones, as the vectors' ids are others."""
+    scored = read(spark, d, "swi_scores", "passage_id").select(F.col("passage_id").alias("id"))
+    return stats.status(read(spark, d, "passages", "id", "source_id", "source_type", "author"), scored)
 
 
 @query("""
@@ -278,7 +312,7 @@ def citation_top_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT book, chapter, string_agg(e, '; ' ORDER BY e) AS entries FROM (
+SELECT book, chapter, 0 AS part, string_agg(e, '; ' ORDER BY e) AS entries FROM (
   SELECT book, chapter, passage_id || ':' || coalesce(CAST(verse_start AS VARCHAR), '') || CASE WHEN verse_end > verse_start THEN '-' || verse_end ELSE '' END AS e
   FROM scripture_refs WHERE book IS NOT NULL AND chapter IS NOT NULL AND passage_id IS NOT NULL) GROUP BY book, chapter""")
 def citation_index(spark: SparkSession, d: str) -> DataFrame:

@@ -104,8 +104,8 @@ g AS (SELECT *, regexp_extract(matched, '(?i){_CITED}', ['book', 'c', 'v', 'e',
 c AS (SELECT id, pos, matched, b.book, CAST(g.c AS INT) AS chapter, CAST(g.v AS INT) AS verse_start, CAST(coalesce(nullif(g.e, ''), nullif(g.f, ''), g.v) AS INT) AS verse_end FROM g JOIN b ON b.written = g.g.book)
 SELECT id, pos, matched, book || ' ' || chapter || ':' || verse_start || CASE WHEN verse_end <> verse_start THEN '-' || verse_end ELSE '' END AS reference, book, chapter, verse_start, verse_end FROM c""")
 def extracted_citations(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "passages", "id", "text").groupBy("id").agg(F.min("text").alias("text"))
-    return citations.extract(p)
+    # repeated rows give the same citations: what is made distinct is small, not the texts
+    return citations.extract(read(spark, d, "passages", "id", "text")).distinct()
 
 
 @query(f"""
@@ -131,16 +131,82 @@ def light_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).select("doc_id", T.light_clean(F.col("text")).alias("clean"))
 
 
-@query()
+_WS = "[ \\t\\n\\r\\f\\x0b]"
+
+
+@query("""
+WITH p AS (SELECT id, translate(min(text), '‘’‚“”„–—', '''''''\"\"\"--') AS t FROM passages WHERE text IS NOT NULL GROUP BY id),
+l AS (SELECT id, array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT (regexp_matches(trim(x, ' '), '^[\\[\\(\\-\\s]*\\d{1,4}[\\]\\)\\-\\s]*$') OR (length(trim(x, ' ')) < 60 AND upper(trim(x, ' ')) = trim(x, ' ') AND lower(trim(x, ' ')) <> trim(x, ' ')))), chr(10)) AS t FROM p)
+SELECT id, md5(trim(regexp_replace(regexp_replace(regexp_replace(t, '(\\w)-\\n(\\w)', '\\1\\2', 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ')) AS clean FROM l""")
 def page_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Ingest cleaning but for the compatibility forms, which SQL doesn't know (tested by themselves)."""
     p = read(spark, d, "passages", "id", "text").where("text is not null").groupBy("id").agg(F.min("text").alias("text"))
-    return p.select("id", T.clean_page_text(F.col("text")).alias("clean"))
+    return p.select("id", F.md5(T.clean_page_text(F.col("text"), normalise=False)).alias("clean"))
 
 
-@query()
+_FIXES = {"tbe": "the", "aud": "and", "witb": "with", "tliat": "that", "fome": "some", "fuch": "such", "firft": "first", "moft": "most"}
+
+
+@query(f"""
+WITH p AS (SELECT id, translate(replace(min(text), 'ſ', 's'), '‘’‚“”„–—', '''''''\"\"\"--') AS t FROM passages WHERE text IS NOT NULL GROUP BY id),
+l AS (SELECT id, array_to_string(list_transform(list_filter(string_split(t, chr(10)), lambda x: NOT (regexp_matches(trim(x, ' '), '^[^A-Za-z]*$') OR regexp_matches(trim(x, ' '), '^(?:[A-Z]\\s*\\d+|\\[\\d+\\]|\\d{{1,3}})$')
+  OR (length(trim(x, ' ')) < 5 AND NOT regexp_matches(trim(x, ' '), '[aeiouAEIOU]')) OR regexp_matches(trim(x, ' '), '^(Source|Title|Date):'))), lambda x: trim(x, ' ')), ' ') AS t FROM p),
+s AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[|*#@&$%{{}}\\[\\]<>^~\\\\]', '', 'g'), '\\s*--\\s*', ' ', 'g'), '\\b(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*\\.\\s*\\d+\\.?', '', 'g'), '\\((?:[Pp]age|p\\.)\\s*\\d+\\.?\\)', '', 'g') AS t FROM l)
+SELECT id, md5(trim(regexp_replace(array_to_string(list_transform(regexp_extract_all(t, '[A-Za-z'']+|[^A-Za-z'']+'), lambda w: CASE w {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _FIXES.items())} ELSE w END), ''), '\\s+', ' ', 'g'), ' ')) AS clean FROM s""")
 def scan_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Second-stage cleaning but for the compatibility forms."""
     p = read(spark, d, "passages", "id", "text").where("text is not null").groupBy("id").agg(F.min("text").alias("text"))
-    return p.select("id", T.clean_scan_text(F.col("text"), {"tbe": "the", "aud": "and", "witb": "with", "tliat": "that"}).alias("clean"))
+    return p.select("id", F.md5(T.clean_scan_text(F.col("text"), _FIXES, "^(Source|Title|Date):", normalise=False)).alias("clean"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, '16 REV. J. WEXCOMBE''S JOURNAL' || chr(10) || 'To the Rev. Mr. WEXCOMBE' || chr(10) || text AS t FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT (regexp_matches(x, '(?i)REV\\.?.{0,25}WEXC') AND regexp_matches(x, '\\d|J[O0]URNA[L1]'))), chr(10)) AS t FROM d)
+SELECT doc_id, md5(regexp_replace(array_to_string(list_transform(regexp_extract_all(t, '[A-Za-z'']+|[^A-Za-z'']+'), lambda w: CASE w WHEN 'tlie' THEN 'the' WHEN 'Sunpay' THEN 'Sunday' WHEN 'rot' THEN 'not' ELSE w END), ''), '\\[was\\b', 'I was', 'g')) AS clean FROM l""")
+def garbles_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Running headers put on each text and taken off again, a salutation kept, words and a misread letter repaired."""
+    t = F.concat(F.lit("16 REV. J. WEXCOMBE'S JOURNAL\nTo the Rev. Mr. WEXCOMBE\n"), F.col("text"))
+    fixed = T.clean_garbles(t, r"REV\.?.{0,25}WEXC", [r"\d", "J[O0]URNA[L1]"], {"tlie": "the", "Sunpay": "Sunday", "rot": "not"}, [(r"\[was\b", "I was")])
+    return _texts(spark, d).select("doc_id", F.md5(fixed).alias("clean"))
+
+
+@query("""
+SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^\\d{1,3}[ \\t]*$', '', 'g'), '\\n{4,}', repeat(chr(10), 3), 'g'), '^[ \\t\\n\\r\\f\\x0b]+|[ \\t\\n\\r\\f\\x0b]+$', '', 'g')) AS clean FROM documents WHERE text IS NOT NULL""")
+def boilerplate_stripped(spark: SparkSession, d: str) -> DataFrame:
+    """A producer's header, footer and label put around each text and taken off again."""
+    t = F.concat(F.lit("12 This document was made by the press\nof the town.\n\n[Title]\nModernized text\n"), F.col("text"), F.lit("\n3 This document was made by the press"))
+    blocks = [r"^[\d ]*This document was made by the press\n.*?\n\[Title\]\n", r"^Modernized text[ \t]*\n", r"\n^[\d ]*This document was made by the press[^\n]*$"]
+    return _texts(spark, d).select("doc_id", F.md5(T.clean_boilerplate(t, blocks)).alias("clean"))
+
+
+#: An editor's marks: cross references, citations, orphans of either. (name, pattern, replacement), applied in order, twice.
+_EDITORIAL = [
+    ("journal_header", r"([.!?])\s+Journal,?\s*\d{4}\s*[-–]?\s*", r"$1 "),
+    ("see_above", r"\s*See above,?\s*pp?\.\s*\d+(?:[-–,]\s*\d+)*\.?", ""),
+    ("see_below", r"\s*See below,?\s*pp?\.\s*\d+(?:[-–,]\s*\d+)*\.?", ""),
+    ("compare", r"\s*\b(?:Cf|Compare)\.?\s+[A-Z][a-z]+\.?\s+[ivxlc]+\.\s*\d+,?", ""),
+    ("serm", r"\s*\(Serm\.\s+[ivxlc]+\.\s+sect\.\s+\d+\)", ""),
+    ("vol", r"\s*\b[Vv]ol\.\s*[ivxlc]+\.?,?\s*pp?\.\s*\d+\.?", ""),
+    ("note", r"([.!?])\s+Note\s*[-—:]\s[^.]{0,150}\.", r"$1"),
+    ("i_hyphen", r"\bI[-–]([a-z]+ed|went|rode|saw|had|was|did|came|met)\b", r"I $1"),
+    ("sentence_dash", r"([.!?])\s*[-–]\s*(I|We|He|She|They)\b", r"$1 $2"),
+    ("spaces", r"[ \t]{2,}", " "),
+    ("orphan_mark", r"([,;:])\s*([,;:])", r"$2"),
+    ("orphan_close", r"(\)\.)\s*;+\s+", r"$1 "),
+]
+
+
+def _fold_sql(text: str, passes: int = 2) -> str:
+    for _ in range(passes):
+        for _name, p, r in _EDITORIAL:
+            text = f"regexp_replace({text}, '{p}', '{r.replace('$', chr(92))}', 'g')"
+    return text
+
+
+@query(f"SELECT doc_id, md5({_fold_sql('text')}) AS clean FROM documents WHERE text IS NOT NULL")
+def editorial_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Twelve ordered rules in two passes, as one expression."""
+    return _texts(spark, d).select("doc_id", F.md5(T.rule_fold(F.col("text"), [(p, r) for _, p, r in _EDITORIAL], 2)).alias("clean"))
 
 
 @query("""
@@ -238,7 +304,7 @@ def quote_wording(spark: SparkSession, d: str) -> DataFrame:
     from corpusloom.operators import joins, repair
 
     items = read(spark, d, "golden_set", "id", "text").select(F.col("id").alias("item"), F.substring("text", 1, 24).alias("anchor"), F.element_at(T.sentences_naive(F.col("text")), 1).alias("quote"))
-    found = joins.containing(read(spark, d, "documents", "doc_id", "text").where("text is not null"), items, "text", "anchor")
+    found = joins.containing(read(spark, d, "documents", "doc_id", "text").where("text is not null"), items, "text", "anchor", "doc_id")
     return repair.wording(found).select("item", "doc_id", F.round("similarity", 4).alias("similarity"))
 
 
@@ -250,12 +316,60 @@ def rejoined_lines(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).select("doc_id", repair.rejoined(F.col("text")).alias("joined"))
 
 
+_STANZAS = "list_filter(list_transform(string_split_regex(t, '\\n\\s*\\n'), lambda x: regexp_replace(x, '^[ \\t\\n\\r\\f\\x0b]+|[ \\t\\n\\r\\f\\x0b]+$', '', 'g')), lambda x: x <> '')"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, translate(text, '‘’‚“”„–—', '''''''\"\"\"--') AS t FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT (regexp_matches(trim(x, ' '), '^[\\[\\(\\-\\s]*\\d{{1,4}}[\\]\\)\\-\\s]*$') OR (length(trim(x, ' ')) < 60 AND upper(trim(x, ' ')) = trim(x, ' ') AND lower(trim(x, ' ')) <> trim(x, ' ')))), chr(10)) AS t FROM t),
+c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '(\\w)-\\n(\\w)', '\\1\\2', 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ') AS t FROM l),
+v AS (SELECT doc_id, unnest(range(len(s))) AS k, regexp_replace(unnest(s), '^\\d+\\.?\\s+', '') AS text FROM (SELECT doc_id, {_STANZAS} AS s FROM c WHERE t <> ''))
+SELECT doc_id || '-stanza-' || lpad(CAST(k + 1 AS VARCHAR), 2, '0') AS id, k + 1 AS stanza_number, md5(text) AS digest FROM v""")
+def ingested_verse(spark: SparkSession, d: str) -> DataFrame:
+    """Documents through the ingest plan as a collection of verse, every one of them short enough to go stanza by stanza."""
+    from corpusloom.operators import ingest
+    from corpusloom.plans.scoring import RULES
+
+    out = ingest.passages(_sources(spark, d), RULES, verse_below=10**9, normalise=False)
+    return out.select("id", "stanza_number", F.md5("text").alias("digest"))
+
+
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents", "doc_id", "author", "source", "title", "year", "text")
+    return docs.select(F.col("doc_id").cast("string").alias("source_id"), "author", F.when(F.col("source").startswith("school"), "hymn").otherwise("prose").alias("source_type"), "title", "year", "text")
+
+
 @query()
 def ingested_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents through the ingest plan: cleaned, chunked, tagged."""
     from corpusloom.operators import ingest
     from corpusloom.plans.scoring import RULES
 
-    docs = read(spark, d, "documents", "doc_id", "author", "source", "title", "year", "text")
-    texts = docs.select(F.col("doc_id").cast("string").alias("source_id"), "author", F.when(F.col("source").startswith("school"), "hymn").otherwise("prose").alias("source_type"), "title", "year", "text")
-    return ingest.passages(texts, RULES)
+    return ingest.passages(_sources(spark, d), RULES)
+
+
+@query("SELECT coalesce(source_id, '') AS source_id, count(*) AS passages_added, CAST(sum(word_count) AS BIGINT) AS words, 'ok' AS status FROM passages WHERE source_id IS NOT NULL AND source_id NOT IN (SELECT source_id FROM works WHERE open AND source_id IS NOT NULL) GROUP BY 1")
+def ingest_log(spark: SparkSession, d: str) -> DataFrame:
+    """The log rows of the sources that aren't open works yet."""
+    from corpusloom.operators import ingest
+
+    rows = read(spark, d, "passages", "source_id", "word_count").where("source_id is not null")
+    return ingest.log(ingest.new_only(rows, read(spark, d, "works", "source_id", "open").where("open and source_id is not null")))
+
+
+@query("SELECT id, count(*) AS in_base, count(*) AS in_more FROM works GROUP BY id UNION ALL SELECT id || '-new', 0, count(*) FROM works GROUP BY id HAVING count(*) > 1")
+def union_check(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that a union of works with themselves and with renamed ones would hold more than once."""
+    from corpusloom.operators import joins
+
+    w = read(spark, d, "works", "id")
+    return joins.union_unique(w, w.unionByName(w.select(F.concat("id", F.lit("-new")).alias("id"))), "id")[1]
+
+
+@query("""
+SELECT id, CASE numbering.bicentennial WHEN 1 THEN 'first' WHEN 7 THEN 'seventh' ELSE 'js-' || lpad(CAST(numbering.bicentennial AS VARCHAR), 3, '0') END AS number_id,
+  CASE author WHEN 'various' THEN 'Sundry Hands' ELSE array_to_string(list_transform(string_split_regex(author, '[-_]+'), lambda x: upper(x[1]) || lower(x[2:])), ' ') END AS shown FROM works""")
+def formatted_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids made of numbers, but for two with names of their own, and authors as they are shown."""
+    w = read(spark, d, "works", "id", "numbering", "author")
+    return w.select("id", T.formatted_id("js-", F.col("numbering.bicentennial"), 3, {1: "first", 7: "seventh"}).alias("number_id"), T.display_name(F.col("author"), {"various": "Sundry Hands"}).alias("shown"))

@@ -47,7 +47,7 @@ def with_order(df: DataFrame) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, name, text) of every .txt file below a folder, or matching a pattern."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path)
+    df = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True, recursiveFileLookup=True)
     return df.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("name"), F.col("value").alias("text"))
 
 
@@ -156,7 +156,7 @@ NESTED = "map<string, map<string, array<struct<passage_id: string, source_title:
 
 def read_nested_index(spark: SparkSession, path: str) -> DataFrame:
     """(book, chapter, pos, passage_id, source_title, author, verses) of JSON documents book -> chapter -> entries; chapters as numbers."""
-    docs = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", NESTED)).alias("book", "chapters"))
+    docs = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", NESTED)).alias("book", "chapters"))
     chapters = docs.select("book", F.explode("chapters").alias("chapter", "entries"))
     return chapters.select("book", F.expr("try_cast(chapter as int)").alias("chapter"), F.posexplode("entries").alias("pos", "e")).select("book", "chapter", "pos", "e.*")
 

@@ -123,10 +123,5 @@ def test_chunk_limits():
     assert all(len(c.split()) <= 400 for c in cut) and cut[1].startswith("w")
 
 
-def test_dates_walk_on_only_when_resolved():
-    heads = [{"day": 24, "weekday": 2, "month": 5, "year": 1738}, {"day": 99, "weekday": None}, {"day": 25, "weekday": 3}]
-    assert segment.walk_dates(heads, 1738, 1) == [(1738, 5, "resolved"), (None, None, "unresolved"), (1738, 5, "resolved")]
-
-
 def test_anchors_are_searched_in_order():
     assert segment.ordered_anchors("b a b", ["a", "b", "zz"]) == [2, 4, -1]
