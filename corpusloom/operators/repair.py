@@ -89,11 +89,11 @@ _NOT_WORDS = re.compile(r"[^a-z0-9]+")
 
 
 def nearest_wording(text: str, quote: str) -> float:
-    """The greatest similarity (share of matching characters) of the quote with a stretch of the text; 1 if the text holds it.
+    """The similarity (share of matching characters) of the quote with the nearest stretch of the text; 1 if the text holds it.
 
     Only letters and digits count, whatever the case. Stretches are four words longer than
-    the quote and begin at every sixth part of it, so that one begins within a twelfth of
-    any place; a stretch whose characters can't beat the best so far is passed over.
+    the quote. They are compared at every sixth part of the quote, and around the best of
+    those at every word; one whose characters can't beat the best is passed over.
     """
     a, b = _NOT_WORDS.sub(" ", quote.lower()).strip(), _NOT_WORDS.sub(" ", text.lower()).strip()
     if not a or not b:
@@ -101,12 +101,22 @@ def nearest_wording(text: str, quote: str) -> float:
     if a in b:
         return 1.0
     words, n = b.split(), len(a.split())
-    best, matcher = 0.0, difflib.SequenceMatcher(None, autojunk=False)
+    last, stride = max(0, len(words) - n), max(1, n // 6)
+    best, at, matcher = 0.0, 0, difflib.SequenceMatcher(None, autojunk=False)
     matcher.set_seq2(a)
-    for k in range(0, max(1, len(words) - n + 1), max(1, n // 6)):
+
+    def compare(k: int) -> None:
+        nonlocal best, at
         matcher.set_seq1(" ".join(words[k : k + n + 4]))
-        if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
-            best = max(best, matcher.ratio())
+        if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best and (ratio := matcher.ratio()) > best:
+            best, at = ratio, k
+
+    # stretches that share most words with the quote first: the better the best, the more are passed over
+    wanted = set(a.split())
+    for k in sorted({*range(0, last + 1, stride), last}, key=lambda k: -sum(w in wanted for w in words[k : k + n + 4])):
+        compare(k)
+    for k in range(max(0, at - stride + 1), min(last, at + stride - 1) + 1):
+        compare(k)
     return best
 
 

@@ -179,7 +179,7 @@ def affinity_summary(spark: SparkSession, d: str) -> DataFrame:
     return scoring.with_scores(_texts(spark, d), SCALE).select("doc_id", "overall", scoring.summary(SCALE).alias("summary"))
 
 
-@query(f"""
+@query(rf"""
 SELECT doc_id, {_score_sql("r", 12.0)} AS rhetoric FROM (SELECT *, {_patterns_sql(SCALE.rhetoric)} + len(regexp_extract_all(text, '[A-Z][^.!?]*\?\s')) + 2 * len(regexp_extract_all(text, '[A-Z][^.!?]*\?')) AS r
   FROM (SELECT doc_id, text, lower(text) AS l, {_WORDS_SQL} AS words FROM documents WHERE text IS NOT NULL))""")
 def rhetoric_scores(spark: SparkSession, d: str) -> DataFrame:
