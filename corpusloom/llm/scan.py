@@ -5,8 +5,10 @@ noise of known kind and place is put (at most ``TRAIN_ROWS`` passages, the first
 the order of a hash of the id). The line model tells furniture from text by what a
 line holds and where on the page it stands. The editor goes through the characters of
 each word that the corpus does not know and scores, for every place, keeping it
-against replacing, deleting or inserting characters, and for every line end against
-joining it; the best sequence of operations wins.
+against replacing, deleting or inserting characters; for every mark at a line end it
+scores keeping it against joining the lines, for every space between words that would
+be one word together, keeping it against deleting it. What reads best wins. All these
+operations are features of one perceptron, trained on words misread, cut and torn.
 
 Which words the corpus knows is counted over all sound passages, that is those without
 lines broken inside paragraphs; words seen ``LEAST_SEEN`` times are kept, however many
@@ -46,6 +48,7 @@ CONFUSIONS = (
     ("tl", "d"), ("fi", "h"), ("lc", "k"), ("ll", "u"), ("s", "f"), ("r", "n"), ("k", "h"), ("$", "s"), ("§", "s"), ("z", "2"),
     ("hc", "he"), ("tb", "th"),
 )
+_USUAL = frozenset(CONFUSIONS)
 _WORD = re.compile(r"\|?[^\W_]+(?:[|!'’§$][^\W_]+)*\|?")
 _COUNTED = re.compile(r"[^\W_]+(?:['’‑-][^\W_]+)*")
 _ROMAN = re.compile(r"[ivxlcdm]+")
@@ -174,7 +177,16 @@ def line_features(lines: list[str], k: int, title: str, author: str, n_numbers:
 
 def _running_text(s: str) -> bool:
     """A line that can't be furniture: four small words or more and no number at either end."""
-    return len(s) > 20 and not s[0].isdigit() and not s[-1].isdigit() and sum(w[0].islower() for w in s.split()) >= 4
+    if len(s) <= 20 or s[0].isdigit() or s[-1].isdigit():
+        return False
+    for most in (16, -1):  # mostly the first words tell
+        n = 0
+        for w in s.split(None, most):
+            if w[0].islower():
+                n += 1
+                if n == 4:
+                    return True
+    return False
 
 
 def furniture(text: str, title: str | None, author: str | None, weights: dict[str, float]) -> list[bool]:
@@ -216,14 +228,10 @@ class Lexicon:
             return w[:-1] in self.n
         return False
 
-    def torn(self, a: str, b: str) -> bool:
-        """Whether two words that follow each other are one word torn apart: the whole is known and a part isn't."""
-        return len(a) + len(b) > 3 and a + b in self.n and not (self.known(a) and self.known(b))
-
     def rarest(self, w: str) -> int:
         """How often the rarest three-letter sequence of the word occurs among known words, as a power of 4."""
-        p = f"^{w}$"
-        return min(5, (min(self.tri[p[i : i + 3]] for i in range(len(p) - 2)) + 1).bit_length() // 2)
+        p, get = f"^{w}$", self.tri.get
+        return min(5, (min([get(p[i : i + 3], 0) for i in range(len(p) - 2)]) + 1).bit_length() // 2)
 
 
 def edits(w: str) -> Iterator[tuple[str, str, int]]:
@@ -235,13 +243,50 @@ def edits(w: str) -> Iterator[tuple[str, str, int]]:
             i = w.find(seen, i + 1)
 
 
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+
+
+def single_edits(w: str) -> Iterator[tuple[str, str, int]]:
+    """(word, operation, place) of deleting, replacing or inserting any one letter, whether it is a usual confusion or not."""
+    for i in range(len(w) + 1):
+        left, right = w[:i], w[i:]
+        if right:
+            yield left + right[1:], f"{right[0]}>", i
+            for c in _ALPHABET:
+                if c != right[0]:
+                    yield left + c + right[1:], f"{right[0]}>{c}", i
+        for c in _ALPHABET:
+            yield left + c + right, f">{c}", i
+
+
+def join_features(a: str, mark: str, b: str, upper: bool, fixable: bool, lex: Lexicon) -> list[str]:
+    """Of joining two parts (lower case) over a line end that a mark stands at."""
+    joined, compound = lex.known(a + b), lex.known(f"{a}-{b}")
+    plain = "-" if mark in "-‐" else "other"
+    more = lex.n.get(a + b, 1) >= lex.n.get(f"{a}-{b}", 1)
+    parts, long = f"{a in lex.n}:{b in lex.n}", len(a) > 3 and len(b) > 3
+    return [
+        "join", f"join:{plain}", f"join:{plain}:{joined}:{compound}", f"join:{plain}:{joined}:{compound}:{more}", f"join:{plain}:upper:{upper}:{joined}:{compound}",
+        f"join:{plain}:{joined}:{compound}:{parts}:{long}", f"join:{plain}:{joined}:{compound}:fix:{fixable}:{parts}:{long}", f"join:{plain}:length:{min(4, len(a))}:{min(4, len(b))}:{joined}",
+    ]
+
+
+def space_features(a: str, b: str, fixable: bool, lex: Lexicon) -> list[str]:
+    """Of deleting the space between two words (lower case) that are a known word together; ``fixable`` if the second is misread by itself."""
+    ka, kb = lex.known(a), lex.known(b)
+    often = min(8, lex.n.get(a + b, 1).bit_length() // 2)
+    usual = lex.n.get(a, 0) > 50 * lex.n.get(a + b, 0)
+    return ["space", f"space:{ka}:{kb}", f"space:{ka}:{kb}:often:{often}", f"space:{ka}:{kb}:length:{min(4, len(a))}:{min(4, len(b))}", f"space:{ka}:{kb}:usual:{usual}:fix:{fixable}"]
+
+
 def _edit_features(w: str, v: str, op: str, at: int, lex: Lexicon, name: bool) -> list[str]:
     known, before, after = lex.known(v), lex.rarest(w), lex.rarest(v)
     digit = any(c.isdigit() or c in "|!$§ſ" for c in w) and not any(c.isdigit() or c in "|!$§ſ" for c in v)
     n = min(6, len(w) // 2)
     left, right = w[at - 1] if at else "^", w[at + len(op.split(">")[0])] if at + len(op.split(">")[0]) < len(w) else "$"
+    usual = (seen_meant := tuple(op.split(">"))) in _USUAL
     f = [
-        "edit", f"known:{known}", f"known:{known}:{n}", f"gain:{min(3, max(-3, after - before))}:{known}:{name}", f"before:{before}:{known}",
+        "edit", f"usual:{usual}:{known}:{n}", f"usual:{usual}:{name}", f"kind:{usual}:{len(seen_meant[0])}:{len(seen_meant[1])}", f"known:{known}", f"known:{known}:{n}", f"gain:{min(3, max(-3, after - before))}:{known}:{name}", f"before:{before}:{known}",
         f"op:{op}", f"op:{op}:{known}", f"left:{op}:{left}", f"right:{op}:{right}", f"name:{name}:{known}",
     ]
     if digit:
@@ -255,7 +300,7 @@ def best_edit(w: str, lex: Lexicon, weights: dict[str, float], name: bool, steps
     """(corrected word, score) if the operations that read best beat keeping the word.
 
     Letters for letters must give a known word; only signs inside a word may give an
-    unknown one. Where no single operation does, the four results whose letters' sequences
+    unknown one. Of operations beyond the usual confusions one is tried by itself, in words of six letters or more. Where no single operation does, the four results whose letters' sequences
     are most usual are edited again.
     """
     if lex.known(w):
@@ -278,6 +323,12 @@ def best_edit(w: str, lex: Lexicon, weights: dict[str, float], name: bool, steps
                         best = (s, v)
                 elif v not in tried:
                     tried[v] = (u, op, at)
+        if not step and best is None and len(w) > 5:  # shorter words have too many neighbours
+            for v, op, at in single_edits(w):
+                if v in lex.n:
+                    s = score(w, v, op, at)
+                    if s > 0 and (best is None or (s, v) > best):
+                        best = (s, v)
         if (best and lex.known(best[1])) or step + 1 == steps:
             break
         usual = sorted(((-lex.rarest(v), v) for v in tried))[:4]
@@ -294,6 +345,7 @@ class Editor:
     def __init__(self, counts: dict[str, int], line_weights: dict[str, float], edit_weights: dict[str, float]):
         self.lex, self.line_weights, self.edit_weights = Lexicon(counts), line_weights, edit_weights
         self.memo: dict[tuple[str, bool], tuple[str, float] | None] = {}
+        self.joins: dict[tuple, bool] = {}
         self.sound_words: set[str] = set()  # as written; nothing to examine
 
     def misread(self, word: str) -> str | None:
@@ -315,18 +367,24 @@ class Editor:
         return got[0] if got else None
 
     def cut(self, left: str, mark: str, right: str) -> bool:
-        """Whether the mark at a line end between the two parts is not the word's own."""
+        """Whether the mark at a line end between the two parts is not the word's own: joining reads better than keeping it."""
         a, b = left.lower().replace("’", "'"), right.lower().replace("’", "'")
-        if mark not in "-‐":
-            return True
-        joined, compound = self.lex.known(a + b), self.lex.known(f"{a}-{b}")
-        if joined != compound:
-            return joined
-        if joined:
-            return self.lex.n.get(a + b, 1) >= self.lex.n.get(f"{a}-{b}", 1)
-        if a in self.lex.n and b in self.lex.n and len(a) > 3 and len(b) > 3 and right[:1].islower():
-            return self.misread(left + right) is not None
-        return not right[:1].isupper()
+        key = (a, mark, b, right[:1].isupper(), left[:1].isupper())
+        if key not in self.joins:
+            if len(self.joins) > 400_000:
+                self.joins.clear()
+            unknown = not self.lex.known(a + b) and not self.lex.known(f"{a}-{b}")
+            fixable = unknown and a in self.lex.n and b in self.lex.n and self.misread(left + right) is not None
+            get = self.edit_weights.get
+            self.joins[key] = sum(get(f, 0.0) for f in join_features(a, mark, b, key[3], fixable, self.lex)) > 0
+        return self.joins[key]
+
+    def torn(self, a: str, b: str, second: str) -> bool:
+        """Whether two words (lower case) are one word torn by a space."""
+        if len(a) + len(b) <= 3 or a + b not in self.lex.n:
+            return False
+        get = self.edit_weights.get
+        return sum(get(f, 0.0) for f in space_features(a, b, self.misread(second) is not None, self.lex)) > 0
 
     def examine(self, text: str, title: str | None = None, author: str | None = None) -> tuple[list[tuple[str, int]], list[tuple[int, int, str]]]:
         """(cases, replacements): cases are (kind, pos), replacements (begin, end, text) that repair them."""
@@ -395,13 +453,11 @@ class Editor:
                 low = word.lower().replace("’", "'")
                 if not last and line[b : b + 1] == " " and words[j + 1][0] == b + 1 and (j + 2 < len(words) or not joined_to):
                     other = words[j + 1][2]
-                    if other[0].islower() and not low.isdigit() and self.lex.torn(low, other.lower().replace("’", "'")):
-                        # a frequent word before a misread one stays by itself
-                        if not (self.lex.known(low) and self.misread(other) is not None and self.lex.n.get(low, 0) > 50 * self.lex.n.get(low + other.lower(), 0)):
-                            cases.append(("char", starts[k] + a))
-                            changes.append((starts[k] + b, starts[k] + b + 1, ""))
-                            skip = j + 1
-                            continue
+                    if other[0].islower() and not low.isdigit() and self.torn(low, other.lower().replace("’", "'"), other):
+                        cases.append(("char", starts[k] + a))
+                        changes.append((starts[k] + b, starts[k] + b + 1, ""))
+                        skip = j + 1
+                        continue
                 fixed = self.misread(word)
                 if fixed is None and word[-1] in "|!" :
                     word = word.rstrip("|!")
@@ -568,13 +624,17 @@ def train_editor(words: Counter, lex: Lexicon, seed: int = 11, n: int = 12_000)
             hidden = rng.random() < 0.25  # as if the corpus did not know the word
             wrong = bool(spots) and rng.random() < 0.6
             seen = w
-            if wrong:
+            if wrong and rng.random() < 0.1:  # a letter lost, doubled or taken for any other
+                i = rng.randrange(len(w))
+                seen = w[:i] + rng.choice(("", w[i] * 2, rng.choice(_ALPHABET))) + w[i + 1 :]
+            elif wrong:
                 meant, i = rng.choice(spots)
                 seen = w[:i] + rng.choice(back[meant]) + w[i + len(meant) :]
             count = lex.n.pop(w, None) if hidden else None
             if not lex.known(seen):
                 name = word[0].isupper()
                 found = [(v, _edit_features(seen, v, op, at, lex, name)) for v, op, at in edits(seen)]
+                found += [(v, _edit_features(seen, v, op, at, lex, name)) for v, op, at in single_edits(seen) if v in lex.n]
                 scored = max(((model.score(f), v, f) for v, f in found), default=(0.0, "", []))
                 guess = scored if scored[0] > 0 else (0.0, seen, [])
                 model.tick()
@@ -587,6 +647,81 @@ def train_editor(words: Counter, lex: Lexicon, seed: int = 11, n: int = 12_000)
     return model.averaged()
 
 
+def _hidden(lex: Lexicon, words: list[str]) -> dict[str, int]:
+    """Takes words out of the lexicon, as if the corpus did not know them; returns what to put back."""
+    return {w: lex.n.pop(w) for w in words if w in lex.n}
+
+
+def train_joins(rows: list[tuple[str, str]], lex: Lexicon, weights: dict[str, float], seed: int = 13, n: int = 6_000) -> dict[str, float]:
+    """Weights of joining lines and of deleting spaces, beside those of the editor.
+
+    Words of sound text are cut at marks or torn at spaces, some of them misread or unknown
+    besides; compounds are broken at their own hyphens, and words that follow each other in
+    the text, or are words by themselves, are left apart.
+    """
+    rng, model = random.Random(seed), Perceptron()
+    editor = Editor(lex.n, {}, weights)
+    editor.lex = lex
+    words, pairs = Counter(), Counter()
+    for t, _ in rows:
+        found = _COUNTED.findall(t)
+        words.update(found)
+        pairs.update((a.lower(), b) for a, b in zip(found, found[1:]) if b[0].islower() and len(a) + len(b) > 3 and (a + b).lower() in lex.n)
+    whole = sorted(w for w in words if w.isalpha() and len(w) > 3)
+    compounds = sorted(w for w in words if w.count("-") == 1 and all(len(x) > 1 for x in w.split("-")))
+    if not whole:
+        return {}
+    usual = rng.choices(whole, [min(words[w], 200) for w in whole], k=n)
+    back = defaultdict(list)
+    for seen, meant in CONFUSIONS[:52]:
+        back[meant].append(seen)
+
+    def learn(features: list[str], right: bool) -> None:
+        model.tick()
+        if (model.score(features) > 0) != right:
+            model.update(features, 1.0 if right else -1.0)
+
+    def join(left: str, mark: str, right: str, truth: bool) -> None:
+        a, b = left.lower(), right.lower()
+        unknown = not lex.known(a + b) and not lex.known(f"{a}-{b}")
+        fixable = unknown and a in lex.n and b in lex.n and editor.misread(left + right) is not None
+        learn(join_features(a, mark, b, right[:1].isupper(), fixable, lex), truth)
+
+    for _ in range(2):
+        for k, w in enumerate(usual):
+            low, i = w.lower(), rng.randint(2, len(w) - 2) if len(w) > 4 else 2
+            away = _hidden(lex, [low] if rng.random() < 0.2 else [])
+            seen = w
+            spots = [(m, j) for m in back for j in range(len(low)) if low.startswith(m, j)]
+            if spots and rng.random() < 0.12:
+                m, j = rng.choice(spots)
+                seen = w[:j] + rng.choice(back[m]) + w[j + len(m) :]
+            if 1 < i < len(seen) - 1:
+                join(seen[:i], rng.choice("----" + MARKS), seen[i:], True)
+            lex.n.update(away)
+            if k % 3 == 0 and compounds:
+                c = rng.choice(compounds)
+                away = _hidden(lex, [c.lower()] if rng.random() < 0.3 else [])
+                left, right = c.split("-")
+                join(left, "-", right, False)
+                lex.n.update(away)
+            if low in lex.n:
+                a, b = low[:i], low[i:]
+                learn(space_features(a, b, editor.misread(b) is not None, lex), not (lex.known(a) and lex.known(b)))
+        for a, b in sorted(pairs):
+            learn(space_features(a, b.lower(), editor.misread(b) is not None, lex), False)
+    return model.averaged()
+
+
+def train_all(rows: list[tuple[str, str]], lex: Lexicon) -> dict[str, float]:
+    """Weights of all the editor's operations."""
+    sample: Counter[str] = Counter()
+    for t, _ in rows:
+        sample.update(_COUNTED.findall(t))
+    weights = train_editor(sample, lex)
+    return weights | train_joins(rows, lex, weights)
+
+
 def word_counts(df: DataFrame) -> DataFrame:
     """(word, n) over all sound texts, as written, seen LEAST_SEEN times or more; a word of verse counts a tenth."""
 
@@ -629,10 +764,7 @@ def train(passages: DataFrame, edit: bool = True) -> Editor:
         return Editor({}, lines, {})
     written = {r.word: r.n for r in word_counts(passages).toLocalIterator()}
     counts = with_parts(written)
-    sample: Counter[str] = Counter()
-    for t, _ in rows:
-        sample.update(_COUNTED.findall(t))
-    return Editor(counts, lines, train_editor(sample, Lexicon(dict(counts))))
+    return Editor(counts, lines, train_all(rows, Lexicon(dict(counts))))
 
 
 def prepared(df: DataFrame) -> DataFrame:

@@ -20,7 +20,8 @@ def editor():
     counts = Counter(w for t, _ in rows for w in scan._COUNTED.findall(t))
     counts["fellow-labourer"] = counts["class-meeting"] = 40
     known = scan.with_parts(counts)
-    return scan.Editor(known, scan.train_lines(rows), scan.train_editor(counts, scan.Lexicon(dict(known))))
+    compounds = [("The fellow-labourer came to the class-meeting. " * 3, "Thornby")] * 5
+    return scan.Editor(known, scan.train_lines(rows), scan.train_all(rows + compounds, scan.Lexicon(dict(known))))
 
 
 def cases(editor, text, title="On Hope and Fear"):
@@ -33,7 +34,7 @@ def test_cut_words(editor):
     assert editor.repaired(t)[0] == "The neighbour and the shepherd went to the class-meeting near the chapel." or "class- meeting" in editor.repaired(t)[0]
 
 
-@pytest.mark.parametrize("seen,meant", [("rniller", "miller"), ("6ridge", "bridge"), ("evcning", "evening"), ("wbich", "which"), ("ftranger", "stranger"), ("ga|den", None), ("serv ant", "servant"), ("kindnefs", "kindness")])
+@pytest.mark.parametrize("seen,meant", [("rniller", "miller"), ("6ridge", "bridge"), ("evcning", "evening"), ("wbich", "which"), ("ftranger", "stranger"), ("ga|den", None), ("serv ant", "servant"), ("kindnefs", "kindness"), ("shepherrd", "shepherd"), ("evning", "evening")])
 def test_misread_words(editor, seen, meant):
     t = f"They came with the {seen} from the market."
     got = {p for k, p in cases(editor, t) if k == "char"}
@@ -42,6 +43,20 @@ def test_misread_words(editor, seen, meant):
         assert editor.repaired(t)[0] == f"They came with the {meant} from the market."
 
 
+def test_joins_are_scored_by_the_perceptron(editor):
+    assert any(f.startswith("join:") and w for f, w in editor.edit_weights.items()) and any(f.startswith("space:") and w for f, w in editor.edit_weights.items())
+    assert editor.cut("neigh", "-", "bour") and editor.cut("shep", "¬", "herd") and not editor.cut("class", "-", "meeting")
+    assert editor.torn("serv", "ant", "ant") and not editor.torn("old", "miller", "miller")
+    blank = scan.Editor(editor.lex.n, {}, {})
+    assert not blank.cut("neigh", "-", "bour") and not blank.torn("serv", "ant", "ant")
+
+
+def test_long_running_headers_are_furniture(editor):
+    header = "ON HOPE AND FEAR" + " " * 70 + "245"
+    t = f"the miller went down to the river and\n{header}\nfound the boat which his brother had left"
+    assert cases(editor, t) == {("line", t.index("ON HOPE"))}
+
+
 def test_furniture_and_what_is_not(editor):
     t = "the miller went down to the river and\n\nON HOPE AND FEAR.      245\n\nfound the boat which his brother had\n[Mar. 1784. 235\nleft behind the bridge where they\nB 2\nwaited."
     assert cases(editor, t) == {("line", t.index(x)) for x in ("ON HOPE", "[Mar", "B 2")}
