@@ -74,7 +74,22 @@ def hymn_chunks(spark: SparkSession, d: str) -> DataFrame:
     return segment.hymn_rows(h)
 
 
-@query()
+def _words_sql(x: str) -> str:
+    return f"len(list_filter(string_split_regex({x}, '[ \\t\\n\\r\\f\\v\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{1c}}-\\x{{1f}}]+'), lambda w: w <> ''))"
+
+
+_CLOSED = "CASE WHEN len(s.held) > 0 THEN list_append(s.chunks, array_to_string(s.held, chr(10) || chr(10))) ELSE s.chunks END"
+_CUT = f"""list_reduce(string_split(regexp_replace(x, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda t, y: CASE WHEN len(t.run) > 0 AND t.c + {_words_sql('y')} > 400
+  THEN {{chunks: list_append(t.chunks, array_to_string(t.run, ' ')), run: [t.run[-1], y], c: {_words_sql('t.run[-1]')} + {_words_sql('y')}}} ELSE {{chunks: t.chunks, run: list_append(t.run, y), c: t.c + {_words_sql('y')}}} END,
+  {{chunks: {_CLOSED}, run: CAST([] AS VARCHAR[]), c: CAST(0 AS BIGINT)}})"""
+_STEP = f"""CASE WHEN {_words_sql('x')} > 400 THEN {{chunks: ({_CUT}).chunks, held: [array_to_string(({_CUT}).run, ' ')], n: ({_CUT}).c}}
+  WHEN s.n + {_words_sql('x')} > 400 THEN {{chunks: {_CLOSED}, held: [x], n: CAST({_words_sql('x')} AS BIGINT)}} ELSE {{chunks: s.chunks, held: list_append(s.held, x), n: s.n + {_words_sql('x')}}} END"""
+_CHUNKS = f"""(SELECT id, CASE WHEN len(s.held) > 0 THEN list_append(s.chunks, array_to_string(s.held, chr(10) || chr(10))) ELSE s.chunks END AS c FROM (
+  SELECT id, list_reduce(list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda p: regexp_replace(p, '^[\\s\\x{{a0}}\\x{{3000}}\\x{{2028}}]+|[\\s\\x{{a0}}\\x{{3000}}\\x{{2028}}]+$', '', 'g')), lambda p: p <> ''), lambda s, x: {_STEP},
+    {{chunks: CAST([] AS VARCHAR[]), held: CAST([] AS VARCHAR[]), n: CAST(0 AS BIGINT)}}) AS s FROM (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL)))"""
+
+
+@query(f"SELECT id, CAST(k AS INT) AS chunk_index, text, CAST({_words_sql('text')} AS INT) AS word_count FROM (SELECT id, unnest(range(len(c))) AS k, unnest(c) AS text FROM {_CHUNKS})")
 def greedy_chunks(spark: SparkSession, d: str) -> DataFrame:
     return segment.greedy_chunks(read(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
