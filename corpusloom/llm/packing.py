@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,21 +34,30 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 @functools.cache
-def _encoding(vocabulary: str):
-    import public_tokenizers
+def _encoding(path: str, pattern: str):
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
+    with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id, n_tokens) of every row; 0 for a null text."""
+def token_counts(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY, pattern: str | None = None) -> DataFrame:
+    """(id, n_tokens) of every row; 0 for a null text.
+
+    The vocabulary is read where the driver is and sent to the executors with the job;
+    ``pattern`` is how it splits text, by default that of the public tokenizers.
+    """
     session.ship(df.sparkSession)
+    if pattern is None:
+        import public_tokenizers
+
+        pattern = public_tokenizers.PATTERN
+    df.sparkSession.sparkContext.addFile(vocabulary)
+    name = vocabulary.rsplit("/", 1)[-1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoding(vocabulary)
+        enc = _encoding(SparkFiles.get(name), pattern)
         for b in batches:
             n = [len(enc.encode_to_numpy(t, disallowed_special=())) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], names=["id", "n_tokens"])

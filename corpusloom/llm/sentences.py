@@ -136,8 +136,8 @@ def run(symbols: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
 # ---------------------------------------------------------------- symbols
 
 # Abbreviations that never end a sentence, those that refer (only before a number), those that may end one.
-_TITLES = "Mr Mrs Ms Dr Rev Revd St Messrs Capt Col Gen Lieut Bp Abp Prof Hon Gov Serg Maj Sr Sra Srta Dna Hr Fr Mlle MM Mme Mgr cf viz i\\.e e\\.g i\\.\\s?e e\\.\\s?g vs bzw z\\.\\s?B d\\.\\s?h d\\.\\s?M d\\.\\s?J u\\.\\s?a p\\.\\s?ex p\\.\\s?ej v\\.\\s?g c\\.-à-d p\\.\\s?e π\\.χ δηλ κ Dres Sres Vd Ud ca resp"
-_REFERENCES = "No Nos no nos vol vols Vol Vols p pp P sect Sect chap Chap ch Ch cap Cap ver vers v vv art Art fig Fig Serm Hymn Lect l ll n f ff Bk bk pt Pt par Jan Feb Febr Mar Apr Jun Jul Aug Sept Sep Oct Nov Dec Mon Tues Tue Wed Thur Thurs Fri Sat Sun Gen Exod Ex Lev Num Deut Josh Judg Sam Kgs Chron Neh Esth Ps Pss Prov Eccl Isa Jer Lam Ezek Dan Hos Obad Mic Nah Hab Zeph Hag Zech Mal Matt Mt Mk Lk Jn Rom Cor Gal Eph Phil Col Thess Tim Tit Philem Heb Jas Pet Jude Rev Luc Marc janv févr avr juil sept oct nov déc"
+_TITLES = "Mr Mrs Ms Dr Rev Revd St Messrs Capt Col Gen Lieut Bp Abp Prof Hon Gov Serg Maj Sr Sra Srta Dna Hr Fr Mlle MM Mme Mgr cf viz i\\.e e\\.g i\\.\\s?e e\\.\\s?g vs bzw z\\.\\s?B d\\.\\s?h d\\.\\s?M d\\.\\s?J u\\.\\s?a p\\.\\s?ex p\\.\\s?ej v\\.\\s?g c\\.-à-d p\\.\\s?e π\\.χ δηλ κ Dres Sres Vd Ud ca resp approx Approx"
+_REFERENCES = "No Nos no nos vol vols Vol Vols p pp P sect Sect chap Chap ch Ch cap Cap ver vers v vv art Art fig Fig Serm Hymn Lect l ll n f ff Bk bk pt Pt par h min Jan Feb Febr Mar Apr Jun Jul Aug Sept Sep Oct Nov Dec Mon Tues Tue Wed Thur Thurs Fri Sat Sun Gen Exod Ex Lev Num Deut Josh Judg Sam Kgs Chron Neh Esth Ps Pss Prov Eccl Isa Jer Lam Ezek Dan Hos Obad Mic Nah Hab Zeph Hag Zech Mal Matt Mt Mk Lk Jn Rom Cor Gal Eph Phil Col Thess Tim Tit Philem Heb Jas Pet Jude Rev Luc Marc janv févr avr juil sept oct nov déc"
 _SOFT = "etc &c usw p\\.\\s?m a\\.\\s?m P\\.M A\\.M Esq Jun Sen Jr Sr Ltd Co u\\.\\s?s\\.\\s?w"
 _MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|d\\.\\s?M|d\\.\\s?J"
 

@@ -45,3 +45,15 @@ def test_containers_divide_only_what_is_too_long(spark):
 
 def test_empty_table(spark):
     assert packing.containers(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_fill_report_and_the_number_of_containers(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, "word " * int(n)) for k, n in enumerate(rng.integers(1, 3000, 300))]
+    packed = packing.containers(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    report = {r.container: r for r in packing.fill_report(spark.createDataFrame(packed)).collect()}
+    for c, r in report.items():
+        own = [p for p in packed if p.container == c]
+        assert (r.n_items, r.n_tokens, r.slack) == (len(own), sum(p.n_tokens for p in own), 2048 - sum(p.n_tokens for p in own))
+    least = -(-sum(p.n_tokens for p in packed) // 2048)
+    assert least <= len(report) <= least * 1.02 + 1
