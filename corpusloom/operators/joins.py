@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.operators import ordered
+
 
 def latest_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key in the given order."""
@@ -104,10 +106,10 @@ def keyword_dimension(terms: DataFrame, keywords: DataFrame) -> DataFrame:
     return hits.groupBy("term").agg(F.min(F.struct("ordinal", "dimension")).alias("m")).select("term", F.col("m.dimension").alias("dimension"))
 
 
-def zip_by_position(left: DataFrame, right: DataFrame, left_order: list[Column], right_order: list[Column], key: str) -> DataFrame:
-    """Rows of both sides with equal key and equal position in their order within it."""
-    a = left.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*left_order)))
-    b = right.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*right_order)))
+def zip_by_position(left: DataFrame, right: DataFrame, left_order: list[Column], right_order: list[Column], key: str, left_block: Column | None = None, right_block: Column | None = None) -> DataFrame:
+    """Rows of both sides with equal key and equal position in their order within it; blocks as in :func:`ordered.numbered`."""
+    a = ordered.numbered(left, [key], left_order, "_n", left_block)
+    b = ordered.numbered(right, [key], right_order, "_n", right_block)
     return a.join(b, [key, "_n"]).withColumnRenamed("_n", "position")
 
 

@@ -18,10 +18,37 @@ def first_n(df: DataFrame, key: list[str], order: list[Column], n: int) -> DataF
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def strictly_increasing(df: DataFrame, key: list[str], order: list[Column], value: str) -> DataFrame:
+# A key may hold a third of all rows, and its window would be one task. Where the order can be cut into
+# blocks (a column that never falls in the order), windows run within blocks, and what they need from the
+# blocks before is carried over in a table of one row a block. Keys must not be null then.
+
+
+def _carried(blocks: DataFrame, key: list[str], over: Column, name: str) -> DataFrame:
+    """(key, _b, name): an aggregate over the rows of all blocks before each."""
+    return blocks.select(*key, "_b", over.over(Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias(name))
+
+
+def strictly_increasing(df: DataFrame, key: list[str], order: list[Column], value: str, block: Column | None = None) -> DataFrame:
     """Rows whose value exceeds every value before it (the running greatest), starting from 0."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_before", F.coalesce(F.max(value).over(w), F.lit(0))).where(F.col(value) > F.col("_before")).drop("_before")
+    rows = df.withColumn("_b", F.lit(0) if block is None else block)
+    inner = F.max(value).over(Window.partitionBy(*key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    before = F.coalesce(inner, F.lit(0))
+    if block is not None:
+        tops = _carried(rows.groupBy(*key, "_b").agg(F.max(value).alias("_m")), key, F.max("_m"), "_above")
+        rows = rows.join(tops, [*key, "_b"])
+        before = F.greatest(before, F.coalesce("_above", F.lit(0)))
+    return rows.withColumn("_before", before).where(F.col(value) > F.col("_before")).select(*df.columns)
+
+
+def numbered(df: DataFrame, key: list[str], order: list[Column], name: str, block: Column | None = None) -> DataFrame:
+    """Adds the row's number within its key, from 1."""
+    rows = df.withColumn("_b", F.lit(0) if block is None else block)
+    number = F.row_number().over(Window.partitionBy(*key, "_b").orderBy(*order))
+    if block is not None:
+        counts = _carried(rows.groupBy(*key, "_b").agg(F.count("*").alias("_m")), key, F.sum("_m"), "_rows")
+        rows = rows.join(counts, [*key, "_b"])
+        number = (number + F.coalesce("_rows", F.lit(0))).cast("int")
+    return rows.withColumn(name, number).select(*df.columns, name)
 
 
 def reset_sessions(df: DataFrame, key: list[str], order: list[Column], resets: Column) -> DataFrame:
@@ -77,11 +104,18 @@ def demote_outliers(df: DataFrame, key: list[str], order: list[Column], value: s
     return df
 
 
-def as_of(events: DataFrame, checkpoints: DataFrame, key: list[str], at: str, value: str) -> DataFrame:
+def as_of(events: DataFrame, checkpoints: DataFrame, key: list[str], at: str, value: str, block: Column | None = None) -> DataFrame:
     """Each event with the value of the last checkpoint at or before it (same key), in one sort and no range join."""
     marked = checkpoints.select(*key, at, F.col(value).alias("_value"), F.lit(0).alias("_kind")).unionByName(events.select(*events.columns, F.lit(1).alias("_kind")), allowMissingColumns=True)
-    w = Window.partitionBy(*key).orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn(f"as_of_{value}", F.last("_value", ignorenulls=True).over(w)).where("_kind = 1").drop("_kind", "_value")
+    marked = marked.withColumn("_b", F.lit(0) if block is None else block)
+    w = Window.partitionBy(*key, "_b").orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last("_value", ignorenulls=True).over(w)
+    if block is not None:
+        lasts = marked.where("_kind = 0 and _value is not null").groupBy(*key, "_b").agg(F.max_by("_value", at).alias("_m"))
+        every = marked.select(*key, "_b").distinct().join(lasts, [*key, "_b"], "left")
+        marked = marked.join(_carried(every, key, F.last("_m", ignorenulls=True), "_last"), [*key, "_b"])
+        found = F.coalesce(found, "_last")
+    return marked.withColumn(f"as_of_{value}", found).where("_kind = 1").select(*events.columns, f"as_of_{value}")
 
 
 def slices(text_df: DataFrame, bounds: DataFrame, key: str, text: str, offset: str) -> DataFrame:

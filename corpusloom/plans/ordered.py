@@ -35,7 +35,7 @@ SELECT source_id, chunk_index, wc FROM (SELECT source_id, chunk_index, wc, coale
 def monotonic_filter(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "passages", "source_id", "chunk_index", "word_count").dropna(subset=["source_id", "chunk_index"])
     one = p.groupBy("source_id", "chunk_index").agg(F.max("word_count").alias("wc"))
-    return ordered.strictly_increasing(one, ["source_id"], [F.col("chunk_index")], "wc").select("source_id", "chunk_index", "wc")
+    return ordered.strictly_increasing(one, ["source_id"], [F.col("chunk_index")], "wc", F.floor(F.col("chunk_index") / 1000)).select("source_id", "chunk_index", "wc")
 
 
 @query("""

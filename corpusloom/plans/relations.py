@@ -169,9 +169,10 @@ def keyword_dimensions(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.source_id, a.n AS position, a.id, b.id AS work_id FROM (SELECT source_id, id, row_number() OVER (PARTITION BY source_id ORDER BY id) AS n FROM (SELECT DISTINCT source_id, id FROM passages)) a
 JOIN (SELECT source_id, id, row_number() OVER (PARTITION BY source_id ORDER BY id) AS n FROM works) b ON a.source_id = b.source_id AND a.n = b.n""")
 def zip_positions(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "passages", "source_id", "id").distinct()
-    w = read(spark, d, "works", "source_id", "id").withColumnRenamed("id", "work_id")
-    z = joins.zip_by_position(p, w, [F.col("id")], [F.col("work_id")], "source_id")
+    p = read(spark, d, "passages", "source_id", "id").where("source_id is not null").distinct()
+    w = read(spark, d, "works", "source_id", "id").where("source_id is not null").withColumnRenamed("id", "work_id")
+    # ids are cut by their beginnings, so that no source is one task
+    z = joins.zip_by_position(p, w, [F.col("id")], [F.col("work_id")], "source_id", F.expr("substr(id, 1, 15)"), F.expr("substr(work_id, 1, 15)"))
     return z.select("source_id", "position", "id", "work_id")
 
 
@@ -183,7 +184,7 @@ def as_of_join(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events", "event_id", "user_id", "ts", "event_type", "value")
     first = e.agg(F.min("event_type")).scalar()
     checkpoints = e.where(F.col("event_type") == first).groupBy("user_id", "ts").agg(F.max("value").alias("value"))
-    return ordered.as_of(e.select("event_id", "user_id", "ts"), checkpoints, ["user_id"], "ts", "value").select("event_id", "as_of_value")
+    return ordered.as_of(e.select("event_id", "user_id", "ts"), checkpoints, ["user_id"], "ts", "value", F.date_trunc("month", F.col("ts"))).select("event_id", "as_of_value")
 
 
 @query("""

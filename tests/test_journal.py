@@ -224,3 +224,21 @@ def test_command_line_and_table_functions(spark, tmp_path):
     udtf.register(spark)
     assert [tuple(r) for r in spark.sql("select * from chunk_text('a b.', 400)").collect()] == [(0, "a b.", 2)]
     assert [r.date for r in spark.sql("select * from date_walk('Wed. May 24, 1738.- x')").collect()] == ["1738-05-24"]
+
+
+def test_blocks_of_a_hot_key_change_nothing(spark):
+    import random
+
+    from corpusloom.operators import ordered
+
+    rng = random.Random(4)
+    rows = [(k % 3 and 1, k, rng.randint(0, 60) if rng.random() < 0.9 else None) for k in range(400)]
+    df = spark.createDataFrame(rows, "g int, k int, v int")
+    block = F.floor(F.col("k") / 7)
+    same = lambda a, b: sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+    assert same(ordered.strictly_increasing(df, ["g"], [F.col("k")], "v"), ordered.strictly_increasing(df, ["g"], [F.col("k")], "v", block))
+    assert same(ordered.numbered(df, ["g"], [F.col("k")], "n"), ordered.numbered(df, ["g"], [F.col("k")], "n", block))
+    marks = df.where("k % 11 = 0").select("g", "k", "v")
+    assert same(ordered.as_of(df.select("g", "k"), marks, ["g"], "k", "v"), ordered.as_of(df.select("g", "k"), marks, ["g"], "k", "v", block))
+    empty = df.limit(0)
+    assert ordered.numbered(empty, ["g"], [F.col("k")], "n", block).count() == 0 and ordered.strictly_increasing(empty, ["g"], [F.col("k")], "v", block).count() == 0
