@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -91,33 +92,44 @@ _NOT_WORDS = re.compile(r"[^a-z0-9]+")
 def nearest_wording(text: str, quote: str) -> float:
     """The similarity (share of matching characters) of the quote with the nearest stretch of the text; 1 if the text holds it.
 
-    Only letters and digits count, whatever the case. Stretches are four words longer than
-    the quote. They are compared at every sixth part of the quote, and around the best of
-    those at every word; one whose characters can't beat the best is passed over.
+    Only letters and digits count, whatever the case. The nearest stretch is that of the
+    quote's number of words whose words match it best in order, the first of equal ones: every
+    word may begin it, and how many words it shares in any order bounds how well it can
+    match, so that most are passed over. It is compared by characters, with and without
+    the four words after it.
     """
     a, b = _NOT_WORDS.sub(" ", quote.lower()).strip(), _NOT_WORDS.sub(" ", text.lower()).strip()
     if not a or not b:
         return 0.0
     if a in b:
         return 1.0
-    words, n = b.split(), len(a.split())
-    last, stride = max(0, len(words) - n), max(1, n // 6)
-    best, at, matcher = 0.0, 0, difflib.SequenceMatcher(None, autojunk=False)
-    matcher.set_seq2(a)
-
-    def compare(k: int) -> None:
-        nonlocal best, at
-        matcher.set_seq1(" ".join(words[k : k + n + 4]))
-        if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best and (ratio := matcher.ratio()) > best:
-            best, at = ratio, k
-
-    # stretches that share most words with the quote first: the better the best, the more are passed over
-    wanted = set(a.split())
-    for k in sorted({*range(0, last + 1, stride), last}, key=lambda k: -sum(w in wanted for w in words[k : k + n + 4])):
-        compare(k)
-    for k in range(max(0, at - stride + 1), min(last, at + stride - 1) + 1):
-        compare(k)
-    return best
+    wanted, words = a.split(), b.split()
+    n, left, shared, bounds = len(wanted), Counter(wanted), 0, []
+    for k, w in enumerate(words):
+        shared += left[w] > 0
+        left[w] -= 1
+        if k >= n:
+            left[words[k - n]] += 1
+            shared -= left[words[k - n]] > 0
+        if k >= n - 1:
+            bounds.append((-shared, k - n + 1))
+    best, at = 0.0, 0
+    matcher = difflib.SequenceMatcher(None, autojunk=False)
+    matcher.set_seq2(wanted)
+    for shared, k in sorted(bounds):
+        window = words[k : k + n]
+        if -2.0 * shared / (n + len(window)) <= best:
+            break
+        matcher.set_seq1(window)
+        if matcher.ratio() > best:
+            best, at = matcher.ratio(), k
+    by_letters = difflib.SequenceMatcher(None, autojunk=False)
+    by_letters.set_seq2(a)
+    out = 0.0
+    for more in (0, 4):
+        by_letters.set_seq1(" ".join(words[at : at + n + more]))
+        out = max(out, by_letters.ratio())
+    return out
 
 
 def wording(pairs: DataFrame) -> DataFrame:

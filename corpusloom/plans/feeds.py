@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +43,23 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
 
     s = session.read(spark, d, "events", "user_id", "ts").groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
     return s.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("w.start")).alias("nth"), "n")
+
+
+@query("SELECT event_id, len(event_type) AS size, count(*) AS n FROM events GROUP BY event_id, event_type")
+def stream_new_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of new rows by a stand-in encoder; the same stream run once more finds nothing new."""
+    base = f"{session.shared_dir(spark).rstrip('/')}/embedded-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    session._note(spark, base)
+    session._note(spark, f"{base}/vectors-keys")
+    encode = lambda df, text: df.withColumn("embedding", F.array(F.length(text).cast("float")))
+    for run in ("first", "again"):
+        feeds.embed_new(_events(spark, d).select("event_id", "event_type"), f"{base}/vectors", "event_id", "event_type", encode, f"{base}/check-{run}").awaitTermination()
+    stored = spark.read.parquet(f"{base}/vectors")
+    return stored.groupBy("event_id", F.col("embedding")[0].cast("int").alias("size")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL")
+def stream_cache_misses(spark: SparkSession, d: str) -> DataFrame:
+    """What a cache that lives as long as the stream doesn't answer: the first row of each key."""
+    misses = feeds.first_within(_events(spark, d).where("user_id is not null").select("user_id", F.col("ts").cast("timestamp").alias("ts")), ["user_id"], "ts", "3650 days")
+    return feeds.run_to_table(misses, "misses").select("user_id")

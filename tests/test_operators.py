@@ -210,8 +210,11 @@ def test_a_quote_is_found_wherever_it_begins():
     for _ in range(40):
         q, t = ([rng.choice("abcde") for _ in range(rng.randrange(1, n))] for n in (9, 30))
         if " ".join(q) not in " ".join(t):
-            every = max(difflib.SequenceMatcher(None, " ".join(t[k : k + len(q) + 4]), " ".join(q), False).ratio() for k in range(max(1, len(t) - len(q) + 1)))
-            assert repair.nearest_wording(" ".join(t), " ".join(q)) == every
+            ratio = lambda x, y: difflib.SequenceMatcher(None, x, y, False).ratio()
+            starts = range(max(1, len(t) - len(q) + 1))
+            nearest = max(ratio(t[k : k + len(q)], q) for k in starts)
+            allowed = [max(ratio(" ".join(t[k : k + len(q) + more]), " ".join(q)) for more in (0, 4)) for k in starts if ratio(t[k : k + len(q)], q) == nearest]
+            assert repair.nearest_wording(" ".join(t), " ".join(q)) in allowed
 
 
 def test_suffixes_go_on_after_z_and_no_event_of_a_busy_day_is_left_out(spark, tmp_path):
