@@ -35,6 +35,8 @@ from corpusloom import session
 TRAIN_ROWS = 600
 LEAST_SEEN = 2
 EPOCHS = 4
+#: How usual (a power of 4) the rarest three letters of an unknown word are, from which on it isn't edited more than once.
+USUAL_LETTERS = 2
 MARKS = "-¬\xad=‐"
 
 # What is misread as what (seen, meant).
@@ -331,6 +333,8 @@ def best_edit(w: str, lex: Lexicon, weights: dict[str, float], name: bool, steps
                         best = (s, v)
         if (best and lex.known(best[1])) or step + 1 == steps:
             break
+        if not step and best is None and lex.rarest(w) >= USUAL_LETTERS and not _SIGNS.search(w):
+            break  # every letter stands where letters stand: no word with several misread ones
         usual = sorted(((-lex.rarest(v), v) for v in tried))[:4]
         frontier = {v: frontier[tried[v][0]] + score(tried[v][0], v, *tried[v][1:]) for _, v in usual}
     return (best[1], best[0]) if best else None
