@@ -69,29 +69,42 @@ def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full_outer").select(key, status.alias("status"))
 
 
-def containing(texts: DataFrame, anchors: DataFrame, text: str, anchor: str, key: str = "id") -> DataFrame:
+#: How many anchors :func:`containing` broadcasts; more are met through shuffled words.
+FEW_ANCHORS = 10_000
+
+
+def containing(texts: DataFrame, anchors: DataFrame, text: str, anchor: str, key: str = "id", few: int = FEW_ANCHORS) -> DataFrame:
     """Rows of texts with each anchor they contain as a substring, whatever the case; blank anchors are in none.
 
-    The anchors are a stated set. What is exploded and joined are words and keys, never
-    texts: an anchor of three words or more is met through its longest inner word, which
-    must be a whole word of the text; a shorter one through the words of the vocabulary
-    that hold it (one word) or end as its first word does (two). The texts are met once
-    more by the keys of the candidates. Only anchors without letters and digits are held
-    against every text. Rows without a key are left out.
+    An anchor of three words or more is met through its longest inner word, which must be a
+    whole word of the text. The anchors are a stated set and are counted first. Up to
+    ``few`` of them go along with the texts, which then aren't moved at all. More of them
+    are joined with words and keys, and the texts are met once more by the keys of the
+    candidates; anchors of one or two words through the words of the vocabulary that hold
+    the first (one word) or end as it does (two). Anchors without letters and digits are
+    held against every text. Rows without a key are left out.
     """
-    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    stated = anchors.where(F.trim(anchor) != "").withColumn("_t", tokens(F.col(anchor)))
-    words = texts.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("_w"))
+    tokens = lambda low: F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    stated = anchors.where(F.trim(anchor) != "").withColumn("_t", tokens(F.lower(anchor)))
     inner = F.array_max(F.transform(F.slice("_t", 2, F.greatest(F.size("_t") - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
     long = stated.where(F.size("_t") >= 3).withColumn("_w", inner["w"])
-    few = stated.where(F.size("_t").between(1, 2))
-    begins = F.get("_t", F.lit(0))
-    short = words.select("_w").distinct().join(few, F.when(F.size("_t") == 1, F.col("_w").contains(begins)).otherwise(F.col("_w").endswith(begins))).select(*few.columns, "_w")
-    met = words.join(long.unionByName(short).drop("_t"), "_w").drop("_w").distinct()
+    short = stated.where(F.size("_t") < 3)
     held = F.lower(F.col(text)).contains(F.lower(F.col(anchor)))
-    found = texts.join(met, F.col(key) == F.col("_key")).where(held).drop("_key")
-    bare = texts.where(F.col(key).isNotNull()).join(stated.where(F.size("_t") == 0).drop("_t"), held)
-    return found.unionByName(bare)
+    keyed = texts.where(F.col(key).isNotNull())
+    if stated.limit(few + 1).count() <= few:
+        words = long.agg(F.collect_set("_w")).scalar()
+        # lowered once a text, below the explosion, and not once a pair
+        lowered = keyed.withColumns({"_all": words, "_low": F.lower(text)})
+        hits = lowered.withColumn("_w", F.explode(F.array_intersect(F.split("_low", r"[^\p{L}\p{N}]+"), F.col("_all")))).drop("_all")
+        met = hits.join(F.broadcast(long.drop("_t").withColumn("_la", F.lower(anchor))), "_w").where(F.col("_low").contains(F.col("_la"))).drop("_w", "_low", "_la")
+        return met.unionByName(keyed.join(F.broadcast(short.drop("_t")), held))
+    words = keyed.select(F.col(key).alias("_key"), F.explode(F.array_distinct(tokens(F.lower(text)))).alias("_w"))
+    begins = F.get("_t", F.lit(0))
+    worded = short.where(F.size("_t") > 0)
+    spread = words.select("_w").distinct().join(worded, F.when(F.size("_t") == 1, F.col("_w").contains(begins)).otherwise(F.col("_w").endswith(begins))).select(*worded.columns, "_w")
+    met = words.join(long.unionByName(spread).drop("_t"), "_w").drop("_w").distinct()
+    found = keyed.join(met, F.col(key) == F.col("_key")).where(held).drop("_key")
+    return found.unionByName(keyed.join(short.where(F.size("_t") == 0).drop("_t"), held))
 
 
 def keyword_dimension(terms: DataFrame, keywords: DataFrame) -> DataFrame:

@@ -95,8 +95,7 @@ def nearest_wording(text: str, quote: str) -> float:
     Only letters and digits count, whatever the case. The nearest stretch is that of the
     quote's number of words whose words match it best in order, the first of equal ones: every
     word may begin it, and how many words it shares in any order bounds how well it can
-    match, so that most are passed over. It is compared by characters, with and without
-    the four words after it.
+    match, so that most are passed over. It is compared by characters.
     """
     a, b = _NOT_WORDS.sub(" ", quote.lower()).strip(), _NOT_WORDS.sub(" ", text.lower()).strip()
     if not a or not b:
@@ -123,13 +122,7 @@ def nearest_wording(text: str, quote: str) -> float:
         matcher.set_seq1(window)
         if matcher.ratio() > best:
             best, at = matcher.ratio(), k
-    by_letters = difflib.SequenceMatcher(None, autojunk=False)
-    by_letters.set_seq2(a)
-    out = 0.0
-    for more in (0, 4):
-        by_letters.set_seq1(" ".join(words[at : at + n + more]))
-        out = max(out, by_letters.ratio())
-    return out
+    return difflib.SequenceMatcher(None, " ".join(words[at : at + n]), a, autojunk=False).ratio()
 
 
 def wording(pairs: DataFrame) -> DataFrame:

@@ -133,11 +133,14 @@ def unknown_contexts(passages: DataFrame, dictionary: DataFrame, around: int = 3
 
 
 def ngram_counts(passages: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), least: int = 1) -> DataFrame:
-    """(n, term, count) of runs of lower-case tokens within a text, seen at least ``least`` times."""
+    """(n, term, count) of runs of lower-case tokens within a text, seen at least ``least`` times.
+
+    Only the run itself is counted and shuffled; how long it is, is read off its blanks.
+    """
     tokens = passages.where("text is not null").select(T.ascii_tokens(F.col("text")).alias("tok"))
-    labelled = lambda n: F.transform(T.ngrams(F.col("tok"), n), lambda t: F.struct(F.lit(n).alias("n"), t.alias("term")))
-    runs = F.flatten(F.array(*map(labelled, sizes)))
-    return tokens.select(F.explode(runs).alias("r")).groupBy("r.n", "r.term").agg(F.count("*").alias("count")).where(F.col("count") >= least)
+    runs = F.concat(*(T.ngrams(F.col("tok"), n) for n in sizes))
+    counted = tokens.select(F.explode(runs).alias("term")).groupBy("term").agg(F.count("*").alias("count")).where(F.col("count") >= least)
+    return counted.select((F.regexp_count("term", F.lit(" ")) + 1).alias("n"), "term", "count")
 
 
 def distinctive_terms(own: DataFrame, reference: DataFrame, least: int = 5, top: int = 200) -> DataFrame:
