@@ -63,7 +63,8 @@ def extract(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFr
     between verses reads as a range. Null texts have no citations.
     """
     whole = F.regexp_extract_all(text_col, F.lit(f"({_pattern()})".replace("(?i)", "", 1).join(["(?i)", ""])), F.lit(1))
-    hits = df.select(F.col(id_col).alias("id"), F.posexplode(whole).alias("pos", "matched"))
+    # most texts hold no chapter and verse at all: a cheap look spares them the long alternation
+    hits = df.where(F.col(text_col).rlike(r"\d:\d")).select(F.col(id_col).alias("id"), F.posexplode(whole).alias("pos", "matched"))
     part = lambda k: F.regexp_extract("matched", _pattern(), k)
     chapter, first, last, other = (F.expr(f"try_cast(nullif(g{k}, '') as int)") for k in (2, 3, 4, 5))
     out = hits.withColumns({f"g{k}": part(k) for k in (1, 2, 3, 4, 5)})

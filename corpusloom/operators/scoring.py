@@ -93,26 +93,34 @@ def reference_pattern() -> str:
     return r"\b(?:(?:1|2|3)\s+)?(?:" + "|".join(names) + r")\.?\s*\d+(?::\d+(?:\s*[-,]\s*\d+)*)?"
 
 
+def reference_count(low: Column) -> Column:
+    """Matches of :func:`reference_pattern` in a lower-cased text: the words before numbers that name a book, looked up and not tried one by one."""
+    names = sorted({a.lstrip("123") for a in citations.aliases()})
+    return F.size(F.filter(F.regexp_extract_all(low, F.lit(r"\b([a-z]+)\.?\s*\d"), F.lit(1)), lambda w: w.isin(names)))
+
+
 def with_scores(df: DataFrame, scale: Scale, text: str = "text") -> DataFrame:
     """Adds the score of every dimension, counter hits, density and penalty, the overall score, its label and the number of words.
 
     A null text has null scores.
     """
-    low = F.lower(F.col(text))
-    out = df.withColumn("words", T.word_count(F.col(text)))
-    words = F.col("words")
+    # each layer is a projection of its own: what is dear is computed once and then referred to
+    out = df.withColumns({"words": T.word_count(F.col(text)), "_low": F.lower(F.col(text))})
+    words, low = F.col("words"), F.col("_low")
     raw = {}
     for d in scale.dimensions:
         raw[d.name] = (phrase_hits(low, d.phrases) * d.phrase_weight + pattern_hits(low, d.patterns), d.max_density, d.max_count)
-    raw[scale.names[0]] = (F.regexp_count(low, F.lit(reference_pattern())) * 2 + pattern_hits(low, scale.allusions), 12.0, 30.0)
+    raw[scale.names[0]] = (reference_count(low) * 2 + pattern_hits(low, scale.allusions), 12.0, 30.0)
     terms = F.lit(0)
     for t in scale.terms[:100]:
         terms = terms + T.count_literal(low, t)
     raw[scale.names[1]] = (phrase_hits(low, scale.curated) * 2 + terms, 25.0, 30.0)
     c = scale.counter
     known = F.col(text).isNotNull()
-    against = F.when(known, F.greatest(F.lit(0), phrase_hits(low, c.phrases) * 3 + pattern_hits(low, c.patterns) - 3 * pattern_hits(low, c.refutations)))
-    out = out.withColumns({name: clamped(r, words, density, count) for name, (r, density, count) in raw.items()} | {"counter": against})
+    against = F.greatest(F.lit(0), phrase_hits(low, c.phrases) * 3 + pattern_hits(low, c.patterns) - 3 * pattern_hits(low, c.refutations))
+    out = out.withColumns({f"_raw_{name}": r for name, (r, _, _) in raw.items()} | {"_against": against})
+    out = out.withColumns({name: clamped(F.col(f"_raw_{name}"), words, density, count) for name, (_, density, count) in raw.items()} | {"counter": F.when(known, F.col("_against"))})
+    out = out.drop("_low", "_against", *(f"_raw_{name}" for name in raw))
     out = out.withColumns({"counter_density": F.bround(per_hundred(F.col("counter"), F.greatest(words, F.lit(1))), 2), "penalty": F.when(known, step(F.col("counter"), c.ladder))})
     theology = theology_score([F.col(d.name) for d in scale.dimensions])
     blend = F.round(theology * 0.60 + F.col(scale.names[0]) * 0.20 + F.col(scale.names[1]) * 0.20, 9).cast("int")
