@@ -159,9 +159,10 @@ _WORDS_OF_USE = NOBODY | LESSER | frozenset("trust decent thieving count lock ke
 
 _FOLD = str.maketrans("0134578@$!|", "oieastbasii")
 _ACCENTS = str.maketrans("ßàáâãäåçèéêëìíîïñòóôõöùúûüýÿœæ", "saaaaaaceeeeiiiinooooouuuuyyoa")
-_TOKEN = re.compile(r"[^\W_](?:[^\W_]|[*@$!|]+(?=[^\W_])|(?<=[^\W\d_]{2})['’](?=[^\W\d_]))*|[.!?]+(?=\s|$|[”\"»]|[A-ZÀ-Þ][a-z])|[。！？।።]|[“”\"«»‘]|[,;:]|\n\s*\n")
+_TOKEN = re.compile(r"(?:[^\W_]|[@$]+(?=[^\W_]))(?:[^\W_]|[*@$!|]+(?=[^\W_])|(?<=[^\W\d_]{2})['’](?=[^\W\d_])|[@$]{1,3}(?=[\s.,;:!?]|$))*|[.!?]+(?=\s|$|[”\"»)\]]|[A-ZÀ-Þ][a-z])|[。！？।።]|[“”\"«»‘]|[,;:]|\n\s*\n")
+_CUT = re.compile(r"(?<=[^\W\d_])[-¬\xad=‐][ \t]*\n\s*(?=[^\W\d_])")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_*][ .\-*_]+){2,}[^\W\d_*](?![^\W_])")
-_DOTTED = re.compile(r"(?<=[a-z])\.(?=[a-z])|(?<=[A-Z])\.(?=[A-Z])")
+_DOTTED = re.compile(r"(?<=[a-z])\.(?=[a-z])|(?<=[A-Z])\.(?=[A-Z])|(?<=\b[A-Z])\.(?=[a-z]{3})")
 _LATIN = re.compile(r"[a-z*]{3,20}")
 _REPEAT = re.compile(r"([^\W_])\1{2,}")
 
@@ -235,7 +236,9 @@ class Lexicon:
         self.weak = frozenset(folded(w + s) for w in WEAK for s in ("", "s"))
         # words of contact and place are common ones: met as written only
         plain = sum(_BIT[c] for c in ("touch", "bedroom", "body", "death", "vocative", "undress"))
-        self.trie = Trie(sorted(w for w, b in self.bits.items() if len(w) >= 4 and b & ~plain and w not in self.weak))
+        terms = sorted(w for w, b in self.bits.items() if len(w) >= 4 and b & ~plain)
+        # words of several senses are met misspelled only where the spelling hides something
+        self.trie, self.masked = Trie([w for w in terms if w not in self.weak]), Trie(terms)
 
     def term(self, token: str) -> tuple[str, float, int] | None:
         """(term, trust, classes) of a token: trust 1 for the term itself, less for a misspelling; None for other words."""
@@ -244,9 +247,9 @@ class Lexicon:
         if bits is not None:
             return w, 1.0, bits
         if _LATIN.fullmatch(w) and (len(w) >= 5 or (len(w) >= 3 and "*" in w)):
-            got = self.trie.nearest(w, 2 if len(w) >= 9 else 1)
+            got = (self.trie if token.isalpha() else self.masked).nearest(w, 2 if len(w) >= 9 else 1)
             if got and (got[0][0] == w[0] or len(w) >= 7) and (len(got[0]) >= (5 if self.bits[got[0]] & self.short else 6) or not token.isalpha()):
-                return got[0], 0.8, self.bits[got[0]]
+                return got[0], 0.8 if got[1] else 1.0, self.bits[got[0]]
         return None
 
 
@@ -333,7 +336,7 @@ def _named(low: list[str], tokens: list[str], known: list) -> list[int]:
             continue
         if w in PEOPLES:
             out.append(j)
-        elif even and len(w) > 5 and (w.endswith(_ORIGIN) or (w.endswith("ish") and w not in _NO_ORIGIN) or (w.endswith("s") and j and low[j - 1] in ("all", "the", "those", "these"))):
+        elif even and len(w) > 5 and (w.endswith(_ORIGIN) or (w.endswith("ish") and w not in _NO_ORIGIN) or (w.endswith("s") and j and low[j - 1] in ("all", "the", "those", "these", "for", "with", "beside"))):
             out.append(j)
         elif t[0].isupper() and len(t) > 4 and not t.isupper():
             initial = j == 0 or tokens[j - 1] in "“\"«‘"
@@ -607,7 +610,7 @@ def _sexual(low: list[str], flat: list[str], known: list, where: dict[str, list[
 def _features(tokens: list[str], known: list, quoted: bool, spoken_of: bool) -> list[tuple[str, np.ndarray]]:
     """(kind, features) of a window, of the kinds of which it has any sign."""
     low = [t.lower().replace("’", "'") for t in tokens]
-    flat = [k[0] if k else folded(w) if not w.isascii() else w for k, w in zip(known, low)]
+    flat = [k[0] if k else w if w.isascii() and w.isalpha() and not _REPEAT.search(w) else folded(w) for k, w in zip(known, low)]
     where: dict[str, list[int]] = {name: [] for name in CLASSES}
     bits = 0
     for k, t in enumerate(known):
@@ -619,6 +622,7 @@ def _features(tokens: list[str], known: list, quoted: bool, spoken_of: bool) ->
     reported = float(any(w in SPEECH and w not in ("say", "saying", "call", "calling", "read", "hear", "according", "quoted") and j and low[j - 1] not in ("nobody", "i", "you", "never", "to", "one", ",") for j, w in enumerate(low)))
     doctrine = min(2.0, float(sum(w in DOCTRINE for w in low)))
     innocent = min(2.0, float(sum(w in MEDICAL or w in ANIMALS for w in low)))
+    beasts = min(2.0, float(sum(w in ANIMALS for w in low)))
     out = []
     insulting = bits & (_BIT["insult"] | _BIT["adjective"] | _BIT["superlative"])
     if insulting or bits & (_BIT["harm"] | _BIT["death"] | _BIT["vocative"]) or any(w in NOBODY or w in ("one", "more", "waste", "piece") for w in low):
@@ -626,19 +630,19 @@ def _features(tokens: list[str], known: list, quoted: bool, spoken_of: bool) ->
         if any(own):
             # what is said to somebody's face is no doctrine and no husbandry
             direct = own[3] >= 1 or any(own[4:8])
-            out.append(("abuse", [*own, float(quoted), reported, denied, *((0.0, 0.0) if direct else (doctrine, innocent)), self_said]))
+            out.append(("abuse", [*own, float(quoted), reported, denied, *((0.0, 0.0) if direct else (doctrine, beasts)), self_said]))
     own, denied = _hate(low, flat, tokens, known, where, spoken_of)
     if any(own):
         out.append(("hate", [*own, float(quoted), reported, denied, doctrine, innocent, 0.0]))
     if bits & (_BIT["explicit"] | _BIT["intimate"] | _BIT["arousal"] | _BIT["undress"]):
         own = _sexual(low, flat, known, where)
-        out.append(("sexual", [*own, float(quoted), reported, 0.0, doctrine, innocent, 0.0]))
+        out.append(("sexual", [*own, float(quoted), reported, 0.0, doctrine if own[6] < 0.7 else 0.0, innocent, 0.0]))
     return [(kind, np.array([1.0, *f])) for kind, f in out]
 
 
 def described(text: str) -> list[tuple[str, np.ndarray]]:
     """(kind, features) of each window of the text with any sign of a kind."""
-    tokens = _TOKEN.findall(_DOTTED.sub("", _SPACED.sub(_unspaced, text)))
+    tokens = _TOKEN.findall(_DOTTED.sub("", _SPACED.sub(_unspaced, _CUT.sub("", text) if "\n" in text else text)))
     known = list(map(_known().__getitem__, tokens))
     anchors = [k for k, t in enumerate(known) if t and t[2] & (_ANCHOR | _USE)]
     out, done = [], -1
