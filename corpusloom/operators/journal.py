@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from corpusloom import session
 from corpusloom.operators import repair, segment
 
+# How entry heads, extract headers and openings are written.
 WEEKDAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
 MONTH_NAMES = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 _DAY = r"(?:Sun|Mon|Tues|Tue|Wednes|Wed|Thurs|Thur|Thu|Fri|Satur|Sat)(?:day)?"

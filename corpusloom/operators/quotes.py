@@ -23,6 +23,9 @@ def any_of(text: Column, patterns: list[str]) -> Column:
     return text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
 
 
+# The patterns, limits and weights below; which sentences are left out and how they rank depends on each.
+
+
 def scan_problems(s: Column) -> list[tuple[Column, str]]:
     """(condition, name) of what shows a sentence to be misread, in order."""
     tokens = F.filter(F.split(s, r"\s+"), lambda w: w != "")

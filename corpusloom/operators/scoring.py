@@ -32,6 +32,7 @@ class RuleSet:
 class Counter(RuleSet):
     """Markers that speak against; each refutation takes three of their hits away."""
 
+    # fixed values: least hits and penalty of each step
     refutations: tuple[str, ...] = ()
     ladder: tuple[tuple[int, int], ...] = ((1, 5), (3, 10), (6, 15), (11, 20), (21, 25))
 
