@@ -2,7 +2,7 @@
 
 What was found at first sight, before any rule was changed for a set: FIRST 78 of 105 (9 of 113
 others flagged), SECOND 62 of 90 (5 of 99), THIRD 38 of 54 (2 of 50). Rules were mended after the
-first two, which now only guard against going back; nothing was changed after the third.
+first two, which now only guard against going back; nothing was changed for the third.
 """
 
 FIRST = """
