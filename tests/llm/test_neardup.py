@@ -95,3 +95,53 @@ def test_same_rows_as_sql(spark):
 
     got = queries.queries()["p4_found"](spark, DATA).toPandas()
     assert rows(got) == rows(database().execute(queries.oracle_sql()["p4_found"]).df())
+
+
+def stock(n=240):
+    """Texts made of the same phrases, with a few near-duplicates: many share a key, few are alike."""
+    rng = random.Random(8)
+    phrases = [" ".join(rng.choices([f"v{k}" for k in range(300)], k=6)) for _ in range(24)]
+    rows = [(f"s{k:03d}", " ".join(rng.sample(phrases, 5))) for k in range(n)]
+    return rows + [(f"{i}-e", t + " one more") for i, t in rows[::12]]
+
+
+@pytest.mark.parametrize("verified", [1 << 23, 100])
+def test_pairs_that_share_phrases_are_ruled_out_before_they_are_written(spark, monkeypatch, verified):
+    monkeypatch.setattr(neardup, "VERIFIED", verified)
+    df = spark.createDataFrame(stock(), "id string, text string").repartition(3)
+    signed = neardup.classes(df)
+    every, thinned = ({tuple(r) for r in neardup._candidates(signed, 20, least).collect()} for least in (0, 60))
+    assert thinned == {tuple(r) for r in neardup._candidates(signed, 1000, 60).collect()}
+    assert thinned < every and len(thinned) * 5 < len(every)
+    assert {tuple(r) for r in neardup.pairs(df).collect()} <= jaccard_pairs(stock(), 0.5)
+    assert {(a, a + "-e") for a, _ in stock()[:240:12]} <= {tuple(r) for r in neardup.pairs(df).collect()}
+
+
+def test_links_leave_next_to_no_shuffle_files(spark):
+    def files():
+        every = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {str(f): f.length() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(every) if "shuffle_" in str(f)}
+
+    df = spark.createDataFrame(stock(), "id string, text string")
+    signed = neardup.classes(df)
+    before = files()
+    assert neardup.class_links(df, signed).schema.names == ["a", "b", "similarity"]
+    left = sum(n for f, n in files().items() if f not in before)
+    assert left < 30_000, left  # counts leave a few bytes a task; 149,841 bytes were left before
+
+
+@pytest.mark.parametrize("held", [4, 1 << 18])
+def test_keys_that_come_in_batches(monkeypatch, held):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(neardup, "HELD", held)
+    rng = random.Random(held)
+    rows = [(rng.choice([1, 1, 2, 3, 4, 5, 6]), rng.randint(-20, 20)) for _ in range(90)]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([k for k, _ in part]), pa.array([c for _, c in part]), pa.array([np.int64(c).tobytes() for _, c in part], pa.binary())], names=["key", "cls", "trace"])
+    out = pa.Table.from_batches(list(neardup._few(0, 10)([batch(rows[k : k + 7]) for k in range(0, 90, 7)]))).to_pylist()
+    classes = {k: sorted({c for q, c in rows if q == k}) for k in range(1, 7)}
+    assert {(r["a"], r["b"]) for r in out if r["a"] is not None} == {p for c in classes.values() if len(c) <= 10 for p in itertools.combinations(c, 2)}
+    left = {(r["key"], r["cls"]) for r in out if r["key"] is not None}
+    assert left == {(k, c) for k, own in classes.items() if len(own) > 10 for c in own} and left
+    assert all(np.frombuffer(r["trace"], np.int64)[0] == r["cls"] for r in out if r["key"] is not None)
